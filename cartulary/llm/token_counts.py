@@ -47,7 +47,8 @@ def token_counts(docs: DataFrame, tokenizer_json: str, limit: int = 512, text: s
         for texts in batches:
             out = []
             for sizes, pieces in chunks([t or "" for t in texts], tokenizer):
-                each = pool.counts[pool.codes(pieces)] if pieces else np.empty(0, np.int64)
+                codes = pool.codes(pieces)
+                each = pool.counts[codes]
                 ends = np.cumsum(sizes)
                 total = np.append(0, np.cumsum(each))
                 out.append(total[ends] - total[ends - sizes])
