@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartulary.llm import bpe_codec, token_counts
+from cartulary.llm import bpe_codec, language_id, mixing, ngram_join, quality_rules, token_counts
 from cartulary.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -22,19 +24,51 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
+def language_pieces(path: str | None = None) -> list[str]:
+    """The letter pieces of a sentencepiece vocabulary; by default the public 32k one."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(PIECES)
+    return language_id.pieces_of(path)
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_json(), limit=512)
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_codec.round_trip(read(spark, sf_dir, "documents"), tokenizer_json())
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.identify(read(spark, sf_dir, "documents"), language_pieces(), folds=5)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix(read(spark, sf_dir, "documents"))
+    rows = plan.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("copies_in").cast("int"))))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_token_counts": op3_token_counts,
+    "op4_quality_rules": op4_quality_rules,
     "op5_bpe_codec": op5_bpe_codec,
+    "op9_language_id": op9_language_id,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {}
