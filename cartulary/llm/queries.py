@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import bpe_codec, language_id, mixing, ngram_join, quality_rules, token_counts
+from cartulary.llm import ann_search, bpe_codec, chat_format, katz_lm, language_id, mixing, ngram_join, quality_rules, token_counts, warc_revisits
 from cartulary.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,6 +37,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_json(), limit=512)
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -51,6 +55,20 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc_revisits.resolve(warc_revisits.captures(read(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"]))
+    return out.withColumn("headers", F.when(F.col("headers").isNotNull(), F.array_join(lines, "; ")))
+
+
+def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search.search(read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op8_lm_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.score(read(spark, sf_dir, "documents"), folds=10)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.identify(read(spark, sf_dir, "documents"), language_pieces(), folds=5)
     return out.select("doc_id", "held_out", "lang_pred", "score")
@@ -64,11 +82,53 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_warc_revisits": op6_warc_revisits,
+    "op7_ann_search": op7_ann_search,
+    "op8_lm_katz": op8_lm_katz,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: Null texts count as empty; rows are told apart by a number of their own.
+OP4 = rf"""WITH d AS (SELECT *, row_number() OVER () AS r, {WORDS_SQL} AS ws FROM documents),
+  win AS (SELECT r, p, hash(array_to_string(ws[p:p + 7], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 6)) AS p)),
+  twice AS (SELECT r, p FROM win QUALIFY count(*) OVER (PARTITION BY r, h) > 1),
+  covered AS (SELECT r, count(DISTINCT p + o) AS n FROM twice, range(0, 8) x(o) GROUP BY r),
+  lines AS (SELECT r, doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM d),
+  norm AS (SELECT r, doc_id, source, trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM lines),
+  frequent AS (SELECT source, line, min(doc_id) AS first FROM norm WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) > 50),
+  gone AS (SELECT r, sum(len(string_split(n.line, ' '))) AS n FROM norm n JOIN frequent f ON n.line = f.line AND n.source IS NOT DISTINCT FROM f.source AND n.doc_id IS DISTINCT FROM f.first GROUP BY r),
+  dup AS (SELECT r, count(*) - count(DISTINCT raw) AS n FROM lines WHERE regexp_matches(raw, '[^\x20\x09-\x0D]') GROUP BY r),
+  base AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')))::BIGINT AS n_symbols,
+    coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words
+    FROM d LEFT JOIN covered USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r)),
+  f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND NOT (removed_words > 0 AND (n_words - removed_words < 20 OR n_words - removed_words < 0.3 * n_words)) AS kept FROM f"""
+
+OP2 = """WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+  c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS l, count(*) AS n_turns FROM t GROUP BY conv_id),
+  p AS (SELECT DISTINCT md5(l[1:k]::VARCHAR) AS h, k FROM c, LATERAL (SELECT unnest(range(1, n_turns)) AS k)),
+  o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY md5(l::VARCHAR), n_turns ORDER BY conv_id) = 1)
+SELECT conv_id, n_turns, array_to_string(list_transform(l, lambda x: '<|' || coalesce(x.r, '') || '|>' || chr(10) || coalesce(x.t, '') || chr(10)), '') AS text
+FROM o WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.h = md5(o.l::VARCHAR) AND p.k = o.n_turns)"""
+
+OP6 = r"""WITH u AS (SELECT *, regexp_replace(url, '#.*$', '') AS bare FROM pages),
+  k AS (SELECT page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^:/?]+://([^/?]*)', 1)), '^([^@]*@)?(www[.])?', ''), ':(80|443)$', '') AS host,
+    regexp_extract(bare, '^[^:/?]+://[^/?]*([^?]*)', 1) AS path,
+    list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))) AS q FROM u),
+  c AS (SELECT page_id, '"' || md5(html) || '"' AS tag, sha1(html) AS digest, octet_length(encode(html)) AS n, 1700000000 + page_id * 60 AS made, 1700000000 + page_id * 60 + (page_id * 7919) % 10007 * 60 + 30 AS later,
+    host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS key FROM k),
+  j AS (SELECT r.page_id, r.key, r.later, r.made AS own, r.tag AS sent, p.page_id AS found, p.tag, p.made, p.digest, p.n FROM c r LEFT JOIN c p ON r.key = p.key AND p.made < r.later
+    QUALIFY row_number() OVER (PARTITION BY r.page_id ORDER BY p.made DESC NULLS LAST, 'p' || p.page_id::VARCHAR DESC) = 1),
+  v AS (SELECT *, CASE WHEN found IS NULL THEN 'no_response' WHEN page_id % 4 IN (0, 1) THEN CASE WHEN sent = tag THEN 'resolved' ELSE 'validator_mismatch' END
+    WHEN page_id % 4 = 2 THEN CASE WHEN own = made THEN 'resolved' ELSE 'validator_mismatch' END ELSE 'validator_mismatch' END AS verdict FROM j)
+SELECT 'r' || page_id::VARCHAR AS record_id, key AS canonical_url, later AS captured, verdict, CASE WHEN verdict = 'resolved' THEN 'p' || found::VARCHAR END AS refers_to, CASE WHEN verdict = 'resolved' THEN digest END AS payload_digest,
+  CASE WHEN verdict = 'resolved' THEN 'cache-control: max-age=120; content-length: ' || n::VARCHAR || '; content-type: text/html; date: ' || later::VARCHAR || '; etag: ' || tag || '; last-modified: ' || made::VARCHAR END AS headers FROM v"""
+
+ORACLE: dict[str, str] = {"op2_chat_formatting": OP2, "op4_quality_rules": OP4, "op6_warc_revisits": OP6}
