@@ -63,6 +63,8 @@ def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
 
 def runs(ranges: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, start, end) of each run in an ascending array."""
-    starts = np.flatnonzero(np.append(True, np.diff(ranges) != 0)) if len(ranges) else []
+    if not len(ranges):
+        return
+    starts = np.flatnonzero(np.append(True, np.diff(ranges) != 0))
     for s, e in zip(starts, [*starts[1:], len(ranges)], strict=True):
         yield int(ranges[s]), int(s), int(e)
