@@ -28,6 +28,11 @@ EPSILON = 2.1
 SAMPLE, MAX_LISTS = 16_384, 1024
 
 
+def numbers(vectors: DataFrame, embedding: str) -> str:
+    """The type in which vectors are kept: float stays float, all else is double."""
+    return "array<float>" if dict(vectors.dtypes)[embedding] == "array<float>" else "array<double>"
+
+
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, embedding) of the vectors that take part.
 
@@ -36,7 +41,7 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     """
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<float>").alias("embedding"))
+    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast(numbers(vectors, embedding)).alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda x: x != 0))
     lengths = rows.groupBy(F.size(e).alias("d")).count().agg(F.max(F.struct("count", "d")).alias("m")).first()
     return rows.where(F.size(e) == (lengths.m.d if lengths.m else 0))
@@ -76,33 +81,37 @@ def matrix(column: pd.Series, dims: int) -> np.ndarray:
 
 
 def scan(q: np.ndarray, v: np.ndarray, top: float, turn: np.ndarray, k: int, epsilon: float = EPSILON) -> Iterator[tuple[int, np.ndarray]]:
-    """For each query (row of q), the places in v that may be among its k nearest, ties of the k-th included."""
+    """For each query (row of q), the places in v that may be among its k nearest, ties of the k-th included.
+
+    Partial distances of all pairs are matrix products while many are left, and sums pair by pair once few are.
+    """
     rq, rv = np.column_stack([q, np.zeros(len(q))]) @ turn, lifted(v, top) @ turn
     dims = rv.shape[1]
+
+    def distances(s: int, e: int, upto: int | None = None) -> np.ndarray:
+        a, b = rq[:, s:e], rv[:upto, s:e]
+        return (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)
+
+    def bound(e: int) -> np.ndarray:
+        return limit * (e / dims) * ((1 + epsilon / np.sqrt(e)) ** 2 if e < dims else 1) + 1e-9
+
     first = min(len(v), max(4 * k, 256))
-    norms = lambda m, s, e: (m[:, s:e] ** 2).sum(1)
-    seen = norms(rq, 0, dims)[:, None] - 2 * rq @ rv[:first].T + norms(rv[:first], 0, dims)
-    limit = np.partition(seen, min(k, first) - 1, axis=1)[:, min(k, first) - 1] if first > k else np.full(len(q), np.inf)
-    row, col = np.divmod(np.arange(len(q) * len(v)), max(len(v), 1))
-    partial = np.zeros((len(q), len(v)))
-    dense = True
-    for s in range(0, dims, STEP):
-        e = min(dims, s + STEP)
-        if dense:
-            partial += norms(rq, s, e)[:, None] - 2 * rq[:, s:e] @ rv[:, s:e].T + norms(rv, s, e)
-        else:
-            partial_at = partial_at + ((rq[row, s:e] - rv[col, s:e]) ** 2).sum(1)  # noqa: F821
-        bound = limit * (e / dims) * ((1 + epsilon / np.sqrt(e)) ** 2 if e < dims else 1) + 1e-9
-        if dense:
-            alive = partial <= bound[:, None]
-            if e < dims and alive.mean() < 0.1:  # few are left: go on pair by pair
-                row, col = np.nonzero(alive)
-                partial_at, dense = partial[row, col], False
-        else:
-            stay = partial_at <= bound[row]
-            row, col, partial_at = row[stay], col[stay], partial_at[stay]
-    if dense:
-        row, col = np.nonzero(alive)
+    limit = np.partition(distances(0, dims, first), k - 1, axis=1)[:, k - 1] if first > k else np.full(len(q), np.inf)
+    partial, at = np.zeros((len(q), len(v))), 0
+    alive = np.ones_like(partial, dtype=bool)
+    while at < dims and alive.mean() >= 0.1:
+        end = min(dims, at + STEP)
+        partial += distances(at, end)
+        at = end
+        alive = partial <= bound(at)[:, None]
+    row, col = np.nonzero(alive)
+    left = partial[row, col]
+    while at < dims:
+        end = min(dims, at + STEP)
+        left = left + ((rq[row, at:end] - rv[col, at:end]) ** 2).sum(1)
+        at = end
+        stay = left <= bound(at)[row]
+        row, col, left = row[stay], col[stay], left[stay]
     ends = np.searchsorted(row, np.arange(len(q) + 1))
     for i in range(len(q)):
         yield i, col[ends[i] : ends[i + 1]]
@@ -124,6 +133,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, vec_id, embedding), "vectors")
+    kept = numbers(vectors, embedding)
     out_schema = "query_id long, rank int, vec_id long, score double"
     facts = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), F.max(F.size("embedding"))).first()
     total, dims = facts[0], facts[2]
@@ -143,7 +153,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
                 own = nearest(lifted(matrix(b["embedding"], dims), norm), centroids, 1)[:, 0]
                 yield b.assign(list=own.astype(np.int32))
 
-    dealt = materialize(rows.mapInPandas(deal, "vec_id long, embedding array<float>, list int"), "vector-lists")
+    dealt = materialize(rows.mapInPandas(deal, f"vec_id long, embedding {kept}, list int"), "vector-lists")
     asking = dealt.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
     probes = _probes(dealt, asking, index, dims, lists, k, recall)
 
@@ -157,7 +167,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
 
     # one row a list, MAX_LISTS at most
     sizes = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    routed = materialize(asking.mapInPandas(route, "query_id long, query array<float>, list int"), "routed-queries")
+    routed = materialize(asking.mapInPandas(route, f"query_id long, query {kept}, list int"), "routed-queries")
     asked = routed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qblocks"))
     shape = F.broadcast(sizes.join(asked, "list"))
     parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -123,7 +123,7 @@ def load(spec: str) -> Tokenizer:
 class Pool:
     """Token ids of the pre-tokens met so far in this worker, up to a fixed number of them."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, tokenizer: Tokenizer, keep_ids: bool):
         self.tokenizer, self.keep_ids = tokenizer, keep_ids

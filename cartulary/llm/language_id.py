@@ -23,7 +23,7 @@ from cartulary.llm.common import crc_mod, fresh, materialize, without
 #: Marks a word's start in the vocabulary.
 START = "▁"
 #: A longer run of letters is scored in parts of this many, each as if it stood inside a word.
-LONGEST = 32
+LONGEST = 20
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
@@ -214,11 +214,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         table = np.empty((0, width))
         for texts in batches:
             rows: list[np.ndarray] = []
-            todo = list(texts)
+            todo = list(texts)[::-1]
             while todo:
                 found, sizes = [], []
-                while todo and len(found) < 400_000:
-                    sizes.append(len(ws := words_of(todo.pop(0) or "")))
+                while todo and len(found) < 200_000:
+                    sizes.append(len(ws := words_of(todo.pop() or "")))
                     found += ws
                 new = [w for w in dict.fromkeys(found) if w not in index]
                 if new:
@@ -232,7 +232,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 if len(filled):
                     total[filled] = np.add.reduceat(table[codes], (ends - sizes)[filled])
                 rows.append(total)
-                if len(index) > 300_000:
+                if len(index) > 150_000:
                     index, table = {}, np.empty((0, width))
             total = np.vstack(rows) if rows else np.empty((0, width))
             letters, total = total[:, -1] > 0, total[:, :-1]

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import drop, materialize, small_or_shuffled
+from cartulary.llm.common import drop, fresh, materialize, small_or_shuffled
 from cartulary.llm.packing import MASK, U64, Reader, mix64, pack, pack_sorted, range_of, runs
 
 WORDS = 5
@@ -45,18 +45,16 @@ class _WordHashes(dict):
         return h
 
 
-def gram_keys(texts: list[str | None]) -> np.ndarray:
+def gram_keys(texts: list[str | None], hashes: _WordHashes) -> np.ndarray:
     """Sorted distinct (hash << 16 | place of the text) of all word 5-grams; a shorter text is one gram."""
-    hashes = _gram_cache
-    if len(hashes) > 500_000:
+    if len(hashes) > 150_000:
         hashes.clear()
-    flat: list[int] = []
-    sizes = []
+    flat = [np.empty(0, dtype=U64)]
     for text in texts:
         found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        flat += map(hashes.__getitem__, found)
-        sizes.append(len(found))
-    words, sizes = np.array(flat, dtype=U64), np.array(sizes, dtype=np.int64)
+        flat.append(np.fromiter(map(hashes.__getitem__, found), dtype=U64, count=len(found)))
+    sizes = np.array([len(x) for x in flat[1:]], dtype=np.int64)
+    words = np.concatenate(flat)
     starts = np.cumsum(sizes) - sizes
     grams = np.maximum(sizes - (WORDS - 1), np.minimum(sizes, 1))
     owner = np.repeat(np.arange(len(sizes)), grams)
@@ -70,9 +68,6 @@ def gram_keys(texts: list[str | None]) -> np.ndarray:
     return np.unique((h & MASK) << U64(16) | owner.astype(U64))
 
 
-_gram_cache = _WordHashes()
-
-
 def _signatures(keys: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """The size of each text's set, and 128 bits that tell sets apart."""
     owner = (keys & U64(IDS - 1)).astype(np.int64)
@@ -122,23 +117,26 @@ def _batch_id(k: int) -> int:
 
 def _from_texts(fragments: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, ids, texts, size = 0, [], [], 0
+        k, ids, texts, size, hashes = 0, [], [], 0, _WordHashes()
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append(t)
                 size += len(t or "") // 6 + 1
                 if size >= BATCH or len(ids) == IDS:
-                    yield _texts_batch(_batch_id(k), ids, texts, fragments)
+                    yield _texts_batch(_batch_id(k), ids, texts, hashes, fragments)
                     k, ids, texts, size = k + 1, [], [], 0
         if ids:
-            yield _texts_batch(_batch_id(k), ids, texts, fragments)
+            yield _texts_batch(_batch_id(k), ids, texts, hashes, fragments)
+        # a worker outlives its task; what the task held shall not
+        hashes.clear()
+        pa.default_memory_pool().release_unused()
 
     return send
 
 
-def _texts_batch(batch: int, ids: list, texts: list, fragments: int) -> pa.RecordBatch:
-    keys = gram_keys(texts)
+def _texts_batch(batch: int, ids: list, texts: list, hashes: _WordHashes, fragments: int) -> pa.RecordBatch:
+    keys = gram_keys(texts, hashes)
     n, signatures = _signatures(keys, len(ids))
     return _as_batch(_requests(batch, ids, n, signatures, keys, fragments))
 
@@ -336,5 +334,6 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without those whose component has a smaller doc_id; rows of one doc_id stay or go together."""
     joined = join(docs, text, doc_id)
-    gone = materialize(joined.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct(), "copies")
-    return docs.join(small_or_shuffled(gone, 16), F.col(f"`{doc_id}`") == F.col("gone"), "left_anti")
+    (gone,) = fresh(docs, "gone")
+    copies = materialize(joined.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(gone)).distinct(), "copies")
+    return docs.join(small_or_shuffled(copies, 16), F.col(f"`{doc_id}`") == F.col(gone), "left_anti")

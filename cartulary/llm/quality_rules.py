@@ -48,11 +48,11 @@ def repeat_words(word_list: Column) -> Column:
 
 
 def base_columns(text: Column) -> list[Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text; a null text counts as empty."""
+    """struct<n_words, n_repeat_words>, word_chars, n_symbols and n_dup_lines of a text; a null text counts as empty."""
     body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return [
-        _bind(words(body), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))).alias("counted"),
+        _bind(words(body), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))),
         F.char_length(F.regexp_replace(body, GAP, "")).cast("long").alias("word_chars"),
         (F.char_length(body) - F.char_length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
@@ -63,9 +63,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the base columns and base_failed; columns of those names are replaced."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     out = without(docs, *names)
+    (counted,) = fresh(out, "counted")
     kept = [F.col(f"`{c}`") for c in out.columns]
-    out = out.select(*kept, *base_columns(F.col(f"`{text}`")))
-    out = out.select(*kept, F.col("counted.n_words").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("counted.n_repeat_words").alias("n_repeat_words"))
+    words_first, *others = base_columns(F.col(f"`{text}`"))
+    out = out.select(*kept, words_first.alias(counted), *others)
+    out = out.select(*kept, F.col(f"{counted}.n_words").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col(f"{counted}.n_repeat_words").alias("n_repeat_words"))
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
@@ -113,7 +115,7 @@ def judge(docs: DataFrame, max_docs: int = 50, min_words: int = 20, min_share: f
     """
     removed = removed_words(docs, max_docs, text, host)
     (rh,) = fresh(docs, "rh")
-    base = measured(docs.withColumn(rh, row_hash(docs)), text)
+    base = measured(docs.select("doc_id", F.col(f"`{text}`"), row_hash(docs).alias(rh)), text)
     base = base.select("doc_id", F.col(rh).alias("rh"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     b, r = base.alias("b"), removed.alias("r")
     out = b.join(r, F.col("b.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("b.rh") == F.col("r.rh")), "left")

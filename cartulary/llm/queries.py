@@ -95,6 +95,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: All pairs that share a gram; components by reachability.
+OP1 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS gram FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 3, least(len(ws) + 1, 2)))) AS i)),
+  n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+  shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+  links AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 80 * (a.n + b.n - i)),
+  edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+  reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN edges ON r = x),
+  c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""
+
 #: Null texts count as empty; rows are told apart by a number of their own.
 OP4 = rf"""WITH d AS (SELECT *, row_number() OVER () AS r, {WORDS_SQL} AS ws FROM documents),
   win AS (SELECT r, p, hash(array_to_string(ws[p:p + 7], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 6)) AS p)),
@@ -131,4 +142,4 @@ OP6 = r"""WITH u AS (SELECT *, regexp_replace(url, '#.*$', '') AS bare FROM page
 SELECT 'r' || page_id::VARCHAR AS record_id, key AS canonical_url, later AS captured, verdict, CASE WHEN verdict = 'resolved' THEN 'p' || found::VARCHAR END AS refers_to, CASE WHEN verdict = 'resolved' THEN digest END AS payload_digest,
   CASE WHEN verdict = 'resolved' THEN 'cache-control: max-age=120; content-length: ' || n::VARCHAR || '; content-type: text/html; date: ' || later::VARCHAR || '; etag: ' || tag || '; last-modified: ' || made::VARCHAR END AS headers FROM v"""
 
-ORACLE: dict[str, str] = {"op2_chat_formatting": OP2, "op4_quality_rules": OP4, "op6_warc_revisits": OP6}
+ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1, "op2_chat_formatting": OP2, "op4_quality_rules": OP4, "op6_warc_revisits": OP6}

@@ -13,7 +13,7 @@ from cartulary.llm import bpe
 from cartulary.llm.common import fresh, without
 
 #: Pre-tokens that are held at once; more of them are handled in further rounds.
-CHUNK = 400_000
+CHUNK = 200_000
 
 
 def chunks(texts: list[str], tokenizer: bpe.Tokenizer) -> Iterator[tuple[list[int], list[str]]]:

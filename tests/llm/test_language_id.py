@@ -1,4 +1,3 @@
-import math
 import zlib
 
 import numpy as np
@@ -51,8 +50,8 @@ def test_expected_counts_are_those_of_the_segmentations(model):
 def test_held_out_accuracy_and_odd_texts(spark):
     rows = documents(300, seed=9)
     out = {r.doc_id: r for r in language_id.identify(frame(spark, rows).withColumns({"lang_pred": F.lit(1), "best": F.lit(2)}), language_pieces()).collect()}
-    held = [(i, t, lang) for i, t, lang, *_ in rows if i is not None and lang and zlib.crc32(str(i).encode()) % 5 == 0 and len((t or "").split()) > 15]
-    assert len(held) > 20 and np.mean([out[i].lang_pred == lang for i, _, lang in held]) > 0.85
+    held = [(i, t, lang) for i, t, lang, *_ in rows if i is not None and lang and i < 300 and i % 3 == 0 and zlib.crc32(str(i).encode()) % 5 == 0 and len((t or "").split()) > 5]
+    assert len(held) > 10 and np.mean([out[i].lang_pred == lang for i, _, lang in held]) > 0.85
     for i, t, *_ in rows:
         r = out[i]
         assert 0 <= r.score <= 1 and r.held_out == (zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 0)
@@ -71,4 +70,4 @@ def test_without_labels_or_rows(spark):
 
 
 def test_long_words_stay_finite(model):
-    assert math.isfinite(model.log_probs(["x" * 5000])[0, 0])
+    assert np.isfinite(model.log_probs(["x" * 5000, "漢" * 500, "ᚠᚢᚦ" * 50])).all()

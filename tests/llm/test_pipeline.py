@@ -1,13 +1,11 @@
 import hashlib
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline as pipeline
 from tests.llm.support import documents, frame
 
-pipeline = pytest.importorskip("corpus_pipeline")
-
 
 def test_stages_take_effect_and_keep_columns(spark, tmp_path):
     rows = documents(150)

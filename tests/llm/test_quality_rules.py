@@ -43,9 +43,10 @@ def verdicts(rows, max_docs, min_words=20, min_share=0.3):
 def test_against_plain_rules(spark):
     rows = documents()
     shared = "This passage stands in many documents of one host and says nothing at all"
+    other = "and another one that every page of the host repeats below the first"
     for k in range(12):
         own = " ".join(f"own{k}x{j}" for j in range(25 if k % 2 else 4))
-        rows.append((2000 + k, f"{shared}\n{shared}\n{own}\n# done <b> 100%", "en", "s1", None))
+        rows.append((2000 + k, f"{shared}\n{shared.upper()} {other}\n{own}\n# done <b> 100%", "en", "s1", None))
     df = frame(spark, rows).withColumns({c: F.lit("x") for c in ("rh", "line", "n", "counted", "kept")})
     out = quality_rules.judge(df, max_docs=5)
     found = [tuple(r) for r in out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept").collect()]
