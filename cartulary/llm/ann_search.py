@@ -126,7 +126,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
     """query_id, rank, vec_id, score: the k nearest found of each query, every usable vector whose id % every = 0.
 
     All usable vectors but the query's own id are candidates. Score is the inner product of the original
-    vectors in double precision; nearest first, ties to the smaller vec_id. Repeated rows are candidates each.
+    vectors in double precision; nearest first, ties to the smaller vec_id. Repeated rows are candidates each;
+    of query rows of one id the smallest vector asks.
     Centroids are fitted on a sample of up to 16,384 vectors (the lowest hashes of ids). How many lists a
     query probes is set by measurement: up to 64 sampled queries are compared with every vector, and the
     probes are as many as find `recall` of their true neighbours. An empty table gives no rows.
@@ -154,7 +155,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
                 yield b.assign(list=own.astype(np.int32))
 
     dealt = materialize(rows.mapInPandas(deal, f"vec_id long, embedding {kept}, list int"), "vector-lists")
-    asking = dealt.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
+    asking = dealt.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     probes = _probes(dealt, asking, index, dims, lists, k, recall)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -59,3 +59,8 @@ def test_vectors_that_take_no_part(spark):
 
 def test_one_vector(spark):
     assert run(spark, [(0, [1.0, 2.0], 0)]) == {}
+
+
+def test_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0], 0), (0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (1, [0.5, 0.5], 0), (2, [0.2, 0.1], 0)]
+    assert [i for i, _ in run(spark, rows)[0]] == [1, 1, 2]
