@@ -77,13 +77,14 @@ def from_all_dates(dates: Column, pivot_year: int = 2010) -> Column:
 
     Two or more: the first and the last. A single one is a birth up to the pivot year, else an issue.
     """
-    known = F.array_sort(F.array_distinct(F.filter(dates, lambda d: d.isNotNull())))
-    first, last, n = F.get(known, 0), F.get(known, F.size(known) - 1), F.size(known)
-    early = F.year(first) <= pivot_year
-    return F.struct(
-        F.when((n > 1) | early, first).alias("birth_date"),
-        F.when(n > 1, last).when(~early, first).alias("issue_date"),
-    )
+
+    def assigned(known: Column) -> Column:
+        first, last, n = F.get(known, 0), F.get(known, F.size(known) - 1), F.size(known)
+        early = F.year(first) <= pivot_year
+        return F.struct(F.when((n > 1) | early, first).alias("birth_date"), F.when(n > 1, last).when(~early, first).alias("issue_date"))
+
+    # in an array of one, so that the dates are made once
+    return F.transform(F.array(F.array_sort(F.array_distinct(F.filter(dates, lambda d: d.isNotNull())))), assigned)[0]
 
 
 def dates_of(text: Column) -> Column:

@@ -49,7 +49,7 @@ def id_from_text(text: Column, keywords: Sequence[str] = ("NUMBER", "DOCUMENT",
     found = lambda pattern, source=text: F.regexp_extract_all(source, F.lit(pattern), F.lit(1))
     by_word = [_first_valid(found(rf"{k}[ .:]*([1-9][0-9. ]{{5,12}}[0-9])", F.upper(text))) for k in keywords]
     dotted = _first_valid(found(r"([1-9][0-9]{0,2}(?:\.[0-9]{3}){2,3})"))
-    alone = _first_valid(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x.rlike("^[0-9. ]{7,14}$")))
+    alone = _first_valid(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.rlike("^[0-9. ]{7,14}$")))
     repaired = _first_valid(F.transform(found(r"([0-9OoQDlIiBbSsZzGgqAT|!]{7,10})"), repair_digits))
     return F.coalesce(*by_word, dotted, alone, repaired)
 

@@ -65,6 +65,44 @@ def resolve_places(values: DataFrame, column: str, places: DataFrame, cutoff: fl
     return out.withColumn("place", place).drop("__key", "__name", "__region", "__close", "__close_region")
 
 
+def longest_first(names: Sequence[str]) -> str:
+    """An alternation of names, the longest first, so that a name within another doesn't hide it."""
+    return "|".join(sorted(names, key=lambda n: (-len(n), n)))
+
+
+def extract_places(lines: DataFrame, places: DataFrame, keys: Sequence[str] = ("document_id", "page_number"), label: str = "PLACE OF ISSUE") -> DataFrame:
+    """(keys, place, stage): each page's place by four stages in turn.
+
+    1 "NAME (REGION)" on any line: the most similar name from 78 on, else the name as it stands. 2 near a line
+    with the label (1 before to 2 after): a gazetteer name, or a word of four letters similar from 84 on. 3 a
+    gazetteer name that is no region anywhere. 4 a word of four letters similar from 85 on.
+    """
+    from pyspark.sql import window as W
+
+    near = W.Window.partitionBy(*keys).orderBy("line_index").rowsBetween(-2, 1)
+    marked = lines.withColumn("__near", F.max(F.upper("text").rlike(label)).over(near))
+    names = gazetteer(places)
+    clean = raw_place(F.col("text"))
+
+    def runs_of(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("__w", i, k), " "))
+
+    runs = F.flatten(F.array(*map(runs_of, (1, 2, 3))))
+    rows = marked.select(*keys, "line_index", "__near", F.get(F.array(place_in_parentheses(F.array("text"))), 0)["name"].alias("__pair"), F.split(clean, " ").alias("__w"))
+    each = rows.select(*keys, "line_index", "__near", F.explode(F.array_distinct(runs)).alias("__text")).where(F.length("__text") >= 3)
+    key = without_accents(F.col("__text"))
+    known = each.withColumn("__k", key).join(names.where(~F.col("is_region")).select(F.col("name_norm").alias("__k"), "canonical"), "__k")
+    exact = known.select(*keys, "line_index", F.when(F.col("__near"), 2).otherwise(3).alias("stage"), F.col("canonical").alias("place"), F.length("__k").alias("n"))
+    pairs = rows.where(F.col("__pair").isNotNull()).select(*keys, "line_index", "__pair")
+    resolved = resolve_places(pairs, "__pair", places, 78.0).select(*keys, "line_index", F.lit(1).alias("stage"), F.coalesce("place", F.upper("__pair")).alias("place"), F.length("__pair").alias("n"))
+    words = each.where((F.length("__text") >= 4) & ~F.col("__text").contains(" ")).withColumn("__k", key)
+    close = best_match(words.select("__k").distinct(), "__k", names.select(F.col("name_norm").alias("word"), "canonical", F.col("is_region").alias("region")), 84.0).where(~F.col("region"))
+    fuzzy = words.join(close, "__k").where(F.col("__near") | (F.col("ratio") >= 85)).select(*keys, "line_index", F.when(F.col("__near"), 2.5).otherwise(4).alias("stage"), F.col("canonical").alias("place"), F.length("__k").alias("n"))
+    every = exact.withColumn("stage", F.col("stage").cast("double")).unionByName(resolved.withColumn("stage", F.lit(1.0))).unionByName(fuzzy.withColumn("stage", F.col("stage").cast("double")))
+    best = F.min_by(F.struct("place", F.floor("stage").cast("int").alias("stage")), F.struct("stage", "line_index", -F.col("n"), "place"))
+    return every.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.place", "b.stage")
+
+
 def place_in_parentheses(lines: Column) -> Column:
     """The first "NAME (REGION)" of any line, as struct<name, region>."""
     pattern = rf"([{LETTERS} ]{{3,30}}?)\s*\(\s*([{LETTERS} ]{{3,30}}?)\s*\)"

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from cartulary.functions.text import is_text_line
+from cartulary.functions.codes import sex_code
+from cartulary.functions.dates import compact_date, parse_date
+from cartulary.functions.places import place_name
+from cartulary.functions.text import is_text_line, person_name
 
 PAGE = ("document_id", "page_number")
 
@@ -62,10 +65,42 @@ def names_by_position(lines: DataFrame, label: str, keys=PAGE) -> DataFrame:
 
 def sex_near(lines: Column, keyword: str = "SEX") -> Column:
     """The sex on the keyword's line, alone on the line before, or on one of the next three."""
-    from cartulary.functions.codes import sex_code
-
     upper = F.transform(lines, lambda x: F.upper(F.trim(x)))
     at = F.get(F.filter(F.transform(upper, lambda x, i: F.when(x.rlike(rf"\b{keyword}\b"), i)), lambda i: i.isNotNull()), 0)
     inline = F.regexp_extract(F.get(upper, at), rf"{keyword}[ :]*(M|F|MASC|FEM)\b", 1)
     alone = F.transform(F.concat(F.slice(upper, F.greatest(at, F.lit(1)), F.when(at > 0, 1).otherwise(0)), F.slice(upper, at + 2, 3)), sex_code)
     return F.when(at.isNotNull(), F.coalesce(sex_code(F.nullif(inline, F.lit(""))), F.get(F.filter(alone, lambda x: x.isNotNull()), 0)))
+
+
+def _first_index(lines: Column, pattern: str) -> Column:
+    return F.get(F.filter(F.transform(lines, lambda x, i: F.when(F.upper(x).rlike(pattern), i)), lambda i: i.isNotNull()), 0)
+
+
+def compact_date_after(lines: Column, keyword: str, ahead: int = 2) -> Column:
+    """The first compact date on the lines after a keyword's."""
+    at = _first_index(lines, rf"\b{keyword}\b")
+    found = F.filter(F.transform(F.slice(lines, F.coalesce(at, F.lit(0)) + 2, ahead), compact_date), lambda d: d.isNotNull())
+    return F.when(at.isNotNull(), F.get(found, 0))
+
+
+def date_and_place(lines: Column, keyword: str, before: int = 2, after: int = 3) -> Column:
+    """struct<date, place> of the first line "DATE[,] PLACE" around a keyword's line, else anywhere."""
+    pattern = r"^\s*([0-9]{1,2}[ \-/.]?[A-Z]{3,4}[ \-/.]?[0-9]{4})[,.]?\s+(\D{3,})$"
+    pair = lambda x: F.struct(parse_date(F.regexp_extract(F.upper(x), pattern, 1)).alias("date"), place_name(F.regexp_extract(F.upper(x), pattern, 2)).alias("place"))
+    first = lambda xs: F.get(F.filter(F.transform(xs, pair), lambda p: p["date"].isNotNull() & p["place"].isNotNull()), 0)
+    at = _first_index(lines, rf"\b{keyword}\b")
+    start = F.greatest(F.coalesce(at, F.lit(0)) - before, F.lit(0))
+    near = F.slice(lines, start + 1, F.coalesce(at, F.lit(0)) + after + 1 - start)
+    return F.coalesce(F.when(at.isNotNull(), first(near)), first(lines))
+
+
+def line_before_label(lines: Column, label: str) -> Column:
+    """The name on the line before a line that holds nothing but a label."""
+    at = _first_index(lines, rf"^\s*{label}\s*$")
+    return F.when(at > 0, person_name(F.get(lines, at - 1)))
+
+
+def words_after_label(text: Column, label: str, most: int = 5) -> Column:
+    """Up to five words after a label, cleaned as a name."""
+    found = F.regexp_extract(F.upper(text), rf"{label}[ :.]*\n?\s*((?:[A-ZÁÉÍÓÚÜÑ]+[ ]?){{1,{most}}})", 1)
+    return person_name(F.nullif(found, F.lit("")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -129,19 +130,26 @@ def best_candidates(pairs: DataFrame) -> DataFrame:
 def exclusive(pairs: DataFrame, order: Sequence[str]) -> DataFrame:
     """The best candidate of each field in a given order of fields; a line serves one field.
 
-    The number of fields is fixed, so this is one anti-join a field, whatever the number of pages.
+    Each choice depends on those before it, so a page's candidates are chosen together, a page at a time.
     """
-    keys = ["document_id", "page_number", "line_index"]
-    used, out = None, None
-    for field in order:
-        mine = pairs.where(F.col("field") == field)
-        if used is not None:
-            mine = mine.join(used, keys, "left_anti")
-        best = best_candidates(mine)
-        taken = best.select(*keys)
-        used = taken if used is None else used.union(taken)
-        out = best if out is None else out.unionByName(best)
-    return out
+    keys = ["document_id", "page_number", "field", "line_index"]
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["spatial", "line_index"], ascending=[False, True], kind="stable")
+        used: list[int] = []
+        taken = []
+        for field in order:
+            mine = rows[(rows["field"] == field) & ~rows["line_index"].isin(used)]
+            if len(mine):
+                taken.append(mine.iloc[:1])
+                used.append(mine["line_index"].iloc[0])
+        return pd.concat([rows.iloc[:0], *taken])[keys]
+
+    ok = pairs.where(F.col("relation").isin(*COMPATIBLE))
+    slim = ok.select(*keys, "spatial")
+    chosen = slim.groupBy("document_id", "page_number").applyInPandas(choose, slim.drop("spatial").schema)
+    best = ok.join(chosen, keys)
+    return best.withColumn("f", field_score(F.col("spatial"), F.col("confidence"))).select("*", F.col("f.score").alias("score"), F.col("f.status").alias("status")).drop("f")
 
 
 def debug_report(labels: DataFrame, pairs: DataFrame, accepted: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -312,6 +313,8 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Events that arrive as files, merged batch by batch into one row a user."""
     events = table(spark, d, "events").schema
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = f"{configured.rstrip('/')}/stream-{tempfile.mktemp(prefix='', dir='').strip('/')}" if configured else tempfile.mkdtemp(prefix="cartulary-stream-")
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = f"{configured.rstrip('/')}/stream-{uuid.uuid4().hex}" if configured else tempfile.mkdtemp(prefix="cartulary-stream-")
     start_upserts(spark, f"{d}/event[s].parquet", events, f"{base}/store", f"{base}/state", "user_id", ["ts", "event_id"], ["event_type", "props"], "value", []).awaitTermination()
     return latest_version(spark, f"{base}/store")
