@@ -1,11 +1,12 @@
 """A Katz backoff language model of words, learned from and evaluated on whole corpora.
 
-    p(w | v) = d(c(v w)) c(v w) / c(v)   if the pair v w was seen MIN_COUNT times or more in training
+    p(w | v) = d(c(v w)) c(v w) / c(v)   if the pair v w was seen min_count times or more in training
              = alpha(v) p(w)             otherwise
     p(w)     = d(c(w)) c(w) / N          if w was seen in training; else what is left, for any unknown word
 
-d are Good-Turing discounts, and alpha(v) makes the probabilities after v sum to exactly 1. Pairs seen once are
-treated as unseen, as Katz proposed: their mass goes to the backoff.
+d are Good-Turing discounts, and alpha(v) makes the probabilities after v sum to exactly 1. With a min_count of 1
+every pair keeps its count, as the registered query has it. With 2, the default, pairs seen once are treated as
+unseen, as Katz proposed: their mass goes to the backoff.
 
 Batches of documents send their distinct words and pairs to ranges of the hash space; each range adds up its
 counts, keeps them as its part of the model's tables, and answers each batch. A second pass over the documents
@@ -33,6 +34,7 @@ from cartulary.llm.packing import MASK, U64, Reader, mix64, pack, pack_sorted, r
 BATCH, RANGE = 1_000_000, 1_000_000
 #: Counts up to this are discounted.
 K = 5
+#: Of score() without a min_count.
 MIN_COUNT = 2
 PAIRS, WORDS, PAIR_TABLE, WORD_TABLE, PAIR_STATS, WORD_STATS = range(6)
 OTHER_ORDER = "the documents came in another order on the second pass; write them to a table first"
@@ -139,37 +141,40 @@ def _ask(ranges: int):
     return send
 
 
-def _sum(rows: pd.DataFrame) -> pd.DataFrame:
-    """A range's counts: the answer to each batch (its keys' counts, in its order), the range's table and statistics."""
-    fragment, kind = rows["fragment"].iloc[0], rows["kind"].iloc[0]
-    first, second, count, sizes = [], [], [], []
-    for data in rows["data"]:
-        r = Reader(data)
-        if kind == PAIRS:
-            heads, times = r.sorted(), r.ints().astype(np.int64)
-            first.append(np.repeat(heads, times))
-            second.append(r.ints())
-        else:
-            first.append(r.sorted())
-            second.append(np.zeros(len(first[-1]), dtype=U64))
-        count.append(r.ints().astype(np.int64))
-        sizes.append(len(count[-1]))
-    first, second, count = np.concatenate(first), np.concatenate(second), np.concatenate(count)
-    order = np.lexsort((second, first)) if kind == PAIRS else np.argsort(first, kind="stable")
-    a, b = first[order], second[order]
-    starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    total = np.add.reduceat(count[order], starts)
-    each = np.empty(len(order), np.int64)
-    each[order] = np.repeat(total, np.diff(np.append(starts, len(order))))
-    ends = np.cumsum(sizes)
-    answers = [pack(each[e - n : e]) for n, e in zip(sizes, ends, strict=True)]
-    if kind == WORDS:  # the words go along, for the backoff weights
-        answers = [d + x for d, x in zip(rows["data"], answers, strict=True)]
-    kept = total >= (MIN_COUNT if kind == PAIRS else 1)
-    table = pack_sorted(a[starts][kept]) + pack(b[starts][kept]) + pack(total[kept])
-    stats = pack(np.append(np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2], [total.sum(), (total > 0).sum()]))
-    more = pd.DataFrame({"fragment": fragment, "batch": 0, "kind": [kind + 2, kind + 4], "data": [table, stats]})
-    return pd.concat([rows.assign(data=answers), more])
+def _sum(min_count: int):
+    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
+        """A range's counts: the answer to each batch (its keys' counts, in its order), the range's table and statistics."""
+        fragment, kind = rows["fragment"].iloc[0], rows["kind"].iloc[0]
+        first, second, count, sizes = [], [], [], []
+        for data in rows["data"]:
+            r = Reader(data)
+            if kind == PAIRS:
+                heads, times = r.sorted(), r.ints().astype(np.int64)
+                first.append(np.repeat(heads, times))
+                second.append(r.ints())
+            else:
+                first.append(r.sorted())
+                second.append(np.zeros(len(first[-1]), dtype=U64))
+            count.append(r.ints().astype(np.int64))
+            sizes.append(len(count[-1]))
+        first, second, count = np.concatenate(first), np.concatenate(second), np.concatenate(count)
+        order = np.lexsort((second, first)) if kind == PAIRS else np.argsort(first, kind="stable")
+        a, b = first[order], second[order]
+        starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        total = np.add.reduceat(count[order], starts)
+        each = np.empty(len(order), np.int64)
+        each[order] = np.repeat(total, np.diff(np.append(starts, len(order))))
+        ends = np.cumsum(sizes)
+        answers = [pack(each[e - n : e]) for n, e in zip(sizes, ends, strict=True)]
+        if kind == WORDS:  # the words go along, for the backoff weights
+            answers = [d + x for d, x in zip(rows["data"], answers, strict=True)]
+        kept = total >= (min_count if kind == PAIRS else 1)
+        table = pack_sorted(a[starts][kept]) + pack(b[starts][kept]) + pack(total[kept])
+        stats = pack(np.append(np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2], [total.sum(), (total > 0).sum()]))
+        more = pd.DataFrame({"fragment": fragment, "batch": 0, "kind": [kind + 2, kind + 4], "data": [table, stats]})
+        return pd.concat([rows.assign(data=answers), more])
+
+    return add_up
 
 
 def _statistics(rows: DataFrame) -> np.ndarray:
@@ -289,7 +294,7 @@ def _texts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([press.compress(data)], pa.binary())], names=["batch", "data"])
 
 
-def _scores(ranges: int, uni: Unigrams, d: np.ndarray):
+def _scores(ranges: int, uni: Unigrams, d: np.ndarray, min_count: int):
     def score(rows: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         if len(texts) != 1 or not len(rows):
             raise ValueError(OTHER_ORDER)
@@ -325,7 +330,7 @@ def _scores(ranges: int, uni: Unigrams, d: np.ndarray):
         with np.errstate(divide="ignore"):
             seen = np.log10(np.where(pair <= K, d[np.minimum(pair, K)], 1.0) * pair / base[v])
             unseen = np.log10(alpha[v]) + np.log10(uni.p(count))[w]
-            each = np.where(pair >= MIN_COUNT, seen, unseen)[at]
+            each = np.where(pair >= min_count, seen, unseen)[at]
             plain = np.log10((count + 0.1) / (uni.tokens + 0.1 * (uni.types + 1)))[tokens]
         starts = ends - sizes
         out = pd.DataFrame({"doc_id": ids, "held_out": ~training, "n_tokens": sizes})
@@ -340,12 +345,12 @@ def _scores(ranges: int, uni: Unigrams, d: np.ndarray):
     return score
 
 
-def score(docs: DataFrame, folds: int = 10, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, text: str = "text", doc_id: str = "doc_id", min_count: int = MIN_COUNT) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learned from the documents whose crc32(doc_id as text) mod folds is not 0; the others are held out. Words
     have A-Z lower-cased; each text ends with one end token. A null text counts as empty: its end is scored. A
-    null doc_id counts as empty text for the fold. Repeated rows count, and are scored, each. base_score is that
+    null doc_id counts as empty text for the fold. Pairs seen less than min_count (1 or more) times are unseen. Repeated rows count, and are scored, each. base_score is that
     of a unigram model with 0.1 added to each count; score is log10 of the Katz probability. Without training
     documents every token is the unknown word. An empty table gives no rows. The documents are read twice and must
     come in the same order, as a stored table gives them.
@@ -355,10 +360,10 @@ def score(docs: DataFrame, folds: int = 10, text: str = "text", doc_id: str = "d
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), training, F.col(f"`{text}`").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // 7 // RANGE))
-    counted = materialize(rows.mapInArrow(_ask(ranges), ROW).groupBy("fragment").applyInPandas(_sum, ROW), "ngram-counts", partition_by="kind")
+    counted = materialize(rows.mapInArrow(_ask(ranges), ROW).groupBy("fragment").applyInPandas(_sum(min_count), ROW), "ngram-counts", partition_by="kind")
     of = lambda kind: counted.where(F.col("kind") == kind)
     uni, pair_stats = Unigrams.of(_statistics(of(WORD_STATS))), _statistics(of(PAIR_STATS))
-    d = discounts(pair_stats[: K + 1], MIN_COUNT)
+    d = discounts(pair_stats[: K + 1], min_count)
     contexts = materialize(backoff(_table(of(PAIR_TABLE)), _table(of(WORD_TABLE)), d, uni), "backoff-weights")
     # the same rule as range_of()
     place = F.lit(ranges) + F.shiftright(F.shiftright("word", 16) * F.lit(ranges).cast("long"), 32)
@@ -369,4 +374,4 @@ def score(docs: DataFrame, folds: int = 10, text: str = "text", doc_id: str = "d
     # the texts have a stage of their own, whose tasks number their batches as the first pass did
     texts = rows.mapInArrow(_texts, "batch long, data binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answers.groupBy("batch").cogroup(texts.groupBy("batch")).applyInPandas(_scores(ranges, uni, d), schema)
+    return answers.groupBy("batch").cogroup(texts.groupBy("batch")).applyInPandas(_scores(ranges, uni, d, min_count), schema)

@@ -66,7 +66,7 @@ def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_lm.score(read(spark, sf_dir, "documents"), folds=10)
+    return katz_lm.score(read(spark, sf_dir, "documents"), folds=10, min_count=1)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,46 @@ def test_against_the_formulas(spark):
     assert sum(r.score for r in apart) > sum(r.base_score for r in apart)
 
 
+def test_query_uses_pairs_seen_once(spark, tmp_path):
+    """op8 keeps every pair: one seen once has its discounted count, not the backoff."""
+    from cartulary.llm import queries
+
+    rows = documents(150)
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    uni, bi = Counter(), Counter()
+    for i, t, *_ in rows:
+        if zlib.crc32(b"" if i is None else str(i).encode()) % 10:
+            ws = tokens(t)
+            uni.update(ws)
+            bi.update(zip(["<s>\x20", *ws], ws))
+    of = lambda c: np.array([sum(v == r for v in c.values()) for r in range(1, katz_lm.K + 2)])
+    du, db = katz_lm.discounts(of(uni)), katz_lm.discounts(of(bi), 1)
+    n = sum(uni.values())
+    assert min(bi.values()) == 1 and db[1] > 0
+    mass = sum(Plain.part(c, du) for c in uni.values())
+    total = n + (1 if n - mass <= 0 else 0)
+    p1 = lambda w: Plain.part(uni[w], du) / total if w in uni else (total - mass) / total
+    after = defaultdict(dict)
+    for (v, w), c in bi.items():
+        after[v][w] = c
+
+    def p(v, w):
+        seen = after.get(v, {})
+        count = uni[END] if v == "<s>\x20" else uni[v]
+        kept = sum(Plain.part(c, db) for c in seen.values())
+        base = count + (1 if count - kept < 1e-9 else 0)
+        if w in seen:
+            return Plain.part(seen[w], db) / base
+        return ((1 - kept / base) / (1 - sum(map(p1, seen))) if seen else 1.0) * p1(w)
+
+    known = {}
+    for r in queries.op8_lm_katz(spark, str(tmp_path)).collect():
+        known.setdefault(r.doc_id, r.score)
+    for i, t, *_ in rows:
+        ws = tokens(t)
+        assert known[i] == pytest.approx(sum(math.log10(p(v, w)) for v, w in zip(["<s>\x20", *ws], ws)), rel=1e-9)
+
+
 def test_without_training_rows_or_any(spark):
     assert katz_lm.score(frame(spark, [])).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
