@@ -113,12 +113,15 @@ def is_text_line(line: Column, stop_words: Sequence[str] = NAME_STOP_WORDS) -> C
 
 def duplicate_words(words: Column) -> Column:
     """struct<duplicated, kept>: whether a word repeats by its key, and the first of each."""
-    def found(keys: Column) -> Column:
-        kept = F.filter(words, lambda w, i: F.array_position(keys, F.get(keys, i)) == i + 1)
-        return F.struct((F.size(F.array_distinct(keys)) < F.size(keys)).alias("duplicated"), kept.alias("kept"))
+    def found(s: Column) -> Column:
+        # the first of each key comes after another key; sorting, unlike a search per word, suits long texts
+        first = F.filter(s, lambda x, i: x["key"].isNotNull() & ((i == 0) | ~x["key"].eqNullSafe(F.get(s, i - 1)["key"])))
+        kept = F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["word"].alias("word")))), lambda x: x["word"])
+        return F.struct((F.size(F.array_distinct(F.transform(s, lambda x: x["key"]))) < F.size(s)).alias("duplicated"), kept.alias("kept"))
 
+    keyed = F.transform(words, lambda w, i: F.struct(word_key(w).alias("key"), i.alias("at"), w.alias("word")))
     # in an array of one, so that the keys are made once for all words
-    return F.transform(F.array(F.transform(words, word_key)), found)[0]
+    return F.transform(F.array(F.array_sort(keyed)), found)[0]
 
 
 def needs_recognition(text: Column) -> Column:

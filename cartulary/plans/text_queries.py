@@ -250,6 +250,17 @@ def duplicate_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", found["duplicated"].alias("duplicated"), F.size(found["kept"]).cast("long").alias("kept"))
 
 
+@query(
+    """WITH t AS (SELECT doc_id, list_filter(string_split(lower(translate(text, chr(10), ' ')), ' '), lambda x: regexp_full_match(x, '[a-z]+')) AS ws FROM documents)
+    SELECT doc_id, len(list_distinct(ws)) < len(ws) AS duplicated, len(list_distinct(ws)) AS kept FROM t"""
+)
+def duplicate_tokens_whole(spark: SparkSession, d: str) -> DataFrame:
+    """duplicate_tokens over all words of each document."""
+    tokens = F.filter(F.split(F.lower(F.translate("text", "\n", " ")), " "), lambda x: x.rlike("^[a-z]+$"))
+    found = F.transform(F.array(text.duplicate_words(tokens)), lambda x: F.struct(x["duplicated"].alias("duplicated"), F.size(x["kept"]).cast("long").alias("kept")))[0]
+    return table(spark, d, "documents").select("doc_id", found.alias("f")).select("doc_id", "f.duplicated", "f.kept")
+
+
 BOX_SQL = "(l_quantity / 60.0) AS x, ((l_partkey % 97) / 100.0)::DOUBLE AS y, (0.05 + l_discount)::DOUBLE AS w, 0.02::DOUBLE AS h"
 REL_SQL = """CASE WHEN c.y < l.y - 0.14 THEN 'ABOVE' WHEN l.y - c.y > 0 AND l.y - c.y <= 0.14 AND abs((c.x + c.w / 2) - (l.x + l.w / 2)) <= l.w * 3.5 THEN 'DIRECTLY_ABOVE'
   WHEN c.y - l.y > 0 AND c.y - l.y <= 0.15 AND abs((c.x + c.w / 2) - (l.x + l.w / 2)) <= l.w * 3.5 THEN 'DIRECTLY_BELOW' WHEN abs(c.y - l.y) <= l.h * 1.8 AND c.x >= l.x + l.w * 0.1 THEN 'DIRECTLY_RIGHT'
