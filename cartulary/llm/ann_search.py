@@ -83,6 +83,8 @@ def matrix(column: pd.Series, dims: int) -> np.ndarray:
 def scan(q: np.ndarray, v: np.ndarray, top: float, turn: np.ndarray, k: int, epsilon: float = EPSILON) -> Iterator[tuple[int, np.ndarray]]:
     """For each query (row of q), the places in v that may be among its k nearest, ties of the k-th included.
 
+    Never fewer than k, or all of v: those that set the limit stay, whatever the test says of them.
+
     Partial distances of all pairs are matrix products while many are left, and sums pair by pair once few are.
     """
     rq, rv = np.column_stack([q, np.zeros(len(q))]) @ turn, lifted(v, top) @ turn
@@ -93,24 +95,29 @@ def scan(q: np.ndarray, v: np.ndarray, top: float, turn: np.ndarray, k: int, eps
         return (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)
 
     def bound(e: int) -> np.ndarray:
-        return limit * (e / dims) * ((1 + epsilon / np.sqrt(e)) ** 2 if e < dims else 1) + 1e-9
+        return limit * (e / dims) * ((1 + epsilon / np.sqrt(e)) ** 2 if e < dims else 1) + 1e-9 * top * top
 
     first = min(len(v), max(4 * k, 256))
-    limit = np.partition(distances(0, dims, first), k - 1, axis=1)[:, k - 1] if first > k else np.full(len(q), np.inf)
+    limit, sure = np.full(len(q), np.inf), np.zeros((len(q), len(v)), dtype=bool)
+    if first > k:
+        whole = distances(0, dims, first)
+        closest = np.argpartition(whole, k - 1, axis=1)[:, :k]
+        limit = np.take_along_axis(whole, closest, 1).max(axis=1)
+        np.put_along_axis(sure, closest, True, 1)
     partial, at = np.zeros((len(q), len(v))), 0
     alive = np.ones_like(partial, dtype=bool)
     while at < dims and alive.mean() >= 0.1:
         end = min(dims, at + STEP)
         partial += distances(at, end)
         at = end
-        alive = partial <= bound(at)[:, None]
+        alive = sure | (partial <= bound(at)[:, None])
     row, col = np.nonzero(alive)
     left = partial[row, col]
     while at < dims:
         end = min(dims, at + STEP)
         left = left + ((rq[row, at:end] - rv[col, at:end]) ** 2).sum(1)
         at = end
-        stay = left <= bound(at)[row]
+        stay = sure[row, col] | (left <= bound(at)[row])
         row, col, left = row[stay], col[stay], left[stay]
     ends = np.searchsorted(row, np.arange(len(q) + 1))
     for i in range(len(q)):
@@ -130,7 +137,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
     of query rows of one id the smallest vector asks.
     Centroids are fitted on a sample of up to 16,384 vectors (the lowest hashes of ids). How many lists a
     query probes is set by measurement: up to 64 sampled queries are compared with every vector, and the
-    probes are as many as find `recall` of their true neighbours. An empty table gives no rows.
+    probes are as many as find `recall` of their true neighbours. A query whose lists hold fewer than k
+    candidates probes its next lists until they hold k. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, vec_id, embedding), "vectors")
@@ -155,25 +163,34 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
                 yield b.assign(list=own.astype(np.int32))
 
     dealt = materialize(rows.mapInPandas(deal, f"vec_id long, embedding {kept}, list int"), "vector-lists")
-    asking = dealt.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asking = dealt.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.count(F.lit(1)).cast("int").alias("copies"))
     probes = _probes(dealt, asking, index, dims, lists, k, recall)
 
+    held = np.zeros(lists, dtype=np.int64)
+    for r in dealt.groupBy("list").count().collect():  # one row a list, MAX_LISTS at most
+        held[r["list"]] = r["count"]
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centroids = index.value[0]
         for b in batches:
             if len(b):
                 x = matrix(b["embedding"], dims)
-                near = nearest(np.column_stack([x, np.zeros(len(x))]), centroids, probes)
-                yield pd.DataFrame({"query_id": np.repeat(b["vec_id"].to_numpy(), probes), "query": np.repeat(np.array(b["embedding"], dtype=object), probes), "list": near.ravel().astype(np.int32)})
+                near = nearest(np.column_stack([x, np.zeros(len(x))]), centroids, lists)
+                copies = b["copies"].to_numpy()
+                # a list is needed while those before it hold fewer than k rows besides the query's own
+                before = np.cumsum(held[near], axis=1) - held[near]
+                take = (np.arange(lists) < probes) | (before < k + copies[:, None])
+                times = take.sum(1)
+                yield pd.DataFrame({"query_id": np.repeat(b["vec_id"].to_numpy(), times), "query": np.repeat(np.array(b["embedding"], dtype=object), times), "copies": np.repeat(copies, times), "list": near[take].astype(np.int32)})
 
     # one row a list, MAX_LISTS at most
     sizes = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    routed = materialize(asking.mapInPandas(route, f"query_id long, query {kept}, list int"), "routed-queries")
+    routed = materialize(asking.mapInPandas(route, f"query_id long, query {kept}, copies int, list int"), "routed-queries")
     asked = routed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qblocks"))
     shape = F.broadcast(sizes.join(asked, "list"))
     parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # a list too large for one task is cut into blocks, and so are its queries; each block meets each
-    left = routed.join(shape, "list").select("list", "query_id", "query", F.pmod(F.xxhash64("query_id"), "qblocks").cast("int").alias("qblock"), parts("blocks").alias("block"))
+    left = routed.join(shape, "list").select("list", "query_id", "query", "copies", F.pmod(F.xxhash64("query_id"), "qblocks").cast("int").alias("qblock"), parts("blocks").alias("block"))
     right = dealt.join(shape, "list").select("list", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), parts("qblocks").alias("qblock"))
 
     def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -181,9 +198,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
         if len(asked) and len(held):
             _, norm, turn = index.value
             q, v = matrix(asked["query"], dims), matrix(held["embedding"], dims)
-            ids, names = held["vec_id"].to_numpy(), asked["query_id"].to_numpy()
+            ids, names, copies = held["vec_id"].to_numpy(), asked["query_id"].to_numpy(), asked["copies"].to_numpy()
             for at in range(0, len(q), 256):
-                for i, places in scan(q[at : at + 256], v, norm, turn, k + 1, epsilon):
+                for i, places in scan(q[at : at + 256], v, norm, turn, k + int(copies[at : at + 256].max()), epsilon):
                     places = places[ids[places] != names[at + i]]
                     score = exact(q[at + i], v[places])
                     order = np.lexsort((ids[places], -score))[:k]

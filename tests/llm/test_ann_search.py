@@ -64,3 +64,16 @@ def test_one_vector(spark):
 def test_repeated_rows(spark):
     rows = [(0, [1.0, 0.0], 0), (0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (1, [0.5, 0.5], 0), (2, [0.2, 0.1], 0)]
     assert [i for i, _ in run(spark, rows)[0]] == [1, 1, 2]
+
+
+def test_every_query_gets_k_rows(spark):
+    rng = np.random.default_rng(5)
+    place = lambda: 10 * rng.standard_normal(24)
+    x = np.concatenate([place() + 0.1 * rng.standard_normal((n, 24)) for n in [150] * 20 + [6] * 12])
+    ids = np.arange(len(x)) * 20
+    ids[rng.random(len(x)) > 0.1] += 1  # one in ten asks
+    ids[3000::6] = np.arange(3000, len(x), 6) * 20  # and one of each tiny group
+    rows = [(int(i), [float(a) for a in v], 0) for i, v in zip(ids, x.astype(np.float32))]
+    rows += [(int(ids[3000]), rows[3000][1], 0)] * 30  # a query of many copies
+    found = run(spark, rows, recall=0.01)
+    assert set(found) == {int(i) for i in ids if i % 20 == 0} and {len(f) for f in found.values()} == {20}
