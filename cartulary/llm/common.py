@@ -75,9 +75,10 @@ def crc_mod(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def row_hash(df: DataFrame) -> Column:
-    """Tells rows of one id apart by their content; equal rows share it."""
-    return F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in ("text", "lang", "source") if c in df.columns])
+def row_hash(df: DataFrame, text: str = "text", source: str = "source") -> Column:
+    """Tells rows of one id apart by their text, language and source; equal rows share it, and null is a value of its own."""
+    held = [F.col(f"`{c}`") for c in (text, "lang", source) if c in df.columns]
+    return F.xxhash64(*[x for c in held for x in (c.isNull(), c.cast("string"))])
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -12,7 +12,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -25,40 +25,61 @@ BUCKET = 4096
 def sized(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """Distinct rows as (doc_id, rh, source, size, copies_in): size counts words, copies_in equal rows."""
     size = F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), row_hash(docs).alias("rh"), F.col(f"`{source}`").alias("source"), size.alias("size"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), row_hash(docs, text, source).alias("rh"), F.col(f"`{source}`").alias("source"), size.alias("size"))
     return rows.groupBy("doc_id", "rh", "source", "size").agg(F.count(F.lit(1)).alias("copies_in"))
 
 
+def exact_sum(value: Column, digits: int = 9) -> Column:
+    """A sum that is the same whatever the order in which rows arrive: of decimals, given as a double."""
+    return F.sum(value.cast(f"decimal(38,{digits})")).cast("double")
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources with sid, their place by code point, null last: ranges are sorted apart, and what comes before each is added."""
+    dealt = materialize(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "mix-sources")
+    before, offsets = 0, [(-1, 0)]
+    for r in dealt.groupBy("part").count().orderBy("part").collect():  # a row a partition
+        offsets.append((r["part"], before))
+        before += r["count"]
+    place = F.row_number().over(W.Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    first = dealt.sparkSession.createDataFrame(offsets, "part int, before long")
+    return dealt.withColumn("place", place).join(first, "part").withColumn("sid", F.col("before") + F.col("place")).drop("part", "place", "before")
+
+
 def targets(units: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), total: float = 1.5, cap: float = 2.0) -> DataFrame:
     """One row a source: sid, source, source_size, n_units, mean_size, target.
 
     Sources in code point order, null last, get the weights in turn and share total * all words by weight. A
     target stops at cap * its source's size; the excess goes to the others by weight until none is above. That
-    fixed point gives every uncapped source level * weight, and caps those with the smallest size for their
-    weight, so it follows from running sums over the sources. Only sources, not documents, meet in one task.
+    fixed point gives every uncapped source level * weight. Each round is one sum over the sources: the level that
+    the sources below it, at their caps, leave to the others; it rises until no more sources lie below.
     """
+    square = F.col("size").cast("decimal(18,0)") * F.col("size").cast("decimal(18,0)")
     stats = units.groupBy("source").agg(
         F.sum(F.col("size") * F.col("copies_in")).alias("source_size"),
         F.sum("copies_in").alias("n_units"),
-        F.sum(F.col("size").cast("double") * F.col("size") * F.col("copies_in")).alias("squares"),
+        exact_sum(square * F.col("copies_in"), 0).alias("squares"),
     )
-    ranked = stats.withColumn("sid", F.row_number().over(W.Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    ranked = ranked.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("sid") % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("most", cap * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("w"))
-    up = W.Window.orderBy("ratio", "sid").rowsBetween(W.Window.unboundedPreceding, -1)
-    rest = W.Window.orderBy("ratio", "sid").rowsBetween(0, W.Window.unboundedFollowing)
-    everything = W.Window.orderBy(F.lit(1)).rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
-    level = (total * F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(up), F.lit(0.0))) / F.sum("w").over(rest)
-    leveled = ranked.withColumn("level", level)
-    # the first source, by ratio, that the level leaves below its cap sets the level of all that follow
-    found = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "sid", "level"))).over(everything)["level"]
-    return leveled.select(
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
+    ranked = numbered(stats).withColumn("w", weight).withColumn("most", cap * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("w"))
+    ranked = materialize(ranked, "mix-weights")
+    level, words = -math.inf, ranked.agg(F.sum("source_size")).first()[0] or 0
+    while True:
+        capped = F.col("ratio") < F.lit(level)
+        held = ranked.agg(F.sum(F.when(capped, F.col("source_size"))).alias("size"), exact_sum(F.when(~capped, F.col("w"))).alias("w")).first()
+        after = (total * words - cap * (held["size"] or 0)) / held["w"] if held["w"] else math.inf
+        if after <= level or not held["w"]:
+            break
+        level = after
+    if not held["w"]:
+        level = math.inf
+    return ranked.select(
         "sid",
         "source",
         "source_size",
         "n_units",
         F.when(F.col("source_size") > 0, F.col("squares") / F.col("source_size")).alias("mean_size"),
-        F.least("most", F.coalesce(found, F.lit(math.inf)) * F.col("w")).alias("target"),
+        F.least("most", F.lit(level) * F.col("w")).alias("target"),
     )
 
 
@@ -66,7 +87,7 @@ def solve(units: DataFrame, aims: DataFrame, cap: float = 2.0, tolerance: float
     """aims with `tilt`, the dual variable of each source: null where nothing is taken, infinity where all rates are the cap.
 
     Each round is one aggregation over (source, size) counts: the words that the present tilt takes, and their
-    slope. A Newton step that leaves the bracket around the root is replaced by the bracket's middle.
+    slope, in exact sums, so that the tilts depend on the rows alone. A Newton step that leaves the bracket around the root is replaced by the bracket's middle.
     """
     histogram = materialize(units.groupBy("source", "size").agg(F.sum("copies_in").alias("n")).where(F.col("size") > 0), "sizes")
     full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
@@ -88,7 +109,7 @@ def solve(units: DataFrame, aims: DataFrame, cap: float = 2.0, tolerance: float
         raw = F.exp(F.least(F.col("s.tilt") * x, F.lit(700.0)))
         words = F.col("h.n") * F.col("h.size")
         sums = rows.groupBy(F.col("h.source").alias("source")).agg(
-            F.sum(words * F.least(F.lit(cap), raw)).alias("taken"), F.sum(F.when(raw < cap, words * x * raw).otherwise(0.0)).alias("slope")
+            exact_sum(words * F.least(F.lit(cap), raw)).alias("taken"), exact_sum(F.when(raw < cap, words * x * raw).otherwise(0.0)).alias("slope")
         )
         joined = state.alias("a").join(sums.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
         off = F.col("taken") - F.col("target")
@@ -153,7 +174,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), total: floa
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; columns stay as they are."""
     plan = materialize(mix(docs, **how).where("copies > 0").select("doc_id", "rh", "copies"), "mix-copies")
-    (rh,) = fresh(docs, "rh")
-    d, p = docs.withColumn(rh, row_hash(docs)).alias("d"), small_or_shuffled(plan, 24).alias("p")
+    rh, copy = fresh(docs, "rh", "copy")
+    own = {k: how[k] for k in ("text", "source") if k in how}
+    d, p = docs.withColumn(rh, row_hash(docs, **own)).alias("d"), small_or_shuffled(plan, 24).alias("p")
     joined = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col(f"d.{rh}") == F.col("p.rh")))
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias("__copy")).drop("__copy")
+    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias(copy)).drop(copy)

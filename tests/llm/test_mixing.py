@@ -1,3 +1,4 @@
+import math
 from collections import defaultdict
 
 import pytest
@@ -30,20 +31,49 @@ def taken(spark, rows):
     return plan.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("copies_in").cast("int")))).collect()
 
 
-def test_targets_and_copies(spark):
+def plain_tilt(sizes, target):
+    """By bisection: the tilt at which capped rates take the target."""
+    total, mean = sum(sizes), sum(x * x for x in sizes) / sum(sizes)
+    words = lambda tilt: sum(x * min(2.0, math.exp(min(tilt * x / mean, 700))) for x in sizes)
+    if target >= 2 * total * (1 - 1e-12):
+        return math.inf, mean
+    low, high = -1e6, 1e6
+    for _ in range(300):
+        low, high = ((low + high) / 2, high) if words((low + high) / 2) < target else (low, (low + high) / 2)
+    return (low + high) / 2, mean
+
+
+def test_against_a_plain_version(spark):
     rows = documents(400)
     out = taken(spark, rows)
-    sizes, total = defaultdict(int), defaultdict(int)
+    each, total = defaultdict(list), defaultdict(int)
     for _, t, _, s, _ in rows:
-        sizes[s] += len(WORD.findall(t or ""))
+        each[s].append(len(WORD.findall(t or "")))
+    sizes = {s: sum(x) for s, x in each.items()}
     want = plain_targets(sizes)
+    tilts = {s: plain_tilt([n for n in x if n], want[s]) for s, x in each.items()}
     assert len(out) == len(rows)
     for r in out:
-        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
-        assert r.copies in (0, 1, 2)
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source], rel=1e-12)
+        assert r.copies in (0, 1, 2) and (r.size or not r.copies)
+        tilt, mean = tilts[r.source]
+        assert r.rate == pytest.approx(min(2.0, math.exp(min(tilt * r.size / mean, 700))) if r.size else 0, rel=1e-5)
         total[r.source] += r.copies * r.size
     for s, t in want.items():
-        assert total[s] == pytest.approx(t, rel=0.02, abs=15)
+        # one bucket a source: its last and smallest documents pay what is owed, two copies of each at most
+        assert total[s] == pytest.approx(t, rel=0.001, abs=5)
+
+
+def test_many_sources_are_numbered_apart(spark):
+    rows = [(i, "w " * (i % 7 + 1), None, f"h{i % 300:03d}" if i % 300 else None, None) for i in range(900)]
+    sizes = defaultdict(int)
+    for i, t, _, s, _ in rows:
+        sizes[s] += len(WORD.findall(t))
+    want = plain_targets(sizes)
+    aims = mixing.targets(mixing.sized(frame(spark, rows))).collect()
+    order = sorted((s for s in sizes if s), key=lambda s: s) + [None]
+    assert {r.source: r.sid for r in aims} == {s: k for k, s in enumerate(order)}
+    assert all(r.target == pytest.approx(want[r.source], rel=1e-12) for r in aims)
 
 
 def test_rates_are_an_exponential_tilt(spark):
@@ -59,17 +89,36 @@ def test_rates_are_an_exponential_tilt(spark):
         assert sums[s] == pytest.approx(r.target, rel=1e-6)
 
 
-def test_reruns_agree_and_rows_repeat(spark):
-    rows = documents(100)
+def test_reruns_agree_under_any_partitioning(spark):
+    rows = documents(60)
     df = frame(spark, rows)
-    first, again = (sorted(map(str, mixing.mix(x).select("doc_id", "rh", "copies").collect())) for x in (df, df.repartition(7)))
-    assert first == again
-    mixed = mixing.mixed_rows(df)
+    units = [mixing.sized(x) for x in (df, df.repartition(7), df.repartition(3, "lang"), df.orderBy(F.desc("doc_id")), df.coalesce(1))]
+    results = set()
+    shuffle = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, u in zip((4, 1, 9, 5, 2), units, strict=True):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            solved = mixing.solve(u, mixing.targets(u))
+            plan = mixing.rounded(u, solved)
+            results.add(tuple(sorted(map(str, plan.select("doc_id", "rh", "rate", "target", "copies").collect()))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+    assert len(results) == 1
+
+
+def test_rows_repeat_and_names_may_clash(spark):
+    rows = documents(100)
+    df = frame(spark, rows).withColumnsRenamed({"text": "body", "source": "host"}).withColumns({c: F.lit("x") for c in ("copy", "__copy", "rh")})
+    how = {"text": "body", "source": "host"}
+    mixed = mixing.mixed_rows(df, **how)
     assert mixed.columns == df.columns
-    assert mixed.count() == sum(r.copies for r in taken(spark, rows))
+    plan = mixing.mix(df, **how).collect()
+    assert mixed.count() == sum(r.copies * r.copies_in for r in plan) and len(plan) == len(set(rows))
 
 
 def test_empty_table_and_empty_source(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     out = taken(spark, [(1, None, None, "a", None), (2, "one two", None, "b", None)])
-    assert {(r.doc_id, r.copies * r.size, r.target) for r in out} == {(1, 0, 0.0), (2, 2, 3.0)} or sum(r.copies for r in out) in (1, 2)
+    # b's share, all of 3 words, is below its cap of 4; a has no words to take, so its target is 0
+    assert {(r.doc_id, r.size, r.source_size, r.target) for r in out} == {(1, 0, 0, 0.0), (2, 2, 2, 3.0)}
+    assert {r.doc_id: r.copies for r in out}[1] == 0 and {r.doc_id: r.copies for r in out}[2] in (1, 2)
