@@ -83,12 +83,15 @@ def host_lines(docs: DataFrame, text: str = "text", host: str = "source", doc_id
         F.filter(clean, lambda x: x != ""),
         lambda x: F.struct(F.xxhash64(site, x).alias("line"), (F.char_length(x) - F.char_length(F.translate(x, " ", "")) + 1).alias("n")),
     )
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), row_hash(docs).alias("rh"), hashed.alias("lines"))
-    merged = F.transform(
-        F.array_distinct(F.col("lines.line")),
-        lambda h: F.struct(h.alias("line"), F.aggregate(F.filter("lines", lambda x: x["line"] == h), F.lit(0), lambda a, x: a + x["n"]).alias("n")),
-    )
-    once = F.when(F.size(F.array_distinct(F.col("lines.line"))) == F.size("lines"), F.col("lines")).otherwise(merged)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), row_hash(docs, text, host).alias("rh"), hashed.alias("lines"))
+
+    def merged(s: Column) -> Column:
+        """Runs of equal lines in a sorted array; equal lines have equally many words."""
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["line"] != F.get(s, F.greatest(i - 1, F.lit(0)))["line"]))
+        return _bind(starts, lambda at: F.transform(at, lambda p, k: F.struct(F.get(s, p)["line"].alias("line"), ((F.coalesce(F.get(at, k + 1), F.size(s)) - p) * F.get(s, p)["n"]).alias("n"))))
+
+    repeats = F.size(F.array_distinct(F.col("lines.line"))) < F.size("lines")
+    once = F.when(repeats, _bind(F.array_sort("lines"), merged)).otherwise(F.col("lines"))
     return rows.select("doc_id", "rh", F.explode(once).alias("x")).select("doc_id", "rh", F.col("x.line").alias("line"), F.col("x.n").cast("long").alias("n"))
 
 
@@ -96,12 +99,14 @@ def removed_words(docs: DataFrame, max_docs: int, text: str = "text", host: str
     """Words that lose their line, by document: (doc_id, rh, removed). Documents that lose none are absent.
 
     A line goes where more than max_docs documents of its host hold it; the one with the smallest id keeps it,
-    so no content is lost altogether. Counts are partial before any shuffle, whatever a line's frequency.
+    so no content is lost altogether. Rows without an id are documents of their own if their content differs; they
+    count, and never keep a frequent line. Counts are partial before any shuffle, whatever a line's frequency.
     """
-    lines = host_lines(docs, text, host)
-    frequent = lines.groupBy("line").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") > max_docs)
+    lines = materialize(host_lines(docs, text, host), "host-lines")
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("rh")))
+    frequent = lines.groupBy("line").agg(F.count_distinct(document).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") > max_docs)
     frequent = materialize(frequent.select("line", "first"), "frequent-lines")
-    hit = lines.join(small_or_shuffled(frequent, 16), "line").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    hit = lines.join(small_or_shuffled(frequent, 16), "line").where(F.col("doc_id").isNull() | ~F.col("doc_id").eqNullSafe(F.col("first")))
     # equal rows of one document count once
     return hit.groupBy("doc_id", "rh", "line").agg(F.max("n").alias("n")).groupBy("doc_id", "rh").agg(F.sum("n").alias("removed"))
 
@@ -110,12 +115,12 @@ def judge(docs: DataFrame, max_docs: int = 50, min_words: int = 20, min_share: f
     """One row a document: doc_id, the base columns, base_failed, removed_words and kept.
 
     kept is false if base_failed, or if the document is depleted: without its frequent lines fewer than
-    min_words words or less than min_share of its words are left. Null texts count as empty and fail; a null
-    doc_id is a document of its own; equal rows get equal verdicts; an empty table gives no rows.
+    min_words words or less than min_share of its words are left. Null texts count as empty and fail; rows with a
+    null doc_id are documents by their content; equal rows get equal verdicts; an empty table gives no rows.
     """
     removed = removed_words(docs, max_docs, text, host)
     (rh,) = fresh(docs, "rh")
-    base = measured(docs.select("doc_id", F.col(f"`{text}`"), row_hash(docs).alias(rh)), text)
+    base = measured(docs.select("doc_id", F.col(f"`{text}`"), row_hash(docs, text, host).alias(rh)), text)
     base = base.select("doc_id", F.col(rh).alias("rh"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     b, r = base.alias("b"), removed.alias("r")
     out = b.join(r, F.col("b.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("b.rh") == F.col("r.rh")), "left")
@@ -132,7 +137,7 @@ def keep(docs: DataFrame, max_docs: int = 50, min_words: int = 20, min_share: fl
     """
     (rh,) = fresh(docs, "rh")
     removed = removed_words(docs, max_docs, text, host)
-    marked = docs.withColumn(rh, row_hash(docs))
+    marked = docs.withColumn(rh, row_hash(docs, text, host))
     flat, n = fresh(marked, "counted", "n")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     fit = marked.withColumn(flat, _bind(words(body), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("r"))))

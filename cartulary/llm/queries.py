@@ -107,14 +107,14 @@ OP1 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coale
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""
 
 #: Null texts count as empty; rows are told apart by a number of their own.
-OP4 = rf"""WITH d AS (SELECT *, row_number() OVER () AS r, {WORDS_SQL} AS ws FROM documents),
+OP4 = rf"""WITH d AS (SELECT *, row_number() OVER () AS r, md5(([text, lang, source])::VARCHAR) AS k, {WORDS_SQL} AS ws FROM documents),
   win AS (SELECT r, p, hash(array_to_string(ws[p:p + 7], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 6)) AS p)),
   twice AS (SELECT r, p FROM win QUALIFY count(*) OVER (PARTITION BY r, h) > 1),
   covered AS (SELECT r, count(DISTINCT p + o) AS n FROM twice, range(0, 8) x(o) GROUP BY r),
-  lines AS (SELECT r, doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM d),
-  norm AS (SELECT r, doc_id, source, trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM lines),
-  frequent AS (SELECT source, line, min(doc_id) AS first FROM norm WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) > 50),
-  gone AS (SELECT r, sum(len(string_split(n.line, ' '))) AS n FROM norm n JOIN frequent f ON n.line = f.line AND n.source IS NOT DISTINCT FROM f.source AND n.doc_id IS DISTINCT FROM f.first GROUP BY r),
+  lines AS (SELECT r, k, doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM d),
+  norm AS (SELECT r, k, doc_id, source, trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM lines),
+  frequent AS (SELECT source, line, min(doc_id) AS first FROM norm WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT coalesce(doc_id::VARCHAR, 'x' || k)) > 50),
+  gone AS (SELECT r, sum(len(string_split(n.line, ' '))) AS n FROM norm n JOIN frequent f ON n.line = f.line AND n.source IS NOT DISTINCT FROM f.source AND (n.doc_id IS NULL OR n.doc_id IS DISTINCT FROM f.first) GROUP BY r),
   dup AS (SELECT r, count(*) - count(DISTINCT raw) AS n FROM lines WHERE regexp_matches(raw, '[^\x20\x09-\x0D]') GROUP BY r),
   base AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')))::BIGINT AS n_symbols,
     coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words

@@ -24,15 +24,15 @@ def normal(text):
 
 def verdicts(rows, max_docs, min_words=20, min_share=0.3):
     held = defaultdict(set)
-    for i, t, _, s, _ in rows:
+    for i, t, lang, s, _ in rows:
         for line in normal(t):
-            held[s, line].add(i)
+            held[s, line].add(i if i is not None else (t, lang))
     out = []
     for i, t, _, s, _ in rows:
         gone = 0
         for line in normal(t):
-            docs = held[s, line] - {None}
-            if len(docs) > max_docs and i != min(docs):
+            docs = held[s, line]
+            if len(docs) > max_docs and i != min((d for d in docs if isinstance(d, int)), default=None) or len(docs) > max_docs and i is None:
                 gone += len(line.split(" "))
         n, *_, failed = base(t)
         depleted = gone > 0 and (n - gone < min_words or n - gone < min_share * n)
@@ -59,6 +59,23 @@ def test_against_plain_rules(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == sorted((v[0] is None, v[0]) for v in want if v[8])
 
 
+def test_documents_without_ids_count(spark):
+    shared = "a line that five pages of the host hold and nobody else"
+    rows = [(None, f"{shared}\nown words {k} " * 3, "en", "s1", None) for k in range(5)] + [(None, f"{shared}\nown words 0 " * 3, "en", "s1", None)]
+    for extra in ([], [(7, f"{shared}\n" + "own text here " * 9, "en", "s1", None)]):
+        some = rows + extra
+        found = [tuple(r) for r in quality_rules.judge(frame(spark, some), max_docs=4).select("doc_id", "removed_words", "kept").collect()]
+        want = [(v[0], v[7], v[8]) for v in verdicts(some, 4)]
+        assert sorted(found, key=str) == sorted(want, key=str) and any(n for _, n, _ in found)
+
+
+def test_one_text_of_many_lines(spark):
+    """100,000 lines, half of them repeated: their words are added up by line, in linear time."""
+    text = "\n".join(f"line number {k % 50_000} of this text" for k in range(100_000))
+    lines = quality_rules.host_lines(frame(spark, [(1, text, None, "s", None)]))
+    assert [tuple(r) for r in lines.groupBy("n").count().collect()] == [(12, 50_000)]
+
+
 def test_empty_table(spark):
     assert quality_rules.judge(frame(spark, [])).count() == 0
     assert quality_rules.keep(frame(spark, [])).count() == 0
