@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm import bpe
-from cartulary.llm.common import without
+from cartulary.llm.common import fresh, without
 from cartulary.llm.token_counts import chunks
 
 
@@ -79,4 +79,5 @@ def round_trip(docs: DataFrame, tokenizer_json: str, text: str = "text") -> Data
 
     out = without(docs, "n_tokens", "ids_sha256", "decoded_sha256")
     kept = [F.col(f"`{c}`") for c in out.columns]
-    return out.withColumn("__both", both(F.coalesce(F.col(f"`{text}`"), F.lit("")))).select(*kept, "__both.*")
+    (name,) = fresh(out, "both")
+    return out.withColumn(name, both(F.coalesce(F.col(f"`{text}`"), F.lit("")))).select(*kept, f"{name}.*")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm.common import crc_mod, materialize
-from cartulary.llm.packing import MASK, U64, Reader, mix64, pack, pack_sorted, range_of, runs
+from cartulary.llm.packing import U64, Reader, mix64, pack, pack_sorted, range_of, runs
 
 #: Tokens that a batch of documents holds at most (one longer document is a batch of its own), and keys of a range about.
 BATCH, RANGE = 1_000_000, 1_000_000
@@ -42,13 +42,18 @@ ROW = "fragment long, batch long, kind int, data binary"
 
 
 def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) & int(MASK)
+    return xxhash.xxh3_64_intdigest(word)
 
 
 #: A word holds no space, so these are not words.
 END, START = word_hash(b" end"), word_hash(b" start")
 
 
+def as_long(h: int) -> int:
+    """A 64-bit hash as Spark's signed long."""
+    return h - (1 << 64) if h >> 63 else h
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = self[word] = word_hash(word)
@@ -90,7 +95,7 @@ class Batch:
 def pair_range(words: np.ndarray, keys: np.ndarray, ranges: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         mixed = mix64(words[keys >> 32] * U64(0x9E3779B97F4A7C15) + words[keys & 0xFFFFFFFF])
-    return range_of(mixed & MASK, ranges)
+    return range_of(mixed, ranges)
 
 
 def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Batch]]:
@@ -257,7 +262,7 @@ def backoff(pairs: DataFrame, words: DataFrame, d: np.ndarray, uni: Unigrams) ->
     p = _discounted(F.col("cw"), uni.d) / uni.total
     sums = joined.groupBy("a").agg(F.sum(_discounted(F.col("c"), d)).alias("mass"), F.sum(p).alias("lower"))
     # START is followed by something as often as END is met
-    sums = sums.withColumn("as", F.when(F.col("a") == START, F.lit(END)).otherwise(F.col("a")))
+    sums = sums.withColumn("as", F.when(F.col("a") == as_long(START), F.lit(as_long(END))).otherwise(F.col("a")))
     out = sums.join(known, F.col("as") == F.col("w"))
     base = F.when(F.col("cw") - F.col("mass") < 1e-9, F.col("cw") + 1.0).otherwise(F.col("cw").cast("double"))
     return out.select(F.col("a").alias("word"), base.alias("denominator"), ((1 - F.col("mass") / base) / (1 - F.col("lower"))).alias("alpha"))
@@ -265,8 +270,9 @@ def backoff(pairs: DataFrame, words: DataFrame, d: np.ndarray, uni: Unigrams) ->
 
 def _weigh(asked: pd.DataFrame, contexts: pd.DataFrame) -> pd.DataFrame:
     """Adds to each answer about words the denominators and weights of those that have them."""
-    order = np.argsort(contexts["word"].to_numpy(), kind="stable")
-    word = contexts["word"].to_numpy()[order].astype(U64)
+    word = contexts["word"].to_numpy().astype(U64)
+    order = np.argsort(word, kind="stable")
+    word = word[order]
     numbers = [contexts[c].to_numpy()[order].astype("<f8") for c in ("denominator", "alpha")]
     out = []
     for data in asked["data"]:
@@ -366,7 +372,7 @@ def score(docs: DataFrame, folds: int = 10, text: str = "text", doc_id: str = "d
     d = discounts(pair_stats[: K + 1], min_count)
     contexts = materialize(backoff(_table(of(PAIR_TABLE)), _table(of(WORD_TABLE)), d, uni), "backoff-weights")
     # the same rule as range_of()
-    place = F.lit(ranges) + F.shiftright(F.shiftright("word", 16) * F.lit(ranges).cast("long"), 32)
+    place = F.lit(ranges) + F.shiftrightunsigned(F.shiftrightunsigned("word", 32) * F.lit(ranges).cast("long"), 32)
     weights = contexts.withColumn("fragment", place.cast("long"))
     words = of(WORDS).select("fragment", "batch", "kind", "data")
     weighed = words.groupBy("fragment").cogroup(weights.groupBy("fragment")).applyInPandas(_weigh, ROW)

@@ -5,11 +5,14 @@
    An n-gram of one document adds to no overlap, so a document with fewer than 0.8 of its n-grams repeated
    has no link and leaves here. Documents of equal sets become one class, and the counts are made anew.
 2. The global order is by document frequency, then hash. Two linked classes share an n-gram among the first
-   n - ceil(0.8 n) + 1 of each. Such a shared n-gram is a bucket; its hub is the class with the smallest id.
-   Each member is paired with its hub. A pair's overlap is counted fragment by fragment and summed.
-3. Two members of a star of which at least one isn't linked to the hub might still be linked to each other.
-   Their overlap is at most what both share with the hub plus what both hold, repeated, outside it; pairs
-   that reach the threshold by this bound are counted as well. So no link between different components is lost.
+   n - ceil(0.8 n) + 1 of the larger set and the first m - ceil(1.6 m / 1.8) + 1 of the smaller one, of m n-grams:
+   the smaller set's short prefix is its index. Such an n-gram is a bucket; its hub is the smallest set with it in
+   its index. Each member is paired with its hub. A pair's overlap is counted fragment by fragment and summed.
+   Equally long texts of one template that aren't linked differ in more than their index, so they make no bucket.
+3. Two members of a star of which at least one isn't linked to the hub might still be linked to each other, if
+   the smaller one has a bucket in its index. They meet by star and size band. Their overlap is at most what both
+   share with the hub plus what both hold, repeated, outside it; pairs that reach the threshold by this bound
+   are counted as well. So no link between different components is lost.
 4. Components of the links, by alternating stars.
 """
 
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm.common import drop, fresh, materialize, small_or_shuffled
-from cartulary.llm.packing import MASK, U64, Reader, mix64, pack, pack_sorted, range_of, runs
+from cartulary.llm.packing import U64, Reader, mix64, pack, pack_sorted, range_of, runs
 
 WORDS = 5
 #: A pair is linked if 100 * intersection >= PERCENT * union.
@@ -45,8 +48,16 @@ class _WordHashes(dict):
         return h
 
 
-def gram_keys(texts: list[str | None], hashes: _WordHashes) -> np.ndarray:
-    """Sorted distinct (hash << 16 | place of the text) of all word 5-grams; a shorter text is one gram."""
+def distinct_keys(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grams with the places of their texts, each pair once, in the order of both; owner ascends."""
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    keep = np.append(True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1]))[: len(grams)]
+    return grams[keep], owner[keep]
+
+
+def gram_keys(texts: list[str | None], hashes: _WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct word 5-grams of each text, as 64-bit hashes with the place of the text; a shorter text is one gram."""
     if len(hashes) > 150_000:
         hashes.clear()
     flat = [np.empty(0, dtype=U64)]
@@ -65,14 +76,14 @@ def gram_keys(texts: list[str | None], hashes: _WordHashes) -> np.ndarray:
         for k in range(WORDS):
             used = left > k
             h = np.where(used, mix64(h * U64(0x9E3779B97F4A7C15) + words[np.where(used, at + k, 0)]) if len(words) else h, h)
-    return np.unique((h & MASK) << U64(16) | owner.astype(U64))
+    return distinct_keys(h, owner.astype(U64))
 
 
-def _signatures(keys: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+def _signatures(grams: np.ndarray, owner: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """The size of each text's set, and 128 bits that tell sets apart."""
-    owner = (keys & U64(IDS - 1)).astype(np.int64)
+    owner = owner.astype(np.int64)
     order = np.argsort(owner, kind="stable")
-    grams = keys[order] >> U64(16)
+    grams = grams[order]
     n = np.bincount(owner, minlength=n_docs)
     out = np.zeros((n_docs, 2), dtype=U64)
     if len(grams):
@@ -84,9 +95,8 @@ def _signatures(keys: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     return n, out
 
 
-def _requests(batch: int, ids: list, n: np.ndarray, signatures: np.ndarray, keys: np.ndarray, fragments: int) -> list[tuple]:
+def _requests(batch: int, ids: list, n: np.ndarray, signatures: np.ndarray, grams: np.ndarray, owner: np.ndarray, fragments: int) -> list[tuple]:
     """Rows of one batch: its documents and locally repeated grams for itself, and its distinct grams for the fragments."""
-    grams, owner = keys >> U64(16), keys & U64(IDS - 1)
     starts = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.empty(0, np.int64)
     times = np.diff(np.append(starts, len(grams)))
     once = times == 1
@@ -136,9 +146,9 @@ def _from_texts(fragments: int):
 
 
 def _texts_batch(batch: int, ids: list, texts: list, hashes: _WordHashes, fragments: int) -> pa.RecordBatch:
-    keys = gram_keys(texts, hashes)
-    n, signatures = _signatures(keys, len(ids))
-    return _as_batch(_requests(batch, ids, n, signatures, keys, fragments))
+    grams, owner = gram_keys(texts, hashes)
+    n, signatures = _signatures(grams, owner, len(ids))
+    return _as_batch(_requests(batch, ids, n, signatures, grams, owner, fragments))
 
 
 def _from_sets(fragments: int):
@@ -152,8 +162,7 @@ def _from_sets(fragments: int):
                 grams = part.column(3).flatten().to_numpy(zero_copy_only=False).astype(U64)
                 owner = np.repeat(np.arange(part.num_rows, dtype=U64), lengths[first : first + part.num_rows])
                 signatures = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype="<u8").reshape(-1, 2)
-                keys = np.sort(grams << U64(16) | owner)
-                yield _as_batch(_requests(_batch_id(k), part.column(0).to_pylist(), part.column(2).to_numpy(), signatures, keys, fragments))
+                yield _as_batch(_requests(_batch_id(k), part.column(0).to_pylist(), part.column(2).to_numpy(), signatures, *distinct_keys(grams, owner), fragments))
                 k, first = k + 1, first + part.num_rows
 
     return send
@@ -245,34 +254,53 @@ def linked(i, na, nb):
     return 100 * i >= PERCENT * (na + nb - i)
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """Pairs of class representatives (u, v) whose links make up the components of all links."""
-    n = F.col("n")
-    needed = F.ceil(PERCENT * n / 100).cast("int")  # of the other's set, for a link
-    prefix = (n - needed + 1 - (n - F.size("grams"))).cast("int")
-    buckets = sets.select("node", "doc_id", F.explode(F.slice("grams", F.lit(1), F.greatest(prefix, F.lit(1)))).alias("gram"))
-    hubs = buckets.groupBy("gram").agg(F.min(F.struct("doc_id", "node")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pairs = buckets.join(hubs, "gram").where(F.col("hub.node") != F.col("node")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialize(pairs, "hub-pairs")
-    about = sets.select("node", "doc_id", "n", F.size("grams").alias("repeated"))
-    of = lambda s: about.select(*[F.col(c).alias({"node": s}.get(c, f"{c}_{s}")) for c in about.columns])
-    star = pairs.join(overlaps(pairs, sets), ["a", "b"], "left").na.fill(0, ["i"]).join(of("a"), "a").join(of("b"), "b")
-    star = materialize(star.withColumn("linked", linked(F.col("i"), F.col("n_a"), F.col("n_b"))), "stars")
-    x, y = star.alias("x"), star.alias("y")
-    total = F.col("x.n_b") + F.col("y.n_b")
+def stars(sets: DataFrame) -> DataFrame:
+    """(a, b, indexed): pairs of a hub and a member of one of its buckets, and whether such a bucket is in b's index."""
+    n, single = F.col("n"), F.col("n") - F.size("grams")
+    # what a link needs of the other's set: of any other one, and of one that is no smaller
+    needed, needed_of_larger = F.expr(f"({PERCENT} * n + 99) div 100"), F.expr(f"({2 * PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT}")
+    probe, index = (n - needed + 1 - single).cast("int"), (n - needed_of_larger + 1 - single).cast("int")
+    prefix = F.slice("grams", F.lit(1), F.greatest(probe, F.lit(0)))
+    buckets = sets.select("node", "doc_id", "n", index.alias("index"), F.posexplode(prefix).alias("at", "gram")).withColumn("indexed", F.col("at") < F.col("index"))
+    smallest = F.min(F.when(F.col("indexed"), F.struct("n", "doc_id", "node"))).alias("hub")
+    hubs = buckets.groupBy("gram").agg(smallest, F.count(F.lit(1)).alias("m")).where("m > 1 and hub is not null")
+    pairs = buckets.join(hubs, "gram").where(F.col("hub.node") != F.col("node"))
+    return pairs.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.max("indexed").alias("indexed"))
+
+
+def near_pairs(star: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of a star, not both linked to its hub, that might be linked to each other.
+
+    x, the smaller one, is indexed. Sizes of linked sets differ by a quarter at most, so x lies in y's size band or
+    the one below: both meet by an equi-join on hub and band.
+    """
+    band = F.floor(F.log("n_b") / F.log(F.lit(1.26)))
+    x = star.where("indexed").withColumn("band", band).alias("x")
+    y = star.withColumn("band", F.explode(F.array(band, band - 1))).alias("y")
     most = F.least("x.i", "y.i") + F.least(F.col("x.repeated_b") - F.col("x.i"), F.col("y.repeated_b") - F.col("y.i"))
-    near = x.join(
+    met = x.join(
         y,
         (F.col("x.a") == F.col("y.a"))
-        & (F.col("x.b") < F.col("y.b"))
+        & (F.col("x.band") == F.col("y.band"))
+        & (F.col("x.b") != F.col("y.b"))
+        & (F.col("x.n_b") <= F.col("y.n_b"))
         & ~(F.col("x.linked") & F.col("y.linked"))
-        & (100 * F.least("x.n_b", "y.n_b") >= PERCENT * F.greatest("x.n_b", "y.n_b"))
-        & ((100 + PERCENT) * most >= PERCENT * total),
+        & (100 * F.col("x.n_b") >= PERCENT * F.col("y.n_b"))
+        & ((100 + PERCENT) * most >= PERCENT * (F.col("x.n_b") + F.col("y.n_b"))),
     )
-    near = materialize(near.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct(), "near-pairs")
+    return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """Pairs of class representatives (u, v) whose links make up the components of all links."""
+    pairs = materialize(stars(sets), "hub-pairs")
+    about = sets.select("node", "doc_id", "n", F.size("grams").alias("repeated"))
+    of = lambda s: about.select(*[F.col(c).alias({"node": s}.get(c, f"{c}_{s}")) for c in about.columns])
+    star = pairs.join(overlaps(pairs.drop("indexed"), sets), ["a", "b"], "left").na.fill(0, ["i"]).join(of("a"), "a").join(of("b"), "b")
+    star = materialize(star.withColumn("linked", linked(F.col("i"), F.col("n_a"), F.col("n_b"))), "stars")
+    near = materialize(near_pairs(star), "near-pairs")
     more = overlaps(near, sets).join(of("a"), "a").join(of("b"), "b").where(linked(F.col("i"), F.col("n_a"), F.col("n_b")))
-    out = star.where("linked").unionByName(more, allowMissingColumns=True).select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v"))
-    return out
+    return star.where("linked").unionByName(more, allowMissingColumns=True).select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:

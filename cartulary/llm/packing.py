@@ -12,9 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 
 U64 = np.uint64
-#: Hashes keep this many bits, so that differences stay short; two of a billion words collide once in 600 corpora.
-BITS = 48
-MASK = U64((1 << BITS) - 1)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -57,8 +54,8 @@ class Reader:
 
 
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """The range, of equal widths, that each hash of BITS bits falls into; it ascends with the hash."""
-    return (((hashes >> U64(16)) * U64(ranges)) >> U64(32)).astype(np.int64)
+    """The range, of equal widths, that each hash of 64 bits falls into; it ascends with the hash."""
+    return (((hashes >> U64(32)) * U64(ranges)) >> U64(32)).astype(np.int64)
 
 
 def runs(ranges: np.ndarray) -> Iterator[tuple[int, int, int]]:

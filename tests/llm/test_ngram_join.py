@@ -72,6 +72,20 @@ def test_empty_table_and_clashing_columns(spark):
     assert {r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()} == first
 
 
+def test_template_family_makes_no_pairs(spark):
+    """3,000 texts of one template, each pair at 0.745: no bucket holds them, so no pair of them is counted."""
+    base = [f"b{i}" for i in range(86)]
+    rows = [(k, " ".join([*base, *(f"q{k}x{j}" for j in range(14))])) for k in range(3000)]
+    rows += [(5000 + k, text.replace("b80 ", "other ")) for k, text in rows[:2]]
+    df = frame(spark, rows, "doc_id long, text string")
+    grams = {k: [hash(tuple(t.split()[i : i + 5])) for i in range(96)] for k, t in rows}
+    freq = Counter(g for x in grams.values() for g in x)
+    sets = spark.createDataFrame([(k, str(k).encode(), 96, *[list(c) for c in zip(*sorted((freq[g], g) for g in x if freq[g] > 1), strict=True)][::-1]) for k, x in grams.items()], ngram_join.SET_SCHEMA)
+    assert ngram_join.stars(sets).count() < 20
+    linked = ngram_join.join(df).where("component_id < doc_id")
+    assert sorted(map(tuple, linked.select("doc_id", "component_id").collect())) == [(5000, 0), (5001, 1)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(9, 8), (8, 7), (7, 1), (5, 4), (4, 5), (3, 3)], "u long, v long")
     assert {tuple(r) for r in ngram_join.components(edges).collect()} == {(9, 1), (8, 1), (7, 1), (5, 4)}
