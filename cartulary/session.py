@@ -1,10 +1,11 @@
-"""The Spark session that tests and benchmarks use."""
+"""The Spark session that tests and benchmarks use, and where lineage ends."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -20,3 +21,14 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, memory:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder of spark.checkpoint.dir; one of our own only in local mode, where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cartulary-"))
+    return df.checkpoint()

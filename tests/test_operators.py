@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cartulary import schemas
 from cartulary.operators import classify, lines, merge, pairing, reconcile, scoring, spatial, views
 from cartulary.sources import layout, tabular
 from cartulary.streaming.upsert import latest_version, start_upserts
@@ -147,26 +148,77 @@ def pair(spark, *pages):
 
 
 def test_pairing(spark):
-    f, b = "CEDULA_FRONT", "CEDULA_BACK"
+    f, b = "FRONT", "BACK"
     assert pair(spark, (2, b, "1"), (1, f, "1")) == [("DOC-001", 1, 2, 0.99, "VALID")]
     assert [x[1:3] for x in pair(spark, (1, f, "1"), (2, f, "2"), (3, b, "1"), (4, b, "2"))] == [(1, 3), (2, 4)]
     assert pair(spark, (1, f, "1"), (2, b, "9")) == [("DOC-001", 1, 2, 0.35, "VALID")]  # in conflict, but next to each other
     assert pair(spark, (1, f, "1"), (2, "UNKNOWN", None)) == [("DOC-001", 1, 2, 0.75, "VALID")]
     assert pair(spark, (1, f, None)) == [("DOC-001", 1, None, 0.9, "REVIEW_REQUIRED")]
     assert pair(spark, (1, b, None)) == [("DOC-001", None, 1, 0.7, "REVIEW_REQUIRED")]
-    assert pair(spark, (1, "CEDULA_AMBOS_LADOS", "5")) == [("DOC-001", 1, 1, 0.99, "VALID")]
+    assert pair(spark, (1, "BOTH", "5")) == [("DOC-001", 1, 1, 0.99, "VALID")]
     assert [x[4] for x in pair(spark, (1, f, "1"), (3, f, "1"))] == ["VALID", "DUPLICATE_REVIEW_REQUIRED"]
     score = lambda a, c, d: spark.range(1).select(pairing.association(F.lit(a).cast("string"), F.lit(c).cast("string"), F.lit("A"), F.lit("A"), F.lit(d)).alias("s")).first().s
-    for a, c, d in (("1", "1", 1), ("1", "2", 1), (None, "1", 4), (None, None, -1)):
-        page = lambda n, i: {"id_number": i, "doc_type": "A", "page_number": n}
-        assert score(a, c, d) == pytest.approx(pairing._score(page(5, a), page(5 + d, c)))
+    for a, c, d, want in (("1", "1", 1, 0.99), ("1", "2", 1, 0.10), (None, "1", 4, 0.25 + 0.07), (None, None, -1, 0.35)):
+        assert score(a, c, d) == pytest.approx(want)
+    # two backs of one number: the first goes late to that number's lone front
+    assert [x[1:3] for x in pair(spark, (1, f, "1"), (9, f, None), (20, b, None), (30, b, None))] == [(1, None), (9, None), (None, 20), (None, 30)]
+    # the earlier front has the page that both want
+    assert [x[1:3] for x in pair(spark, (1, f, None), (3, b, None), (4, f, None))] == [(1, 3), (4, None)]
+
+
+def in_turn(pages):
+    """The greedy choice of one document, front by front, each against all pages left: [(front, other)]."""
+    left = {n: (side, number) for n, side, number in pages}
+    out = []
+    for n, side, number in sorted(pages):
+        if "FRONT" not in side:
+            continue
+        options = []
+        for o, (s, i) in left.items():
+            gap = o - n
+            known = bool(number and i)
+            points = 0.10 if known and number != i else min(0.99, 0.5 * known + 0.25 + (0.15 if gap == 1 else max(0.05, 0.15 - gap * 0.02) if gap > 1 else 0) + 0.1 * (abs(gap) <= 2))
+            more = min(0.99, points + 0.25) if abs(gap) == 1 else points
+            if "BACK" in s and gap == 1 and points >= 0.2:
+                options.append((1, 0, o))
+            elif s == "UNKNOWN" and gap == 1:
+                options.append((2, 0, o))
+            elif "BACK" in s and more >= 0.35:
+                options.append((3, -more, o))
+        if options:
+            left.pop(min(options)[2])
+        out.append((n, min(options)[2] if options else None))
+    return out
+
+
+def test_rounds_equal_the_choice_in_turn(spark):
+    rng = random.Random(4)
+    docs = {f"d{k}": [(n, rng.choice(["FRONT", "BACK", "FRONT", "BACK", "UNKNOWN"]), rng.choice([None, None, "1", "2"])) for n in range(1, rng.randint(2, 25))] for k in range(60)}
+    rows = [(d, n, s, "A", 0.9, i) for d, pages in docs.items() for n, s, i in pages]
+    got = {(r.k, r.front): r.other for r in pairing.settle(pairing.wishes(pairing._pages(spark.createDataFrame(rows, PAGES), "document_id"))).collect()}
+    want = {(d, f): o for d, pages in docs.items() for f, o in in_turn(pages) if o is not None}
+    assert got == want
 
 
 def test_all_pages_are_grouped_once(spark):
     rng = random.Random(1)
-    rows = [(f"d{i % 20}", i // 20, rng.choice(["CEDULA_FRONT", "CEDULA_BACK", "UNKNOWN", "CEDULA_AMBOS_LADOS"]), "A", 0.9, rng.choice([None, "1", "2", "3"])) for i in range(200)]
-    got = pairing.pair_pages(spark.createDataFrame(rows, PAGES)).select("document_id", F.explode(F.array_distinct("pages")).alias("p")).collect()
-    assert sorted(map(tuple, got)) == sorted((d, n) for d, n, *_ in rows)
+    sides = ["FRONT", "BACK", "UNKNOWN", "BOTH", "B_FRONT", "B_BACK", "other", None, *schemas.SIDES]
+    rows = [(f"d{i % 20}", i // 20, rng.choice(sides), "A", 0.9, rng.choice([None, "", "1", "2", "3"])) for i in range(200)]
+    got = pairing.pair_pages(spark.createDataFrame(rows, PAGES))
+    pages = got.select("document_id", F.explode(F.array_distinct("pages")).alias("p")).collect()
+    assert sorted(map(tuple, pages)) == sorted((d, n) for d, n, *_ in rows)
+    ids = got.groupBy("document_id").agg(F.sort_array(F.collect_list("group_id")).alias("g")).collect()
+    assert all(r.g == [f"DOC-{k:03d}" for k in range(1, len(r.g) + 1)] for r in ids)
+
+
+def test_classified_pages_are_paired(spark):
+    """What page_side() says feeds pair_pages(); pages of both sides stay."""
+    texts = ["NATIONAL REGISTER SURNAMES GIVEN NAMES", "DATE OF BIRTH PLACE OF BIRTH", "SURNAMES and DATE OF BIRTH", "YOUTH CARD DATE OF BIRTH", "nothing to see on this page", ""]
+    pages = spark.createDataFrame([("d", n, t) for n, t in enumerate(texts, 1)], "document_id string, page_number int, text string")
+    sided = pages.select("*", classify.page_side(F.col("text"))["side"].alias("side"), F.lit("A").alias("doc_type"), F.lit(0.9).alias("confidence"), F.lit(None).cast("string").alias("id_number"))
+    assert "BOTH" in {r.side for r in sided.collect()}
+    got = pairing.pair_pages(sided).collect()
+    assert sorted({p for r in got for p in r.pages}) == [1, 2, 3, 4, 5, 6] and (3, 3) in {(r.front_page, r.back_page) for r in got}
 
 
 def test_scoring(spark):
