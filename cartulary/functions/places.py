@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,14 +36,16 @@ def raw_place(value: Column, regions: Sequence[str] = (), labels: Sequence[str]
     words = [*labels, "ENE", "FEB", "MAR", "ABR", "MAY", "JUN", "JUL", "AGO", "SEP", "OCT", "NOV", "DIC"]
     upper = F.regexp_replace(F.upper(value), "[0-9]", " ")
     upper = F.regexp_replace(upper, rf"\b({'|'.join(words)})\b", " ")
-    for region in sorted((r for r in regions if len(r) >= 4), key=lambda r: (-len(r), r)):
-        upper = F.regexp_replace(upper, rf"\b{region}\b", " ")
+    long = [re.escape(r.upper()) for r in regions if len(r) >= 4]
+    if long:
+        upper = F.regexp_replace(upper, rf"\b({longest_first(long)})\b", " ")
     return squeeze(F.regexp_replace(upper, r"[^A-ZÁÉÍÓÚÜÑ\s]", " "))
 
 
 def gazetteer(places: DataFrame) -> DataFrame:
-    """(name, name_norm, is_region, canonical) from (name, is_region, alias_of); each name once."""
-    return places.select("name", without_accents(F.trim("name")).alias("name_norm"), F.coalesce("is_region", F.lit(False)).alias("is_region"), F.coalesce("alias_of", "name").alias("canonical")).dropDuplicates(["name_norm", "is_region"])
+    """(name, name_norm, is_region, canonical) from (name, is_region, alias_of); each name once, of its aliases the first by code point."""
+    rows = places.select("name", without_accents(F.trim("name")).alias("name_norm"), F.coalesce("is_region", F.lit(False)).alias("is_region"), F.coalesce("alias_of", "name").alias("canonical"))
+    return rows.groupBy("name_norm", "is_region").agg(F.min_by(F.struct("name", "canonical"), F.struct("canonical", "name")).alias("n")).select("n.name", "name_norm", "is_region", "n.canonical")
 
 
 def resolve_places(values: DataFrame, column: str, places: DataFrame, cutoff: float = 80.0) -> DataFrame:
@@ -70,9 +73,11 @@ def longest_first(names: Sequence[str]) -> str:
     return "|".join(sorted(names, key=lambda n: (-len(n), n)))
 
 
-def extract_places(lines: DataFrame, places: DataFrame, keys: Sequence[str] = ("document_id", "page_number"), label: str = "PLACE OF ISSUE") -> DataFrame:
+def extract_places(lines: DataFrame, places: DataFrame, keys: Sequence[str] = ("document_id", "page_number"), label: str = "PLACE OF ISSUE", max_regions: int = 1000) -> DataFrame:
     """(keys, place, stage): each page's place by four stages in turn.
 
+    Names of regions are blanked first, the longest first; a gazetteer has some dozens, at most `max_regions`.
+
     1 "NAME (REGION)" on any line: the most similar name from 78 on, else the name as it stands. 2 near a line
     with the label (1 before to 2 after): a gazetteer name, or a word of four letters similar from 84 on. 3 a
     gazetteer name that is no region anywhere. 4 a word of four letters similar from 85 on.
@@ -82,7 +87,12 @@ def extract_places(lines: DataFrame, places: DataFrame, keys: Sequence[str] = ("
     near = W.Window.partitionBy(*keys).orderBy("line_index").rowsBetween(-2, 1)
     marked = lines.withColumn("__near", F.max(F.upper("text").rlike(label)).over(near))
     names = gazetteer(places)
-    clean = raw_place(F.col("text"))
+    regions = [r["name"] for r in names.where("is_region").select("name").limit(max_regions + 1).collect()]
+    if len(regions) > max_regions:
+        raise ValueError(f"the gazetteer has more than {max_regions} regions")
+    # a name that is a place as well stays
+    towns = {r["name"] for r in names.where(~F.col("is_region") & F.col("name").isin(regions)).select("name").collect()} if regions else set()
+    clean = raw_place(F.col("text"), [r for r in regions if r not in towns])
 
     def runs_of(k: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("__w", i, k), " "))

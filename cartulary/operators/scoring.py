@@ -65,15 +65,18 @@ def score_candidates(rows: DataFrame, key: str, tokens: str, evidence: DataFrame
     A candidate listed in compounds (`word`) counts as a full dictionary match.
     """
     facts = ["label_present", "place_ok", "distance", "confidence"]
-    runs = rows.select(key, *facts, F.explode(ngrams(F.col(tokens))).alias("g")).select(key, *facts, "g.size", "g.start", F.col("g.words").alias("words"))
-    each = runs.select("*", F.explode("words").alias("word")).join(evidence, "word", "left")
-    grouped = each.groupBy(key, "size", "start", "words", *facts).agg(F.avg(F.coalesce(f"{target}_score", F.lit(0.0))).alias("dictionary"), F.coalesce(F.bool_or("fuzzy"), F.lit(False)).alias("fuzzy"))
-    grouped = grouped.withColumn("candidate", F.array_join("words", " "))
+    # evidence joins each word once, not each run that holds it; the runs are made where a row's words are together again
+    each = rows.select(key, *facts, F.posexplode(tokens).alias("at", "word")).join(evidence.select("word", F.col(f"{target}_score").alias("s"), "fuzzy"), "word", "left")
+    word = F.struct("at", "word", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("fuzzy", F.lit(False)).alias("f"))
+    listed_words = each.groupBy(key, *facts).agg(F.array_sort(F.collect_list(word)).alias("ts"))
+    runs = listed_words.select(key, *facts, F.explode(ngrams(F.col("ts"))).alias("g")).select(key, *facts, "g.size", "g.start", "g.words")
+    sum_of = F.aggregate("words", F.lit(0.0), lambda a, x: a + x["s"])
+    grouped = runs.select(key, *facts, "size", "start", (sum_of / F.col("size")).alias("dictionary"), F.exists("words", lambda x: x["f"]).alias("fuzzy"), F.array_join(F.transform("words", lambda x: x["word"]), " ").alias("candidate"))
     if compounds is not None:
         listed = compounds.select(word_key(F.col("word")).alias("__key")).distinct().withColumn("__listed", F.lit(1.0))
         grouped = grouped.withColumn("__key", word_key(F.col("candidate"))).join(listed, "__key", "left").withColumn("dictionary", F.coalesce("__listed", "dictionary")).drop("__key", "__listed")
     score = candidate_score(F.col("dictionary"), F.col("fuzzy"), F.col("size"), F.col("label_present"), F.col("place_ok"), F.col("distance"), F.col("confidence"))
-    return grouped.select(key, "candidate", "size", "start", F.round("dictionary", 2).alias("dictionary"), "fuzzy", F.round(score, 4).alias("score"))
+    return grouped.select(key, "candidate", "size", "start", F.round(F.round("dictionary", 8), 2).alias("dictionary"), "fuzzy", F.round(F.round(score, 8), 4).alias("score"))
 
 
 def decide(scored: DataFrame, key: str, margin: float = 0.08, low: float = 0.30, valid: float = 0.75) -> DataFrame:

@@ -12,7 +12,7 @@ from cartulary.functions import dates, ids, places, text
 from cartulary.functions.similarity import best_match
 from cartulary.operators import classify, lines, pairing, scoring, spatial
 from cartulary.plans.record_queries import key_sql
-from cartulary.plans.registry import query, table
+from cartulary.plans.registry import ORACLE, QUERIES, query, table
 from cartulary.streaming.upsert import latest_version, start_upserts
 
 WORD_STOP = ("STEEL", "BRUSHED", "SMALL")
@@ -243,49 +243,80 @@ def fuzzy_lookup_levenshtein(spark: SparkSession, d: str) -> DataFrame:
     return best_match(typos, "typo", words, 75.0, exact_ratio=False).select("typo", "word", F.round("ratio", 4).alias("ratio"))
 
 
-@query()
+def lcs_sql(pairs: str) -> str:
+    """Common table expressions for the longest common subsequences of pairs (a, b): lcs (a, b, n), a cell of the table a step."""
+    return f"""cells AS (SELECT a, b, list_transform(range(0, length(b) + 1), lambda x: 0::BIGINT) AS c FROM ({pairs})
+    UNION ALL SELECT a, b, list_append(c, CASE WHEN len(c) % (length(b) + 1) = 0 THEN 0 WHEN a[len(c) // (length(b) + 1)] = b[len(c) % (length(b) + 1)] THEN c[len(c) - length(b) - 1] + 1 ELSE greatest(c[len(c) - length(b)], c[len(c)]) END)
+      FROM cells WHERE len(c) < (length(a) + 1) * (length(b) + 1)),
+  lcs AS (SELECT a, b, c[len(c)] AS n, 200.0::DOUBLE * c[len(c)] / (length(a) + length(b)) AS ratio FROM cells WHERE len(c) = (length(a) + 1) * (length(b) + 1))"""
+
+
+@query(
+    f"""WITH RECURSIVE {TYPOS_SQL}, {lcs_sql("SELECT typo AS a, word AS b FROM typos, words")}
+    SELECT a AS typo, arg_min(b, (-ratio, b)) AS word, round(max(ratio), 4) AS ratio FROM lcs WHERE ratio >= 80 GROUP BY a"""
+)
 def fuzzy_lookup_ratio(spark: SparkSession, d: str) -> DataFrame:
     typos, words = _typos(spark, d)
     return best_match(typos, "typo", words, 80.0).select("typo", "word", F.round("ratio", 4).alias("ratio"))
 
 
-@query(
-    """WITH t AS (SELECT doc_id, list_filter(string_split(replace(upper(translate(text, '.,' || chr(10), '   ')), 'ẞ', 'SS'), ' '), lambda x: x <> '')[1:6] AS ws FROM documents), d AS (SELECT DISTINCT upper(r_name) AS word FROM (SELECT unnest(['THE', 'AND', 'LES', 'DER']) AS r_name)),
-    g AS (SELECT doc_id, k AS size, s AS start, ws[s:s + k - 1] AS words, ws FROM t, range(1, 5) r1(k), range(1, 7) r2(s) WHERE s + k - 1 <= len(ws)),
-    v AS (SELECT doc_id, size, start, array_to_string(words, ' ') AS candidate, list_avg(list_transform(words, lambda x: CASE WHEN x IN (SELECT word FROM d) THEN 0.95 ELSE 0.0 END)) AS dict FROM g)
-    SELECT doc_id, candidate, size, start, round(dict, 2) AS dictionary, round(0.4 + 0.3 + 0.15 * 0.9 + dict * 0.1 + CASE WHEN dict >= 0.8 THEN 1.0 ELSE 0.5 END * 0.05 + 0.03 * (size - 1), 4) AS score FROM v""".replace("x IN (SELECT word FROM d)", "x IN ('THE', 'AND', 'LES', 'DER')")
-)
-def ngram_score(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of one to four of each document's first six words, against a small dictionary (exact words only)."""
-    tokens = F.slice(F.filter(F.split(F.upper(F.translate("text", ".,\n", "   ")), " "), lambda x: x != ""), 1, 6)
+def _evidence_sql(name: str, words: str) -> str:
+    """Of each distinct word the best evidence of a dictionary, and whether it is by similarity."""
+    return f"""{name} AS (SELECT t.word, CASE WHEN bool_or(t.word = k.word) THEN 0.95 ELSE coalesce(round((0.85 * max(r))::DECIMAL(18, 8), 2)::DOUBLE, 0) END AS score, NOT coalesce(bool_or(t.word = k.word), false) AND coalesce(max(r), 0) > 0 AS fuzzy
+      FROM (SELECT DISTINCT unnest(ws) AS word FROM t) t LEFT JOIN (SELECT x.word AS w, k.word, CASE WHEN 1 - levenshtein(x.word, k.word) / greatest(length(x.word), length(k.word))::DOUBLE >= 0.8 THEN 1 - levenshtein(x.word, k.word) / greatest(length(x.word), length(k.word))::DOUBLE END AS r
+        FROM (SELECT DISTINCT unnest(ws) AS word FROM t) x, ({words}) k WHERE length(x.word) BETWEEN length(k.word) * 0.8 AND length(k.word) / 0.8) k ON k.w = t.word GROUP BY t.word)"""
+
+
+CANDIDATES_SQL = f"""t AS (SELECT doc_id, regexp_extract_all(replace(upper(text), 'ẞ', 'SS'), '[A-Z]+') AS ws FROM documents),
+    {_evidence_sql("ga", "SELECT DISTINCT unnest(regexp_extract_all(upper(p_name), '[A-Z]+')) AS word FROM part")},
+    {_evidence_sql("sa", "SELECT DISTINCT upper(r_name) AS word FROM region")},
+    x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS at_ FROM t),
+    y AS (SELECT doc_id, at_, word, ga.score AS s, ga.fuzzy OR sa.fuzzy AS f FROM x JOIN ga USING (word) JOIN sa USING (word)),
+    l AS (SELECT doc_id, list(word ORDER BY at_) AS ws, list(s ORDER BY at_) AS ss, list(f ORDER BY at_) AS fs FROM y GROUP BY doc_id),
+    g AS (SELECT doc_id, k AS size, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: {{'start': i, 'candidate': array_to_string(ws[i:i + k - 1], ' '), 'dict': list_sum(ss[i:i + k - 1]) / k, 'fuzzy': list_bool_or(fs[i:i + k - 1])}})) AS v FROM l, range(1, 5) r(k)),
+    c AS (SELECT doc_id, v.candidate AS candidate, size, v.start AS start, v.fuzzy AS fuzzy, round(v.dict::DECIMAL(18, 8), 2)::DOUBLE AS dictionary,
+      round((0.4 + 0.3 + 0.15 * 0.9 + v.dict * 0.1 + CASE WHEN v.fuzzy THEN 0.9 WHEN v.dict >= 0.8 THEN 1.0 ELSE 0.5 END * 0.05 + 0.03 * (size - 1))::DECIMAL(18, 8), 4)::DOUBLE AS score FROM g)"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of one to four words of each whole text, with evidence from the words of part names and region names."""
+    tokens = F.regexp_extract_all(F.replace(F.upper("text"), F.lit("ẞ"), F.lit("SS")), F.lit("([A-Z]+)"), F.lit(1))
     rows = table(spark, d, "documents").select("doc_id", tokens.alias("tokens"), F.lit(True).alias("label_present"), F.lit(True).alias("place_ok"), F.lit(10.0).alias("distance"), F.lit(0.9).alias("confidence"))
-    known = spark.createDataFrame([("THE",), ("AND",), ("LES",), ("DER",)], "word string")
-    words = rows.select(F.explode("tokens").alias("word")).distinct()
-    evidence = words.join(known.withColumn("hit", F.lit(0.95)), "word", "left").select("word", F.coalesce("hit", F.lit(0.0)).alias("given_score"), F.lit(False).alias("fuzzy"))
-    return scoring.score_candidates(rows, "doc_id", "tokens", evidence).drop("fuzzy")
+    given = table(spark, d, "part").select(F.explode(F.regexp_extract_all(F.upper("p_name"), F.lit("([A-Z]+)"), F.lit(1))).alias("word")).distinct()
+    surnames = table(spark, d, "region").select(F.upper("r_name").alias("word"))
+    evidence = scoring.word_evidence(rows.select(F.explode("tokens").alias("word")), "word", given, surnames, exact_ratio=False)
+    return scoring.score_candidates(rows, "doc_id", "tokens", evidence)
+
+
+@query(f"WITH {CANDIDATES_SQL} SELECT * FROM c")
+def ngram_score(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d)
 
 
 @query(
-    """WITH t AS (SELECT doc_id, list_filter(string_split(lower(translate(text, chr(10), ' ')), ' '), lambda x: regexp_full_match(x, '[a-z]+'))[1:40] AS ws FROM documents)
-    SELECT doc_id, len(list_distinct(ws)) < len(ws) AS duplicated, len(list_distinct(ws)) AS kept FROM t"""
+    f"""WITH {CANDIDATES_SQL}, r AS (SELECT *, lead(score) OVER w AS runner_up, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, size, start))
+    SELECT doc_id, candidate, score, runner_up, CASE WHEN score < 0.3 THEN 'missing_data' WHEN coalesce(score - runner_up < 0.08 AND score < 0.85, false) OR score < 0.75 THEN 'review_required' ELSE 'valid' END AS status FROM r WHERE n = 1"""
 )
-def duplicate_tokens(spark: SparkSession, d: str) -> DataFrame:
-    tokens = F.slice(F.filter(F.split(F.lower(F.translate("text", "\n", " ")), " "), lambda x: x.rlike("^[a-z]+$")), 1, 40)
-    found = text.duplicate_words(tokens)
-    return table(spark, d, "documents").select("doc_id", found["duplicated"].alias("duplicated"), F.size(found["kept"]).cast("long").alias("kept"))
+def name_decision(spark: SparkSession, d: str) -> DataFrame:
+    """The best candidate of each document."""
+    return scoring.decide(_candidates(spark, d), "doc_id").select("doc_id", "candidate", "score", "runner_up", "status")
 
 
 @query(
     """WITH t AS (SELECT doc_id, list_filter(string_split(lower(translate(text, chr(10), ' ')), ' '), lambda x: regexp_full_match(x, '[a-z]+')) AS ws FROM documents)
     SELECT doc_id, len(list_distinct(ws)) < len(ws) AS duplicated, len(list_distinct(ws)) AS kept FROM t"""
 )
-def duplicate_tokens_whole(spark: SparkSession, d: str) -> DataFrame:
-    """duplicate_tokens over all words of each document."""
+def duplicate_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated words over all words of each document."""
     tokens = F.filter(F.split(F.lower(F.translate("text", "\n", " ")), " "), lambda x: x.rlike("^[a-z]+$"))
     found = F.transform(F.array(text.duplicate_words(tokens)), lambda x: F.struct(x["duplicated"].alias("duplicated"), F.size(x["kept"]).cast("long").alias("kept")))[0]
     return table(spark, d, "documents").select("doc_id", found.alias("f")).select("doc_id", "f.duplicated", "f.kept")
 
 
+#: The whole-text form under the name that it first had.
+QUERIES["duplicate_tokens_whole"], ORACLE["duplicate_tokens_whole"] = duplicate_tokens, ORACLE["duplicate_tokens"]
+
+
 BOX_SQL = "(l_quantity / 60.0) AS x, ((l_partkey % 97) / 100.0)::DOUBLE AS y, (0.05 + l_discount)::DOUBLE AS w, 0.02::DOUBLE AS h"
 REL_SQL = """CASE WHEN c.y < l.y - 0.14 THEN 'ABOVE' WHEN l.y - c.y > 0 AND l.y - c.y <= 0.14 AND abs((c.x + c.w / 2) - (l.x + l.w / 2)) <= l.w * 3.5 THEN 'DIRECTLY_ABOVE'
   WHEN c.y - l.y > 0 AND c.y - l.y <= 0.15 AND abs((c.x + c.w / 2) - (l.x + l.w / 2)) <= l.w * 3.5 THEN 'DIRECTLY_BELOW' WHEN abs(c.y - l.y) <= l.h * 1.8 AND c.x >= l.x + l.w * 0.1 THEN 'DIRECTLY_RIGHT'
@@ -334,7 +365,15 @@ def place_lookup(spark: SparkSession, d: str) -> DataFrame:
     return raw.join(close, "raw", "left").select("s_suppkey", F.col("word").alias("place"))
 
 
-@query()
+RAW_PLACE_SQL = "CASE s_suppkey % 3 WHEN 0 THEN n_name WHEN 1 THEN left(n_name, 3) || substr(n_name, 5) ELSE 'ASIA' END"
+
+
+@query(
+    f"""WITH RECURSIVE t AS (SELECT s_suppkey, {RAW_PLACE_SQL} AS raw FROM supplier JOIN nation ON s_nationkey = n_nationkey), names AS (SELECT upper(n_name) AS name, false AS region FROM nation UNION ALL SELECT upper(r_name), true FROM region),
+    exact AS (SELECT name AS raw, bool_and(region) AS region FROM names GROUP BY name), {lcs_sql("SELECT DISTINCT upper(raw) AS a, name AS b FROM t, names WHERE upper(raw) NOT IN (SELECT raw FROM exact)")},
+    best AS (SELECT a, arg_min({{'name': b, 'region': region}}, (-ratio, b, region)) AS m FROM lcs JOIN names ON b = name WHERE ratio >= 80 GROUP BY a)
+    SELECT s_suppkey, t.raw, CASE WHEN exact.raw IS NOT NULL THEN CASE WHEN NOT exact.region THEN exact.raw END WHEN NOT m.region THEN m.name END AS place FROM t LEFT JOIN exact ON exact.raw = upper(t.raw) LEFT JOIN best ON a = upper(t.raw)"""
+)
 def place_resolve(spark: SparkSession, d: str) -> DataFrame:
     """The gazetteer operator with its exact similarity: nations as places, regions as regions."""
     n, r = table(spark, d, "nation"), table(spark, d, "region")
@@ -344,7 +383,10 @@ def place_resolve(spark: SparkSession, d: str) -> DataFrame:
     return places.resolve_places(s.select("s_suppkey", raw.alias("raw")), "raw", gazetteer)
 
 
-@query()
+@query(
+    """WITH b AS (SELECT user_id, arg_max(event_type, (ts, event_id)) FILTER (event_type IS NOT NULL) AS event_type, arg_max(props, (ts, event_id)) FILTER (props IS NOT NULL) AS props, max(value) AS value, max((ts, event_id)) AS l FROM events GROUP BY user_id)
+    SELECT user_id, event_type, props, value, l[1] AS ts, l[2] AS event_id FROM b"""
+)
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Events that arrive as files, merged batch by batch into one row a user."""
     events = table(spark, d, "events").schema
