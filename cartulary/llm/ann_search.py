@@ -21,8 +21,8 @@ from cartulary.llm.common import materialize
 
 #: Vectors, and queries, that meet in one task's block.
 BLOCK, QUERY_BLOCK = 4096, 1024
-#: Columns of each step of the scan.
-STEP = 16
+#: Columns of each step of the scan, and vectors after which a block's limits tighten.
+STEP, CHUNK = 16, 1024
 #: The test's width; at 2.1, the usual choice, a true neighbour is abandoned about once in a thousand.
 EPSILON = 2.1
 SAMPLE, MAX_LISTS = 16_384, 1024
@@ -80,45 +80,70 @@ def matrix(column: pd.Series, dims: int) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64).reshape(len(column), dims)
 
 
-def scan(q: np.ndarray, v: np.ndarray, top: float, turn: np.ndarray, k: int, epsilon: float = EPSILON) -> Iterator[tuple[int, np.ndarray]]:
+def scan(q: np.ndarray, v: np.ndarray, top: float, turn: np.ndarray, k: int, epsilon: float = EPSILON, known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """For each query (row of q), the places in v that may be among its k nearest, ties of the k-th included.
 
-    Never fewer than k, or all of v: those that set the limit stay, whatever the test says of them.
-
-    Partial distances of all pairs are matrix products while many are left, and sums pair by pair once few are.
+    known: for each query a squared distance within which it has k vectors elsewhere, or infinity. Without it never
+    fewer than k, or all of v. Vectors come in chunks: the first is compared in full where nothing is known, and
+    each later one against the limit that those before it left. A candidate that fails a test is gone.
     """
     rq, rv = np.column_stack([q, np.zeros(len(q))]) @ turn, lifted(v, top) @ turn
-    dims = rv.shape[1]
+    dims, slack = rv.shape[1], 1e-9 * top * top
+    limit = np.full(len(q), np.inf) if known is None else known.astype(np.float64)
+    best = np.full((len(q), k), np.inf)
+    rows, places, dists = [], [], []
 
-    def distances(s: int, e: int, upto: int | None = None) -> np.ndarray:
-        a, b = rq[:, s:e], rv[:upto, s:e]
+    def partial(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)
 
-    def bound(e: int) -> np.ndarray:
-        return limit * (e / dims) * ((1 + epsilon / np.sqrt(e)) ** 2 if e < dims else 1) + 1e-9 * top * top
-
-    first = min(len(v), max(4 * k, 256))
-    limit, sure = np.full(len(q), np.inf), np.zeros((len(q), len(v)), dtype=bool)
-    if first > k:
-        whole = distances(0, dims, first)
-        closest = np.argpartition(whole, k - 1, axis=1)[:, :k]
-        limit = np.take_along_axis(whole, closest, 1).max(axis=1)
-        np.put_along_axis(sure, closest, True, 1)
-    partial, at = np.zeros((len(q), len(v))), 0
-    alive = np.ones_like(partial, dtype=bool)
-    while at < dims and alive.mean() >= 0.1:
-        end = min(dims, at + STEP)
-        partial += distances(at, end)
-        at = end
-        alive = sure | (partial <= bound(at)[:, None])
-    row, col = np.nonzero(alive)
-    left = partial[row, col]
-    while at < dims:
-        end = min(dims, at + STEP)
-        left = left + ((rq[row, at:end] - rv[col, at:end]) ** 2).sum(1)
-        at = end
-        stay = sure[row, col] | (left <= bound(at)[row])
-        row, col, left = row[stay], col[stay], left[stay]
+    def bound(end: int, of: np.ndarray) -> np.ndarray:
+        return limit[of] * (end / dims) * ((1 + epsilon / np.sqrt(end)) ** 2 if end < dims else 1) + slack
+
+    def near(first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of queries and vectors of a chunk that pass all tests, and their squared distances."""
+        queries, vectors = np.arange(len(q)), np.arange(first, last)
+        sums, alive, end = np.zeros((len(q), last - first)), np.ones((len(q), last - first), dtype=bool), 0
+        # matrix products while many pairs are left, over the queries and vectors that still have some
+        while end < dims and alive.sum() >= 0.1 * alive.size:
+            start, end = end, min(dims, end + STEP)
+            sums += partial(rq[queries, start:end], rv[vectors, start:end])
+            alive &= sums <= bound(end, queries)[:, None]
+            used, held = alive.any(1), alive.any(0)
+            if used.mean() < 0.9 or held.mean() < 0.9:
+                queries, vectors = queries[used], vectors[held]
+                sums, alive = sums[used][:, held], alive[used][:, held]
+            if not alive.size:
+                break
+        row, col = np.nonzero(alive)
+        left, row, col = sums[row, col], queries[row], vectors[col]
+        while end < dims and len(row):
+            start, end = end, min(dims, end + STEP)
+            left = left + ((rq[row, start:end] - rv[col, start:end]) ** 2).sum(1)
+            stay = left <= bound(end, row)
+            row, col, left = row[stay], col[stay], left[stay]
+        return row, col, left
+
+    at, size = 0, max(4 * k, 256)
+    while at < len(v):
+        row, col, left = near(at, min(len(v), at + size))
+        at, size = at + size, CHUNK
+        rows.append(row)
+        places.append(col)
+        dists.append(left)
+        if len(row):
+            # each query's k smallest so far, with those of this chunk
+            order = np.lexsort((left, row))
+            row, left = row[order], left[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            fresh = np.full((len(q), k), np.inf)
+            fresh[row[rank < k], rank[rank < k]] = left[rank < k]
+            best = np.sort(np.hstack([best, fresh]), axis=1)[:, :k]
+            limit = np.minimum(limit, best[:, -1])
+    row, col, left = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, places, dists))
+    stay = left <= limit[row] + slack if len(row) else np.empty(0, dtype=bool)
+    row, col = row[stay], col[stay]
+    order = np.argsort(row, kind="stable")
+    row, col = row[order], col[order]
     ends = np.searchsorted(row, np.arange(len(q) + 1))
     for i in range(len(q)):
         yield i, col[ends[i] : ends[i + 1]]
@@ -138,7 +163,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
     Centroids are fitted on a sample of up to 16,384 vectors (the lowest hashes of ids). How many lists a
     query probes is set by measurement: up to 64 sampled queries are compared with every vector, and the
     probes are as many as find `recall` of their true neighbours. A query whose lists hold fewer than k
-    candidates probes its next lists until they hold k. An empty table gives no rows.
+    candidates probes its next lists until they hold k. Its first lists leave the limit with which the others
+    are scanned. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, vec_id, embedding), "vectors")
@@ -177,21 +203,15 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
                 x = matrix(b["embedding"], dims)
                 near = nearest(np.column_stack([x, np.zeros(len(x))]), centroids, lists)
                 copies = b["copies"].to_numpy()
-                # a list is needed while those before it hold fewer than k rows besides the query's own
+                # the first lists of a query are those that together hold k rows besides its own
                 before = np.cumsum(held[near], axis=1) - held[near]
-                take = (np.arange(lists) < probes) | (before < k + copies[:, None])
+                first = before < k + copies[:, None]
+                take = (np.arange(lists) < probes) | first
                 times = take.sum(1)
-                yield pd.DataFrame({"query_id": np.repeat(b["vec_id"].to_numpy(), times), "query": np.repeat(np.array(b["embedding"], dtype=object), times), "copies": np.repeat(copies, times), "list": near[take].astype(np.int32)})
+                yield pd.DataFrame({"query_id": np.repeat(b["vec_id"].to_numpy(), times), "query": np.repeat(np.array(b["embedding"], dtype=object), times), "copies": np.repeat(copies, times), "list": near[take].astype(np.int32), "first": first[take]})
 
-    # one row a list, MAX_LISTS at most
+    routed = materialize(asking.mapInPandas(route, f"query_id long, query {kept}, copies int, list int, first boolean"), "routed-queries")
     sizes = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    routed = materialize(asking.mapInPandas(route, f"query_id long, query {kept}, copies int, list int"), "routed-queries")
-    asked = routed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qblocks"))
-    shape = F.broadcast(sizes.join(asked, "list"))
-    parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    # a list too large for one task is cut into blocks, and so are its queries; each block meets each
-    left = routed.join(shape, "list").select("list", "query_id", "query", "copies", F.pmod(F.xxhash64("query_id"), "qblocks").cast("int").alias("qblock"), parts("blocks").alias("block"))
-    right = dealt.join(shape, "list").select("list", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), parts("qblocks").alias("qblock"))
 
     def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -199,21 +219,42 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
             _, norm, turn = index.value
             q, v = matrix(asked["query"], dims), matrix(held["embedding"], dims)
             ids, names, copies = held["vec_id"].to_numpy(), asked["query_id"].to_numpy(), asked["copies"].to_numpy()
+            # from the score of the k-th found elsewhere, the distance that a vector must not exceed
+            known = (q * q).sum(1) + norm * norm - 2 * asked["least"].fillna(-np.inf).to_numpy(dtype=np.float64)
             for at in range(0, len(q), 256):
-                for i, places in scan(q[at : at + 256], v, norm, turn, k + int(copies[at : at + 256].max()), epsilon):
+                part = slice(at, at + 256)
+                for i, places in scan(q[part], v, norm, turn, k + int(copies[part].max()), epsilon, known[part]):
                     places = places[ids[places] != names[at + i]]
                     score = exact(q[at + i], v[places])
                     order = np.lexsort((ids[places], -score))[:k]
                     out.append(pd.DataFrame({"query_id": names[at + i], "vec_id": ids[places][order], "score": score[order]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
-    found = left.groupBy("list", "block", "qblock").cogroup(right.groupBy("list", "block", "qblock")).applyInPandas(best, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def scanned(asked: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score) of queries in their lists; asked: query_id, query, copies, list, least."""
+        counted = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qblocks"))
+        # one row a list, MAX_LISTS at most; a list too large for one task is cut into blocks, and so are its queries
+        shape = F.broadcast(sizes.join(counted, "list"))
+        parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = asked.join(shape, "list").select("list", "query_id", "query", "copies", "least", F.pmod(F.xxhash64("query_id"), "qblocks").cast("int").alias("qblock"), parts("blocks").alias("block"))
+        right = dealt.join(shape, "list").select("list", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), parts("qblocks").alias("qblock"))
+        return left.groupBy("list", "block", "qblock").cogroup(right.groupBy("list", "block", "qblock")).applyInPandas(best, "query_id long, vec_id long, score double")
+
+    def top_k(found: DataFrame) -> DataFrame:
+        ranked = found.withColumn("rank", F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return ranked.where(F.col("rank") <= k)
+
+    # a query's first lists leave the limit with which its others are scanned
+    near = materialize(top_k(scanned(routed.where("first").withColumn("least", F.lit(None).cast("double")))).drop("rank"), "first-neighbours")
+    limits = near.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("least"))
+    more = scanned(routed.where("NOT first").join(limits, "query_id", "left"))
+    return top_k(near.unionByName(more)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _probes(dealt: DataFrame, asking: DataFrame, index, dims: int, lists: int, k: int, recall: float) -> int:
-    """How many lists to probe: measured on up to 64 queries against every vector."""
+    """How many lists to probe: measured on up to 64 queries against every vector; all of them for a recall of 1."""
+    if recall >= 1:
+        return lists
     some = asking.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(64).toPandas()
     if not len(some):
         return 1

@@ -46,8 +46,35 @@ def test_all_probes_without_test_are_exact(spark):
     rows = vectors(400, 10, 2)
     rows += [(1000 + k, rows[40][1], 0) for k in range(60)]  # ties
     found, want = run(spark, rows, recall=1.0, epsilon=1e9, k=20), exact(rows, 20, 20)
-    agree = np.mean([[i for i, _ in found[q]] == [i for i, _ in want[q]] for q in want])
-    assert agree > 0.9 and [i for i, _ in found[40]] == [i for i, _ in want[40]]
+    assert set(found) == set(want)
+    for q in want:
+        assert [i for i, _ in found[q]] == [i for i, _ in want[q]]
+
+
+@pytest.mark.parametrize("norm", [1.0, 800.0, 8e3, 1e5])
+@pytest.mark.parametrize("known", [False, True])
+def test_no_neighbour_or_tie_is_lost_at_any_norm(norm, known):
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((2500, 64)).astype(np.float32).astype(float)
+    v[1200:1260] = v[7]  # ties across chunks
+    v *= norm / np.sqrt((v * v).sum(1)).max()
+    q, top = v[[7, 1300, 2000, 5]], norm * (1 + 1e-12)
+    score = q @ v.T
+    kth = -np.sort(-score, axis=1)[:, 19]
+    far = (q * q).sum(1) + top * top - 2 * kth if known else None
+    for i, places in ann_search.scan(q, v, top, ann_search.rotation(65), 20, 1e9, far):
+        assert set(np.flatnonzero(score[i] >= kth[i])) <= set(places) and len(places) < 200
+
+
+def test_tests_abandon_candidates_and_lose_few():
+    rng = np.random.default_rng(3)
+    v = np.concatenate([c + rng.standard_normal((400, 64)) for c in 3 * rng.standard_normal((10, 64))])
+    top = np.sqrt((v * v).sum(1)).max()
+    q = v[::50]
+    lost = 0
+    for i, places in ann_search.scan(q, v, top, ann_search.rotation(65), 20):
+        lost += len(set(np.argsort(-(v @ q[i]))[:20]) - set(places))
+    assert lost <= 0.01 * 20 * len(q)
 
 
 def test_vectors_that_take_no_part(spark):
