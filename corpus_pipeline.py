@@ -14,9 +14,9 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language that is at least as probable as the rest, go."""
+    """Documents without a letter, of no language that is at least as probable as the rest, or unlike all that was learned, go."""
     named = language_id.identify(docs, language_pieces())
-    fit = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    fit = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE) & F.col("in_language")
     return named.where(fit).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
