@@ -80,8 +80,8 @@ def matrix(column: pd.Series, dims: int) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64).reshape(len(column), dims)
 
 
-def scan(q: np.ndarray, v: np.ndarray, top: float, turn: np.ndarray, k: int, epsilon: float = EPSILON, known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """For each query (row of q), the places in v that may be among its k nearest, ties of the k-th included.
+def scan(q: np.ndarray, v: np.ndarray, top: float, turn: np.ndarray, k: int, epsilon: float = EPSILON, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a query (row of q, ascending) and a place in v that may be among its k nearest, ties of the k-th included.
 
     known: for each query a squared distance within which it has k vectors elsewhere, or infinity. Without it never
     fewer than k, or all of v. Vectors come in chunks: the first is compared in full where nothing is known, and
@@ -143,14 +143,11 @@ def scan(q: np.ndarray, v: np.ndarray, top: float, turn: np.ndarray, k: int, eps
     stay = left <= limit[row] + slack if len(row) else np.empty(0, dtype=bool)
     row, col = row[stay], col[stay]
     order = np.argsort(row, kind="stable")
-    row, col = row[order], col[order]
-    ends = np.searchsorted(row, np.arange(len(q) + 1))
-    for i in range(len(q)):
-        yield i, col[ends[i] : ends[i + 1]]
+    return row[order], col[order]
 
 
 def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, each summed alike wherever its vector lies."""
+    """Inner products of the rows of both in double precision, each summed alike wherever its vector lies."""
     return (v * q).sum(axis=1)
 
 
@@ -223,11 +220,14 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
             known = (q * q).sum(1) + norm * norm - 2 * asked["least"].fillna(-np.inf).to_numpy(dtype=np.float64)
             for at in range(0, len(q), 256):
                 part = slice(at, at + 256)
-                for i, places in scan(q[part], v, norm, turn, k + int(copies[part].max()), epsilon, known[part]):
-                    places = places[ids[places] != names[at + i]]
-                    score = exact(q[at + i], v[places])
-                    order = np.lexsort((ids[places], -score))[:k]
-                    out.append(pd.DataFrame({"query_id": names[at + i], "vec_id": ids[places][order], "score": score[order]}))
+                row, col = scan(q[part], v, norm, turn, k + int(copies[part].max()), epsilon, known[part])
+                other = ids[col] != names[part][row]
+                row, col = row[other], col[other]
+                score = np.concatenate([np.empty(0), *(exact(q[part][row[s : s + 65536]], v[col[s : s + 65536]]) for s in range(0, len(row), 65536))])
+                order = np.lexsort((ids[col], -score, row))
+                row, col, score = row[order], col[order], score[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                out.append(pd.DataFrame({"query_id": names[part][row[first]], "vec_id": ids[col[first]], "score": score[first]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
     def scanned(asked: DataFrame) -> DataFrame:

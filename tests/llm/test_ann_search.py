@@ -62,7 +62,9 @@ def test_no_neighbour_or_tie_is_lost_at_any_norm(norm, known):
     score = q @ v.T
     kth = -np.sort(-score, axis=1)[:, 19]
     far = (q * q).sum(1) + top * top - 2 * kth if known else None
-    for i, places in ann_search.scan(q, v, top, ann_search.rotation(65), 20, 1e9, far):
+    row, col = ann_search.scan(q, v, top, ann_search.rotation(65), 20, 1e9, far)
+    for i in range(len(q)):
+        places = col[row == i]
         assert set(np.flatnonzero(score[i] >= kth[i])) <= set(places) and len(places) < 200
 
 
@@ -72,8 +74,9 @@ def test_tests_abandon_candidates_and_lose_few():
     top = np.sqrt((v * v).sum(1)).max()
     q = v[::50]
     lost = 0
-    for i, places in ann_search.scan(q, v, top, ann_search.rotation(65), 20):
-        lost += len(set(np.argsort(-(v @ q[i]))[:20]) - set(places))
+    row, col = ann_search.scan(q, v, top, ann_search.rotation(65), 20)
+    for i in range(len(q)):
+        lost += len(set(np.argsort(-(v @ q[i]))[:20]) - set(col[row == i]))
     assert lost <= 0.01 * 20 * len(q)
 
 
