@@ -67,6 +67,11 @@ def deleted(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return df.join(gone.select(key), key, "left_anti")
 
 
+def of_stored(records: DataFrame, documents: DataFrame) -> DataFrame:
+    """Records whose document is stored, to be asked before records are written."""
+    return records.join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+
+
 def document_summary(documents: DataFrame, users: DataFrame, records: DataFrame) -> DataFrame:
     """Documents with their user, number of records and of records under review; orphans stay.
 
@@ -97,8 +102,9 @@ def is_complete(*columns: str) -> Column:
     return all_of([F.col(c).isNotNull() & (F.col(c).cast("string") != "") for c in columns])
 
 
-def export(df: DataFrame, names: Mapping[str, str], flags: Sequence[str] = (), times: Sequence[str] = ()) -> DataFrame:
-    """Columns under their report names: flags as SÍ or NO, times as dd/MM/yyyy HH:mm."""
+def export(df: DataFrame, names: Mapping[str, str], flags: Sequence[str] = (), times: Sequence[str] = (), newest: str | None = None) -> DataFrame:
+    """Columns under their report names: flags as SÍ or NO, times as dd/MM/yyyy HH:mm; the newest first, if a column tells."""
+    df = df.orderBy(F.col(newest).desc_nulls_first()) if newest else df
 
     def shown(c: str) -> Column:
         if c in flags:
