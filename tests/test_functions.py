@@ -101,7 +101,7 @@ def test_repeats_late_in_a_text(spark, tmp_path):
     letters = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(120)]
     rows = [(1, " ".join([*letters, letters[3]])), (2, " ".join(letters)), (3, ""), (4, None), (5, "b a B\na c")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: (r.duplicated, r.kept) for r in text_queries.duplicate_tokens_whole(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.duplicated, r.kept) for r in text_queries.duplicate_tokens(spark, str(tmp_path)).collect()}
     assert got == {1: (True, 120), 2: (False, 120), 3: (False, 0), 4: (None, None), 5: (True, 3)}
     words = spark.createDataFrame([(["b", "á", "B", "a", "c"],)], "w array<string>").select(text.duplicate_words(F.col("w")).alias("f")).first().f
     assert words.duplicated and words.kept == ["b", "á", "c"]
