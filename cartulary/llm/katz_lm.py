@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm.common import crc_mod, materialize
-from cartulary.llm.packing import U64, Reader, mix64, pack, pack_sorted, range_of, runs
+from cartulary.llm.packing import U64, Reader, mix64, pack, pack_listed, pack_sorted, range_of, runs
 
 #: Tokens that a batch of documents holds at most (one longer document is a batch of its own), and keys of a range about.
 BATCH, RANGE = 1_000_000, 1_000_000
@@ -134,7 +134,7 @@ def _ask(ranges: int):
             out = []
             for f, s, e in runs(where):
                 heads = np.flatnonzero(np.append(True, first[s + 1 : e] != first[s : e - 1]))
-                data = pack_sorted(first[s:e][heads]) + pack(np.diff(np.append(heads, e - s))) + pack(second[s:e]) + pack(count[s:e])
+                data = pack_sorted(first[s:e][heads]) + pack(np.diff(np.append(heads, e - s))) + pack_listed(second[s:e]) + pack(count[s:e])
                 out.append((f, number, PAIRS, data))
             count = np.bincount(b.tokens, weights=weight, minlength=len(b.words)).astype(np.int64)
             for f, s, e in runs(range_of(b.words, ranges)):
@@ -156,7 +156,7 @@ def _sum(min_count: int):
             if kind == PAIRS:
                 heads, times = r.sorted(), r.ints().astype(np.int64)
                 first.append(np.repeat(heads, times))
-                second.append(r.ints())
+                second.append(r.listed())
             else:
                 first.append(r.sorted())
                 second.append(np.zeros(len(first[-1]), dtype=U64))
@@ -174,7 +174,7 @@ def _sum(min_count: int):
         if kind == WORDS:  # the words go along, for the backoff weights
             answers = [d + x for d, x in zip(rows["data"], answers, strict=True)]
         kept = total >= (min_count if kind == PAIRS else 1)
-        table = pack_sorted(a[starts][kept]) + pack(b[starts][kept]) + pack(total[kept])
+        table = pack_listed(a[starts][kept]) + pack_listed(b[starts][kept]) + pack(total[kept])
         stats = pack(np.append(np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2], [total.sum(), (total > 0).sum()]))
         more = pd.DataFrame({"fragment": fragment, "batch": 0, "kind": [kind + 2, kind + 4], "data": [table, stats]})
         return pd.concat([rows.assign(data=answers), more])
@@ -244,7 +244,7 @@ def _table(rows: DataFrame) -> DataFrame:
         for x in batches:
             for data in x.column(0).to_pylist():
                 r = Reader(data)
-                parts = [r.sorted(), r.ints(), r.ints()]
+                parts = [r.listed(), r.listed(), r.ints()]
                 for s in range(0, len(parts[0]), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(p[s : s + 100_000].astype(np.int64)) for p in parts], names=["a", "b", "c"])
 

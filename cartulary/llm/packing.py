@@ -35,6 +35,12 @@ def pack_sorted(values: np.ndarray) -> bytes:
     return pack(np.diff(values, prepend=U64(0)))
 
 
+def pack_listed(values: np.ndarray) -> bytes:
+    """Values that repeat: each once, then their places among these."""
+    own, at = np.unique(values, return_inverse=True)
+    return pack_sorted(own) + pack(at)
+
+
 class Reader:
     """Reads arrays back in the order in which they were packed."""
 
@@ -52,6 +58,10 @@ class Reader:
     def sorted(self) -> np.ndarray:
         return np.cumsum(self.ints(), dtype=U64)
 
+    def listed(self) -> np.ndarray:
+        own, at = self.sorted(), self.ints().astype(np.int64)
+        return own[at]
+
 
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     """The range, of equal widths, that each hash of 64 bits falls into; it ascends with the hash."""
