@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Sets of ids up to this size may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Spark's setting that deletes the shuffle files of a query when it has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: dict[str, SparkSession] = {}
 
@@ -54,11 +56,19 @@ def _drop_all() -> None:
 
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
+
+    Nothing reads the shuffles of the write once it has ended, so their files go then, not when the driver collects garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cartulary-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    was = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, was)
     _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._cartulary_path = path
