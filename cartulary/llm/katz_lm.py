@@ -54,6 +54,15 @@ def as_long(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def pressed(data: bytes) -> bytes:
+    """Blobs are full of small numbers, which zstd codes shorter than the default codec of shuffles."""
+    return zstandard.compress(data, 1)
+
+
+def opened(data: bytes) -> bytes:
+    return zstandard.decompress(data)
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = self[word] = word_hash(word)
@@ -135,10 +144,10 @@ def _ask(ranges: int):
             for f, s, e in runs(where):
                 heads = np.flatnonzero(np.append(True, first[s + 1 : e] != first[s : e - 1]))
                 data = pack_sorted(first[s:e][heads]) + pack(np.diff(np.append(heads, e - s))) + pack_listed(second[s:e]) + pack(count[s:e])
-                out.append((f, number, PAIRS, data))
+                out.append((f, number, PAIRS, pressed(data)))
             count = np.bincount(b.tokens, weights=weight, minlength=len(b.words)).astype(np.int64)
             for f, s, e in runs(range_of(b.words, ranges)):
-                out.append((ranges + f, number, WORDS, pack_sorted(b.words[s:e]) + pack(count[s:e])))
+                out.append((ranges + f, number, WORDS, pressed(pack_sorted(b.words[s:e]) + pack(count[s:e]))))
             yield _rows(out)
             del b, out, keys, at, first, second, count, where, order, weight
             pa.default_memory_pool().release_unused()
@@ -152,7 +161,7 @@ def _sum(min_count: int):
         fragment, kind = rows["fragment"].iloc[0], rows["kind"].iloc[0]
         first, second, count, sizes = [], [], [], []
         for data in rows["data"]:
-            r = Reader(data)
+            r = Reader(opened(data))
             if kind == PAIRS:
                 heads, times = r.sorted(), r.ints().astype(np.int64)
                 first.append(np.repeat(heads, times))
@@ -172,12 +181,12 @@ def _sum(min_count: int):
         ends = np.cumsum(sizes)
         answers = [pack(each[e - n : e]) for n, e in zip(sizes, ends, strict=True)]
         if kind == WORDS:  # the words go along, for the backoff weights
-            answers = [d + x for d, x in zip(rows["data"], answers, strict=True)]
+            answers = [opened(d) + x for d, x in zip(rows["data"], answers, strict=True)]
         kept = total >= (min_count if kind == PAIRS else 1)
         table = pack_listed(a[starts][kept]) + pack_listed(b[starts][kept]) + pack(total[kept])
         stats = pack(np.append(np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2], [total.sum(), (total > 0).sum()]))
-        more = pd.DataFrame({"fragment": fragment, "batch": 0, "kind": [kind + 2, kind + 4], "data": [table, stats]})
-        return pd.concat([rows.assign(data=answers), more])
+        more = pd.DataFrame({"fragment": fragment, "batch": 0, "kind": [kind + 2, kind + 4], "data": [pressed(table), pressed(stats)]})
+        return pd.concat([rows.assign(data=[pressed(x) for x in answers]), more])
 
     return add_up
 
@@ -188,7 +197,7 @@ def _statistics(rows: DataFrame) -> np.ndarray:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0).to_pylist():
-                n = Reader(data).ints().astype(np.int64)
+                n = Reader(opened(data)).ints().astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["at", "n"])
 
     out = np.zeros(K + 3, dtype=np.int64)
@@ -243,7 +252,7 @@ def _table(rows: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for data in x.column(0).to_pylist():
-                r = Reader(data)
+                r = Reader(opened(data))
                 parts = [r.listed(), r.listed(), r.ints()]
                 for s in range(0, len(parts[0]), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(p[s : s + 100_000].astype(np.int64)) for p in parts], names=["a", "b", "c"])
@@ -275,11 +284,11 @@ def _weigh(asked: pd.DataFrame, contexts: pd.DataFrame) -> pd.DataFrame:
     word = word[order]
     numbers = [contexts[c].to_numpy()[order].astype("<f8") for c in ("denominator", "alpha")]
     out = []
-    for data in asked["data"]:
+    for data in map(opened, asked["data"]):
         mine = Reader(data).sorted()
         at = np.minimum(np.searchsorted(word, mine), max(len(word) - 1, 0))
         has = word[at] == mine if len(word) else np.zeros(len(mine), dtype=bool)
-        out.append(data + pack_sorted(np.flatnonzero(has)) + b"".join(x[at[has]].tobytes() for x in numbers))
+        out.append(pressed(data + pack_sorted(np.flatnonzero(has)) + b"".join(x[at[has]].tobytes() for x in numbers)))
     return asked.assign(data=out)
 
 
@@ -309,7 +318,7 @@ def _scores(ranges: int, uni: Unigrams, d: np.ndarray, min_count: int):
         signature = r.ints()
         by_use, used = r.ints().astype(np.int64), r.ints().astype(np.int64)
         words, count, base, alpha = [], [], [], []
-        for data in rows[rows["kind"] == WORDS].sort_values("fragment")["data"]:
+        for data in map(opened, rows[rows["kind"] == WORDS].sort_values("fragment")["data"]):
             r = Reader(data)
             words.append(r.sorted())
             r.ints()  # the batch's own counts
@@ -331,7 +340,7 @@ def _scores(ranges: int, uni: Unigrams, d: np.ndarray, min_count: int):
         keys, at = b.pairs()
         order = np.argsort(pair_range(words, keys, ranges), kind="stable")
         pair = np.empty(len(keys), np.int64)
-        pair[order] = np.concatenate([Reader(x).ints() for x in rows[rows["kind"] == PAIRS].sort_values("fragment")["data"]]).astype(np.int64)
+        pair[order] = np.concatenate([Reader(opened(x)).ints() for x in rows[rows["kind"] == PAIRS].sort_values("fragment")["data"]]).astype(np.int64)
         v, w = keys >> 32, keys & 0xFFFFFFFF
         with np.errstate(divide="ignore"):
             seen = np.log10(np.where(pair <= K, d[np.minimum(pair, K)], 1.0) * pair / base[v])
