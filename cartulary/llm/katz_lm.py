@@ -31,7 +31,7 @@ from cartulary.llm.common import crc_mod, materialize
 from cartulary.llm.packing import U64, Reader, mix64, pack, pack_listed, pack_sorted, range_of, runs
 
 #: Tokens that a batch of documents holds at most (one longer document is a batch of its own), and keys of a range about.
-BATCH, RANGE = 1_000_000, 1_000_000
+BATCH, RANGE = 1_500_000, 1_000_000
 #: Counts up to this are discounted.
 K = 5
 #: Of score() without a min_count.
