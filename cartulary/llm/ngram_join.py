@@ -6,14 +6,17 @@
    has no link and leaves here. Documents of equal sets become one class, and the counts are made anew.
 2. The global order is by document frequency, then hash. Two linked classes share an n-gram among the first
    n - ceil(0.8 n) + 1 of the larger set and the first m - ceil(1.6 m / 1.8) + 1 of the smaller one, of m n-grams:
-   the smaller set's short prefix is its index. Such an n-gram is a bucket; its hub is the smallest set with it in
-   its index. Each member is paired with its hub. A pair's overlap is counted fragment by fragment and summed.
+   the smaller set's short prefix is its index. An n-gram of one is a bucket; its hub is the most typical set with
+   it in a prefix, that of the most frequent n-grams, to which near copies of one text are likeliest linked. Each
+   member is paired with its hub. A pair's overlap is counted fragment by fragment and summed.
    Equally long texts of one template that aren't linked differ in more than their index, so they make no bucket.
-3. Two members of a star of which at least one isn't linked to the hub might still be linked to each other, if
-   the smaller one has a bucket in its index. They meet by star and size band. Their overlap is at most what both
-   share with the hub plus what both hold, repeated, outside it; pairs that reach the threshold by this bound
-   are counted as well. So no link between different components is lost.
-4. Components of the links, by alternating stars.
+3. Members that these links leave outside their hub's component get the most typical of themselves as a second hub,
+   and so on for a few rounds: groups that share a hub without links to it find together without all their pairs.
+4. Two members of a star in different components might still be linked, if the smaller one has a bucket in its
+   index. They meet by star and size band, one of them being outside the hub's component. Their overlap is at most
+   what both share with the hub plus what both hold, repeated, outside it; pairs that reach the threshold by this
+   bound are counted as well. So no link between different components is lost.
+5. Components of the links, by alternating stars.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ PERCENT = 80
 #: N-grams that a batch of documents holds at most (one longer document is a batch of its own), and a fragment about.
 BATCH, FRAGMENT = 1_000_000, 2_000_000
 IDS = 1 << 16
+#: Rounds of further hubs; pairs that they don't settle are counted one by one.
+ROUNDS = 2
 DOCS, REQUEST, REPLY = 0, 1, 2
 SET_SCHEMA = "doc_id long, node binary, n long, grams array<long>, freqs array<long>"
 
@@ -254,6 +259,11 @@ def linked(i, na, nb):
     return 100 * i >= PERCENT * (na + nb - i)
 
 
+def typical(n, freqs):
+    """How many other sets hold a set's n-grams, as the mean logarithm: the higher, the likelier a hub links to its members."""
+    return F.aggregate(freqs, F.lit(0.0), lambda s, f: s + F.log2(f)) / n
+
+
 def stars(sets: DataFrame) -> DataFrame:
     """(a, b, indexed): pairs of a hub and a member of one of its buckets, and whether such a bucket is in b's index."""
     n, single = F.col("n"), F.col("n") - F.size("grams")
@@ -261,46 +271,77 @@ def stars(sets: DataFrame) -> DataFrame:
     needed, needed_of_larger = F.expr(f"({PERCENT} * n + 99) div 100"), F.expr(f"({2 * PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT}")
     probe, index = (n - needed + 1 - single).cast("int"), (n - needed_of_larger + 1 - single).cast("int")
     prefix = F.slice("grams", F.lit(1), F.greatest(probe, F.lit(0)))
-    buckets = sets.select("node", "doc_id", "n", index.alias("index"), F.posexplode(prefix).alias("at", "gram")).withColumn("indexed", F.col("at") < F.col("index"))
-    smallest = F.min(F.when(F.col("indexed"), F.struct("n", "doc_id", "node"))).alias("hub")
-    hubs = buckets.groupBy("gram").agg(smallest, F.count(F.lit(1)).alias("m")).where("m > 1 and hub is not null")
+    rows = sets.select("node", "doc_id", typical(n, "freqs").alias("typical"), index.alias("index"), F.posexplode(prefix).alias("at", "gram"))
+    buckets = rows.withColumn("indexed", F.col("at") < F.col("index"))
+    hub = F.max(F.struct("typical", "doc_id", "node")).alias("hub")
+    hubs = buckets.groupBy("gram").agg(hub, F.count(F.lit(1)).alias("m"), F.max("indexed").alias("any")).where("m > 1 and any").drop("any")
     pairs = buckets.join(hubs, "gram").where(F.col("hub.node") != F.col("node"))
     return pairs.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.max("indexed").alias("indexed"))
 
 
 def near_pairs(star: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of a star, not both linked to its hub, that might be linked to each other.
+    """Pairs (a, b) of members of a star, in different components, that might be linked to each other.
 
     x, the smaller one, is indexed. Sizes of linked sets differ by a quarter at most, so x lies in y's size band or
-    the one below: both meet by an equi-join on hub and band.
+    the one below: both meet by an equi-join on hub and band. One of them at least is outside the hub's component.
     """
     band = F.floor(F.log("n_b") / F.log(F.lit(1.26)))
-    x = star.where("indexed").withColumn("band", band).alias("x")
-    y = star.withColumn("band", F.explode(F.array(band, band - 1))).alias("y")
-    most = F.least("x.i", "y.i") + F.least(F.col("x.repeated_b") - F.col("x.i"), F.col("y.repeated_b") - F.col("y.i"))
-    met = x.join(
-        y,
-        (F.col("x.a") == F.col("y.a"))
-        & (F.col("x.band") == F.col("y.band"))
-        & (F.col("x.b") != F.col("y.b"))
-        & (F.col("x.n_b") <= F.col("y.n_b"))
-        & ~(F.col("x.linked") & F.col("y.linked"))
-        & (100 * F.col("x.n_b") >= PERCENT * F.col("y.n_b"))
-        & ((100 + PERCENT) * most >= PERCENT * (F.col("x.n_b") + F.col("y.n_b"))),
-    )
-    return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+    inside = F.col("component_a") == F.col("component_b")
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        x = x.where("indexed").withColumn("band", band).alias("x")
+        y = y.withColumn("band", F.explode(F.array(band, band - 1))).alias("y")
+        most = F.least("x.i", "y.i") + F.least(F.col("x.repeated_b") - F.col("x.i"), F.col("y.repeated_b") - F.col("y.i"))
+        met = x.join(
+            y,
+            (F.col("x.a") == F.col("y.a"))
+            & (F.col("x.band") == F.col("y.band"))
+            & (F.col("x.component_b") != F.col("y.component_b"))
+            & (F.col("x.n_b") <= F.col("y.n_b"))
+            & (100 * F.col("x.n_b") >= PERCENT * F.col("y.n_b"))
+            & ((100 + PERCENT) * most >= PERCENT * (F.col("x.n_b") + F.col("y.n_b"))),
+        )
+        return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
+
+    outside = star.where(~inside)
+    return meet(outside, star).union(meet(star.where(inside), outside)).distinct()
 
 
 def links(sets: DataFrame) -> DataFrame:
     """Pairs of class representatives (u, v) whose links make up the components of all links."""
-    pairs = materialize(stars(sets), "hub-pairs")
-    about = sets.select("node", "doc_id", "n", F.size("grams").alias("repeated"))
+    about = materialize(sets.select("node", "doc_id", "n", F.size("grams").alias("repeated"), typical(F.col("n"), "freqs").alias("typical")), "about")
     of = lambda s: about.select(*[F.col(c).alias({"node": s}.get(c, f"{c}_{s}")) for c in about.columns])
-    star = pairs.join(overlaps(pairs.drop("indexed"), sets), ["a", "b"], "left").na.fill(0, ["i"]).join(of("a"), "a").join(of("b"), "b")
-    star = materialize(star.withColumn("linked", linked(F.col("i"), F.col("n_a"), F.col("n_b"))), "stars")
-    near = materialize(near_pairs(star), "near-pairs")
-    more = overlaps(near, sets).join(of("a"), "a").join(of("b"), "b").where(linked(F.col("i"), F.col("n_a"), F.col("n_b")))
-    return star.where("linked").unionByName(more, allowMissingColumns=True).select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v"))
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with what is known of both, their overlap i, and whether they are linked."""
+        with_i = pairs.join(overlaps(pairs.select("a", "b"), sets), ["a", "b"], "left").na.fill(0, ["i"])
+        return with_i.join(of("a"), "a").join(of("b"), "b").withColumn("linked", linked(F.col("i"), F.col("n_a"), F.col("n_b")))
+
+    edges = lambda rows: rows.where("linked").select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v"))
+
+    def placed(star: DataFrame, found: DataFrame) -> DataFrame:
+        """The star with the components of hubs and members by the links found so far."""
+        known = components(found)
+        for s in ("a", "b"):
+            mine = known.select(F.col("node").alias(f"doc_id_{s}"), F.col("component").alias(f"component_{s}"))
+            star = star.join(mine, f"doc_id_{s}", "left").withColumn(f"component_{s}", F.coalesce(f"component_{s}", f"doc_id_{s}"))
+        return materialize(star, "placed-stars")
+
+    star = materialize(counted(materialize(stars(sets), "hub-pairs")), "stars")
+    found = edges(star)
+    now = placed(star, found)
+    for _ in range(ROUNDS):
+        left = now.where("component_a <> component_b").select("a", "b", "typical_b", "doc_id_b")
+        hub = left.groupBy("a").agg(F.max(F.struct("typical_b", "doc_id_b", "b"))["b"].alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+        pairs = left.join(hub, "a").where("hub <> b").select(F.col("hub").alias("a"), "b").distinct()
+        further = materialize(pairs, "further-hub-pairs")
+        if further.isEmpty():
+            break
+        found = materialize(found.union(edges(counted(further))), "links")
+        now, last = placed(star, found), now
+        drop(last)
+    near = materialize(near_pairs(now), "near-pairs")
+    return found.union(edges(counted(near)))
 
 
 def components(edges: DataFrame) -> DataFrame:
