@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import ann_search, bpe_codec, chat_format, katz_lm, language_id, mixing, ngram_join, quality_rules, token_counts, warc_revisits
+from cartulary.llm import ann_search, bpe_codec, chat_format, fill_middle, hard_negatives, katz_lm, language_id, line_dedup, mixing, ngram_join, quality_rules, token_counts, warc_revisits
 from cartulary.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -80,6 +80,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    # labels of some rows are moved by one, so that near rows of other labels exist
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), every=100, positives=5, negatives=5, low=80, scale=256.0)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.drop_lines(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transform(read(spark, sf_dir, "documents"))
+    back = fill_middle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output"), 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_chat_formatting": op2_chat_formatting,
@@ -91,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_katz": op8_lm_katz,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -142,4 +163,28 @@ OP6 = r"""WITH u AS (SELECT *, regexp_replace(url, '#.*$', '') AS bare FROM page
 SELECT 'r' || page_id::VARCHAR AS record_id, key AS canonical_url, later AS captured, verdict, CASE WHEN verdict = 'resolved' THEN 'p' || found::VARCHAR END AS refers_to, CASE WHEN verdict = 'resolved' THEN digest END AS payload_digest,
   CASE WHEN verdict = 'resolved' THEN 'cache-control: max-age=120; content-length: ' || n::VARCHAR || '; content-type: text/html; date: ' || later::VARCHAR || '; etag: ' || tag || '; last-modified: ' || made::VARCHAR END AS headers FROM v"""
 
-ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1, "op2_chat_formatting": OP2, "op4_quality_rules": OP4, "op6_warc_revisits": OP6}
+#: Every anchor against every row.
+OP11 = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+  p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+  n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS rank
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+OP12 = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, md5(([text, lang, source])::VARCHAR) AS own FROM documents),
+  l AS (SELECT r, coalesce(doc_id::VARCHAR, 'x' || own) AS doc, unnest(ls) AS line, unnest(range(len(ls))) AS at_ FROM d),
+  k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+  f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc) >= 10),
+  c AS (SELECT r, count(*) FILTER (f.key IS NOT NULL) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY at_) FILTER (f.key IS NULL), '') AS kept FROM k LEFT JOIN f ON k.key = f.key GROUP BY r)
+SELECT doc_id, len(ls) AS n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN c USING (r)"""
+
+OP13 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+  h AS (SELECT *, len(u) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+  f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+  p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1, "op2_chat_formatting": OP2, "op4_quality_rules": OP4, "op6_warc_revisits": OP6, "op11_hard_negatives": OP11, "op12_line_dedup": OP12, "op13_fill_middle": OP13}
