@@ -271,7 +271,9 @@ def stars(sets: DataFrame) -> DataFrame:
     needed, needed_of_larger = F.expr(f"({PERCENT} * n + 99) div 100"), F.expr(f"({2 * PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT}")
     probe, index = (n - needed + 1 - single).cast("int"), (n - needed_of_larger + 1 - single).cast("int")
     prefix = F.slice("grams", F.lit(1), F.greatest(probe, F.lit(0)))
-    rows = sets.select("node", "doc_id", typical(n, "freqs").alias("typical"), index.alias("index"), F.posexplode(prefix).alias("at", "gram"))
+    # once a set: what stands beside a generator is computed for each of its rows
+    once = sets.select("node", "doc_id", typical(n, "freqs").alias("typical"), index.alias("index"), prefix.alias("prefix"))
+    rows = once.select("node", "doc_id", "typical", "index", F.posexplode("prefix").alias("at", "gram"))
     buckets = rows.withColumn("indexed", F.col("at") < F.col("index"))
     hub = F.max(F.struct("typical", "doc_id", "node")).alias("hub")
     hubs = buckets.groupBy("gram").agg(hub, F.count(F.lit(1)).alias("m"), F.max("indexed").alias("any")).where("m > 1 and any").drop("any")
