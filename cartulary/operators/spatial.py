@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -127,29 +126,31 @@ def best_candidates(pairs: DataFrame) -> DataFrame:
     return ranked.withColumn("f", field_score(F.col("spatial"), F.col("confidence"))).select("*", F.col("f.score").alias("score"), F.col("f.status").alias("status")).drop("f")
 
 
-def exclusive(pairs: DataFrame, order: Sequence[str]) -> DataFrame:
+def exclusive(pairs: DataFrame, order: Sequence[str], valid_only: bool = False) -> DataFrame:
     """The best candidate of each field in a given order of fields; a line serves one field.
 
-    Each choice depends on those before it, so a page's candidates are chosen together, a page at a time.
+    Each choice depends on those before it: a fold over the page's candidates, sorted by field, score and line, that
+    carries the fields served and the lines used. With valid_only a field whose best candidate isn't VALID stays
+    empty and uses no line. Fields that `order` doesn't name take no part.
     """
-    keys = ["document_id", "page_number", "field", "line_index"]
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["spatial", "line_index"], ascending=[False, True], kind="stable")
-        used: list[int] = []
-        taken = []
-        for field in order:
-            mine = rows[(rows["field"] == field) & ~rows["line_index"].isin(used)]
-            if len(mine):
-                taken.append(mine.iloc[:1])
-                used.append(mine["line_index"].iloc[0])
-        return pd.concat([rows.iloc[:0], *taken])[keys]
-
-    ok = pairs.where(F.col("relation").isin(*COMPATIBLE))
-    slim = ok.select(*keys, "spatial")
-    chosen = slim.groupBy("document_id", "page_number").applyInPandas(choose, slim.drop("spatial").schema)
-    best = ok.join(chosen, keys)
-    return best.withColumn("f", field_score(F.col("spatial"), F.col("confidence"))).select("*", F.col("f.score").alias("score"), F.col("f.status").alias("status")).drop("f")
+    keys = ["document_id", "page_number"]
+    places = F.create_map(*[F.lit(x) for i, f in enumerate(order) for x in (f, i)])
+    fit = field_score(F.col("spatial"), F.col("confidence"))
+    ok = pairs.where(F.col("relation").isin(*COMPATIBLE)).withColumn("__place", F.try_element_at(places, F.col("field"))).where("__place IS NOT NULL")
+    slim = F.struct(F.col("__place").alias("p"), (-F.col("spatial")).alias("s"), F.col("line_index").alias("line"), (fit["status"] == "VALID").alias("valid"))
+    start = F.struct(F.array().cast("array<int>").alias("served"), F.array().cast("array<int>").alias("lines"), F.array().cast("array<struct<p:int,line:int>>").alias("taken"))
+
+    def step(a: Column, x: Column) -> Column:
+        free = ~F.array_contains(a["served"], x["p"]) & ~F.array_contains(a["lines"], x["line"].cast("int"))
+        take = free & (x["valid"] if valid_only else F.lit(True))
+        add = lambda old, on, new: F.when(on, F.array_append(old, new)).otherwise(old)
+        line = x["line"].cast("int")
+        return F.struct(add(a["served"], free, x["p"]).alias("served"), add(a["lines"], take, line).alias("lines"), add(a["taken"], take, F.struct(x["p"].alias("p"), line.alias("line"))).alias("taken"))
+
+    folded = ok.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(slim)), start, step, lambda a: a["taken"]).alias("t"))
+    chosen = folded.select(*keys, F.inline("t")).select(*keys, F.col("p").alias("__place"), F.col("line").alias("line_index"))
+    best = ok.join(chosen, [*keys, "__place", "line_index"]).select(*pairs.columns)
+    return best.withColumn("f", fit).select("*", F.col("f.score").alias("score"), F.col("f.status").alias("status")).drop("f")
 
 
 def debug_report(labels: DataFrame, pairs: DataFrame, accepted: DataFrame) -> DataFrame:
