@@ -3,11 +3,16 @@
 Each round looks up every adjacent pair's rank by binary search over the sorted pair keys, finds each
 pre-token's lowest rank, and merges all its occurrences at once. That equals merging one at a time:
 a pair that holds a new symbol was learned after the pair that made the symbol, so its rank is higher.
+
+Long pre-tokens (a line of megabytes without a space is one) take as many rounds as they use ranks, so their rounds
+touch only the places of the round's rank: symbols are linked, and places wait in lists by rank.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +23,8 @@ PRETOKEN = regex.compile(
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 )
 NEVER = np.int64(1 << 40)
+#: Bytes from which a pre-token is merged by lists of places.
+LONG = 1024
 
 
 def byte_chars() -> list[str]:
@@ -28,10 +35,32 @@ def byte_chars() -> list[str]:
     return [table.get(b) or chr(next(spare)) for b in range(256)]
 
 
+def _unsupported(spec: dict) -> list[str]:
+    """The settings of a vocabulary file that would change its ids and that are not implemented here."""
+    model, before, out = spec["model"], spec.get("pre_tokenizer") or {}, []
+    if model.get("type", "BPE") != "BPE":
+        out.append(f"model {model['type']}")
+    if spec.get("normalizer"):
+        out.append("normalizer")
+    if before.get("type") != "ByteLevel":
+        out.append(f"pre_tokenizer {before.get('type')}")
+    out += [f"pre_tokenizer {k}" for k, usual in (("add_prefix_space", False), ("use_regex", True)) if bool(before.get(k, usual)) != usual]
+    out += [f"model {k}" for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    if (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        out.append("decoder")
+    # surrounding space that a special string takes with it, and others than special ones
+    return out + [f"added token {t['content']!r}: {k}" for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word") if t.get(k)]
+
+
 class Tokenizer:
-    """A byte-level BPE vocabulary file of the tokenizers library, as sorted numpy tables."""
+    """A byte-level BPE vocabulary file of the tokenizers library, as sorted numpy tables.
+
+    Settings that it does not implement raise a ValueError, as ids would be others than the library's.
+    """
 
     def __init__(self, spec: dict):
+        if unknown := _unsupported(spec):
+            raise ValueError(f"not implemented: {', '.join(unknown)}")
         vocab = spec["model"]["vocab"]
         chars = byte_chars()
         back = {c: b for b, c in enumerate(chars)}
@@ -69,6 +98,61 @@ class Tokenizer:
     def merge(self, pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all pre-tokens in one flat array, and how many each has."""
         coded = [p.encode("utf-8", "surrogatepass") for p in pretokens]
+        if any(len(c) >= LONG for c in coded):
+            return self._with_long(coded)
+        return self._merge(coded)
+
+    def _with_long(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        short_ids, short_counts = self._merge([c for c in coded if len(c) < LONG])
+        parts = iter(np.split(short_ids, np.cumsum(short_counts)[:-1])) if len(short_counts) else iter(())
+        each = [self._merge_long(c) if len(c) >= LONG else next(parts) for c in coded]
+        return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
+
+    def _merge_long(self, coded: bytes) -> np.ndarray:
+        """Token ids of one pre-token; each round merges all places of the lowest rank left."""
+        ids = self.byte_ids[np.frombuffer(coded, dtype=np.uint8)].copy()
+        n = len(ids)
+        after, before, alive = np.append(np.arange(1, n), -1), np.arange(-1, n - 1), np.ones(n, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = defaultdict(list)
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            """List places under the ranks of the pairs that start there."""
+            rank = self.pair_ranks(ids[places] << 32 | ids[after[places]])
+            order = np.argsort(rank, kind="stable")
+            rank, places = rank[order], places[order]
+            last = int(np.searchsorted(rank, NEVER))
+            if not last:
+                return
+            starts = np.flatnonzero(np.append(True, rank[1:last] != rank[: last - 1]))
+            for r, s, e in zip(rank[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), last], strict=True):
+                if r not in waiting:
+                    heapq.heappush(ranks, r)
+                waiting[r].append(places[s:e])
+
+        wait(np.arange(n - 1))
+        while ranks:
+            r = heapq.heappop(ranks)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[alive[places] & (after[places] >= 0)]
+            places = places[self.pair_ranks(ids[places] << 32 | ids[after[places]]) == r]  # others have changed since
+            if not len(places):
+                continue
+            # of a run of overlapping places every second one counts, from the left
+            fresh = np.append(True, places[1:] != after[places[:-1]])
+            run_at = np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))
+            places = places[(np.arange(len(places)) - run_at) % 2 == 0]
+            gone = after[places]
+            follows = after[gone]
+            ids[places] = self.results[r]
+            alive[gone] = False
+            after[places] = follows
+            before[follows[follows >= 0]] = places[follows >= 0]
+            changed = np.union1d(places, before[places])
+            wait(changed[(changed >= 0) & (after[changed] >= 0)])
+        return ids[alive]
+
+    def _merge(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
         flat = self.byte_ids[np.frombuffer(b"".join(coded), dtype=np.uint8)]
         owner = np.repeat(np.arange(len(coded)), lengths)

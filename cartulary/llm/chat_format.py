@@ -17,8 +17,8 @@ BLOCK = 256
 
 
 def text_hash(text: Column) -> Column:
-    """128 bits of a text; null differs from empty."""
-    return F.struct(*[F.xxhash64(F.lit(salt), F.coalesce(text, F.lit("\u0000"))).alias(n) for n, salt in (("x", 1), ("y", 2))])
+    """128 bits of a text; null differs from every text."""
+    return F.struct(*[F.xxhash64(F.lit(salt), text.isNull(), text).alias(n) for n, salt in (("x", 1), ("y", 2))])
 
 
 def turn_block(turn: Column) -> Column:
@@ -28,16 +28,24 @@ def turn_block(turn: Column) -> Column:
 def placed(turns: DataFrame) -> DataFrame:
     """Distinct turns with their place from 0, without their texts: (conv_id, place, role, th).
 
-    A turn that is logged twice with the same number, role and text counts once. Order is by turn number (null
-    first), then role, then the text's hash. Places come from counts by block of turn numbers, and ranks within
-    a block, so a conversation of any length is ranked in parts.
+    A turn that is logged twice with the same number, role and text counts once. Order is by turn number, then role,
+    then text, nulls first. Places come from counts by block of turn numbers, and ranks within a block, so a
+    conversation of any length is ranked in parts. Texts are read again only for turns that share number and role.
     """
     rows = turns.select("conv_id", "turn", "role", text_hash(F.col("text")).alias("th")).where(F.col("conv_id").isNotNull()).distinct()
+    rows = materialize(rows, "distinct-turns")
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("conv_id", "turn", "role")]
+    several = rows.groupBy("conv_id", "turn", "role").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    several = materialize(several, "turns-of-one-number")
+    texts = turns.select("conv_id", "turn", "role", "text", text_hash(F.col("text")).alias("th")).alias("m").join(small_or_shuffled(several, 64).alias("s"), same[0] & same[1] & same[2], "left_semi").distinct()
+    ties = W.Window.partitionBy("conv_id", "turn", "role").orderBy(F.col("text").asc_nulls_first())
+    ties = texts.select("conv_id", "turn", "role", "th", F.row_number().over(ties).alias("tie")).alias("s")
+    rows = rows.alias("m").join(ties, same[0] & same[1] & same[2] & (F.col("m.th") == F.col("s.th")), "left").select("m.*", F.coalesce("s.tie", F.lit(0)).alias("tie"))
     rows = rows.withColumn("block", turn_block(F.col("turn")))
     sizes = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
     before = W.Window.partitionBy("conv_id").orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = sizes.select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    rank = F.row_number().over(W.Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "th"))
+    rank = F.row_number().over(W.Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "tie"))
     return rows.withColumn("rank", rank).join(offsets, ["conv_id", "block"]).select("conv_id", (F.col("offset") + F.col("rank") - 1).alias("place"), "role", "th")
 
 
@@ -47,8 +55,8 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     It is the sum of the turns' hashes, each salted with its place. Sums run within blocks of places; what
     comes before a block is a sum over whole blocks.
     """
-    role = F.coalesce("role", F.lit("\u0000"))
-    mix = F.struct(*[F.xxhash64(F.lit(salt), F.col("place"), role, F.col("th.x"), F.col("th.y")).alias(n) for n, salt in (("a", 1), ("b", 2))])
+    role = F.col("role")
+    mix = F.struct(*[F.xxhash64(F.lit(salt), F.col("place"), role.isNull(), role, F.col("th.x"), F.col("th.y")).alias(n) for n, salt in (("a", 1), ("b", 2))])
     rows = turns.select("conv_id", "place", F.floor(F.col("place") / BLOCK).alias("block"), mix.alias("h"))
     # decimals hold the sums, which long arithmetic in ANSI mode would refuse; modulo 2^63 they stay long
     wide = lambda c: F.col(c).cast("decimal(20,0)")
@@ -76,19 +84,21 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 def render(turns: DataFrame, start: str = "<|", close: str = "|>\n", end: str = "\n") -> DataFrame:
     """(conv_id, n_turns, text): each turn as start + role + close + text + end; null roles and texts as empty."""
-    part = F.concat(F.lit(start), F.coalesce("role", F.lit("")), F.lit(close), F.coalesce("text", F.lit("")), F.lit(end))
-    rows = turns.select("conv_id", turn_block(F.col("turn")).alias("block"), F.struct("turn", "role", text_hash(F.col("text")).alias("th"), part.alias("part")).alias("t"))
+    part = lambda x: F.concat(F.lit(start), F.coalesce(x["role"], F.lit("")), F.lit(close), F.coalesce(x["text"], F.lit("")), F.lit(end))
+    rows = turns.select("conv_id", turn_block(F.col("turn")).alias("block"), F.struct("turn", "role", "text").alias("t"))
     # turns are put together by block first; the whole text of a conversation is one value in any case
     joined = lambda c: F.array_join(F.transform(c, lambda x: x["part"]), "")
     sets = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_set("t")).alias("ts"))
-    blocks = sets.select("conv_id", F.struct("block", joined(F.col("ts")).alias("part")).alias("b"), F.size("ts").cast("long").alias("n"))
+    blocks = sets.select("conv_id", F.struct("block", F.array_join(F.transform("ts", part), "").alias("part")).alias("b"), F.size("ts").cast("long").alias("n"))
     return blocks.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), joined(F.array_sort(F.collect_list("b"))).alias("text"))
 
 
 def format_chats(conversations: DataFrame, **template) -> DataFrame:
     """One row a maximal conversation: conv_id, n_turns, text.
 
-    Rows without conv_id are left out; extra columns have no effect; an empty table gives no rows.
+    Turns are in order of turn number, role and text, nulls first; equal turns count once. Null roles and texts show
+    as empty, yet a null text is another turn than an empty one. Turns and texts of any length stay whole. Rows without
+    conv_id are left out; other columns have no effect, whatever their names; an empty table gives no rows.
     """
     kept = materialize(maximal(conversations), "maximal-conversations")
     return render(conversations.join(small_or_shuffled(kept, 16), "conv_id", "left_semi"), **template)

@@ -4,9 +4,9 @@
              = alpha(v) p(w)             otherwise
     p(w)     = d(c(w)) c(w) / N          if w was seen in training; else what is left, for any unknown word
 
-d are Good-Turing discounts, and alpha(v) makes the probabilities after v sum to exactly 1. With a min_count of 1
-every pair keeps its count, as the registered query has it. With 2, the default, pairs seen once are treated as
-unseen, as Katz proposed: their mass goes to the backoff.
+d are Good-Turing discounts, and alpha(v) makes the probabilities after v sum to exactly 1. With a min_count of 1, the
+default, every pair keeps its count. With 2 pairs seen once are treated as unseen, as Katz proposed: their mass goes
+to the backoff.
 
 Batches of documents send their distinct words and pairs to ranges of the hash space; each range adds up its
 counts, keeps them as its part of the model's tables, and answers each batch. A second pass over the documents
@@ -35,7 +35,7 @@ BATCH, RANGE = 1_500_000, 1_000_000
 #: Counts up to this are discounted.
 K = 5
 #: Of score() without a min_count.
-MIN_COUNT = 2
+MIN_COUNT = 1
 PAIRS, WORDS, PAIR_TABLE, WORD_TABLE, PAIR_STATS, WORD_STATS = range(6)
 OTHER_ORDER = "the documents came in another order on the second pass; write them to a table first"
 ROW = "fragment long, batch long, kind int, data binary"

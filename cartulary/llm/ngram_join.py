@@ -44,6 +44,9 @@ IDS = 1 << 16
 #: Rounds of further hubs; pairs that they don't settle are counted one by one.
 ROUNDS = 2
 DOCS, REQUEST, REPLY = 0, 1, 2
+#: Bytes that sign a batch, in front of each of its blobs.
+SIGN = 8
+OTHER_ORDER = "a task that ran again met its documents in another order; write them to a table first"
 SET_SCHEMA = "doc_id long, node binary, n long, grams array<long>, freqs array<long>"
 
 
@@ -100,6 +103,11 @@ def _signatures(grams: np.ndarray, owner: np.ndarray, n_docs: int) -> tuple[np.n
     return n, out
 
 
+def _sign(n: np.ndarray, signatures: np.ndarray) -> bytes:
+    """Tells a batch from another of the same number: a task that runs again may meet its rows in another order."""
+    return xxhash.xxh3_64_digest(np.ascontiguousarray(n, dtype=np.int64).tobytes() + np.ascontiguousarray(signatures).tobytes())
+
+
 def _requests(batch: int, ids: list, n: np.ndarray, signatures: np.ndarray, grams: np.ndarray, owner: np.ndarray, fragments: int) -> list[tuple]:
     """Rows of one batch: its documents and locally repeated grams for itself, and its distinct grams for the fragments."""
     starts = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.empty(0, np.int64)
@@ -109,16 +117,17 @@ def _requests(batch: int, ids: list, n: np.ndarray, signatures: np.ndarray, gram
     many, count = grams[starts[~once]], times[~once]
     held = owner[np.repeat(times > 1, times)]
     known = np.array([i is not None for i in ids], dtype=U64)
+    sign = _sign(n, signatures)
     # two's complement, so that negative ids pack as well
     number = np.array([0 if i is None else i for i in ids], dtype=np.int64).view(U64)
     mine = b"".join((pack(number), pack(known), pack(n), pack(signatures[:, 0]), pack(signatures[:, 1]), pack_sorted(many), pack(count), pack(held)))
-    rows = [(-1 - batch, batch, DOCS, mine)]
+    rows = [(-1 - batch, batch, DOCS, sign + mine)]
     parts: dict[int, list[bytes]] = defaultdict(lambda: [pack_sorted(single[:0]) + pack(holder[:0]), pack_sorted(many[:0]) + pack(count[:0])])
     for f, s, e in runs(range_of(single, fragments)):
         parts[f][0] = pack_sorted(single[s:e]) + pack(holder[s:e])
     for f, s, e in runs(range_of(many, fragments)):
         parts[f][1] = pack_sorted(many[s:e]) + pack(count[s:e])
-    return rows + [(f, batch, REQUEST, a + b) for f, (a, b) in parts.items()]
+    return rows + [(f, batch, REQUEST, sign + a + b) for f, (a, b) in parts.items()]
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -179,7 +188,7 @@ def _count(rows: pd.DataFrame) -> pd.DataFrame:
         return rows
     asked, grams, times = [], [], []
     for data in rows["data"]:
-        r = Reader(data)
+        r = Reader(data[SIGN:])
         single, holder, many, count = r.sorted(), r.ints(), r.sorted(), r.ints()
         asked.append((len(single), holder, len(many)))
         grams += [single, many]
@@ -188,11 +197,11 @@ def _count(rows: pd.DataFrame) -> pd.DataFrame:
     _, place = np.unique(every, return_inverse=True)
     freq = np.bincount(place, weights=np.concatenate(times)).astype(np.int64)[place]
     out, at = [], 0
-    for n_single, holder, n_many in asked:
+    for data, (n_single, holder, n_many) in zip(rows["data"], asked, strict=True):
         f, h = freq[at : at + n_single], every[at : at + n_single]
         more = f > 1
         many = freq[at + n_single : at + n_single + n_many]
-        out.append(pack_sorted(h[more]) + pack(holder[more]) + pack(f[more]) + pack(many))
+        out.append(data[:SIGN] + pack_sorted(h[more]) + pack(holder[more]) + pack(f[more]) + pack(many))
         at += n_single + n_many
     return rows.assign(kind=REPLY, data=out)
 
@@ -202,13 +211,16 @@ def _collect(rows: pd.DataFrame) -> pd.DataFrame:
 
     Of the documents of one set only the smallest id carries the grams.
     """
-    r = Reader(rows.loc[rows["kind"] == DOCS, "data"].iloc[0])
+    docs = rows.loc[rows["kind"] == DOCS, "data"]
+    if len({data[:SIGN] for data in rows["data"]}) > 1 or len(docs) != 1:
+        raise ValueError(OTHER_ORDER)
+    r = Reader(docs.iloc[0][SIGN:])
     ids, known, n = r.ints().view(np.int64), r.ints().astype(bool), r.ints().astype(np.int64)
     signatures = np.stack([r.ints(), r.ints()], axis=1)
     many, count, held = r.sorted(), r.ints().astype(np.int64), r.ints()
     grams, owner, freq, many_freq = [np.repeat(many, count)], [held], [], []
     for data in rows[rows["kind"] == REPLY].sort_values("fragment")["data"]:
-        r = Reader(data)
+        r = Reader(data[SIGN:])
         grams.append(r.sorted())
         owner.append(r.ints())
         freq.append(r.ints())
@@ -373,7 +385,9 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     Words are runs of other characters than ASCII white space, with A-Z lower-cased. A document with fewer than
     five words is one gram; one without words, or a null text, has an empty set and no link. Rows of one doc_id
     are one document for the components. A null doc_id has no links, and a null component_id. Repeated rows
-    stay; an empty table gives no rows.
+    stay; an empty table gives no rows; texts of any length count whole; other columns have no effect. Answers find
+    their documents by place in a batch. A stored table gives each task its rows in one order, whenever it runs; if
+    docs comes out of a shuffle and a task that is run again meets its rows in another order, that raises.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -393,7 +407,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0).to_pylist():
-                r = Reader(data)
+                r = Reader(data[SIGN:])
                 ids, known, n = r.ints().view(np.int64), r.ints().astype(bool), r.ints().astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=~known), pa.array(n, pa.int64())], names=["doc_id", "n_shingles"])
 

@@ -144,7 +144,7 @@ OP4 = rf"""WITH d AS (SELECT *, row_number() OVER () AS r, md5(([text, lang, sou
 SELECT *, NOT base_failed AND NOT (removed_words > 0 AND (n_words - removed_words < 20 OR n_words - removed_words < 0.3 * n_words)) AS kept FROM f"""
 
 OP2 = """WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
-  c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS l, count(*) AS n_turns FROM t GROUP BY conv_id),
+  c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l, count(*) AS n_turns FROM t GROUP BY conv_id),
   p AS (SELECT DISTINCT md5(l[1:k]::VARCHAR) AS h, k FROM c, LATERAL (SELECT unnest(range(1, n_turns)) AS k)),
   o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY md5(l::VARCHAR), n_turns ORDER BY conv_id) = 1)
 SELECT conv_id, n_turns, array_to_string(list_transform(l, lambda x: '<|' || coalesce(x.r, '') || '|>' || chr(10) || coalesce(x.t, '') || chr(10)), '') AS text

@@ -37,10 +37,26 @@ def test_snapshots_collapse(spark):
     rows += [(100, k * 3 - 400, "user", f"long {k}") for k in range(700)]
     rows += [(101, k * 3 - 400, "user", f"long {k}") for k in range(699)]
     rows += [(102, 0, None, None), (103, 0, "", ""), (None, 0, "user", "x"), (104, None, "user", "a"), (104, 0, "user", "b"), rows[0], (105, 1, "b", "2"), (105, 1, "a", "1"), (106, 1, "b", "2"), (106, 1, "a", "1"), (106, 2, "a", "3")]
+    # ties of number and role go by text, nulls first; a null text is no text of one null character
+    rows += [(107, 0, "user", "gamma"), (107, 0, "user", "delta"), (108, 0, "user", "delta"), (108, 1, "user", "gamma"), (109, None, "user", "z"), (109, None, "user", "a"), (109, 0, "user", None), (109, 0, "user", "\u0000"), (109, 0, "user", "")]
+    rows += [(110, 0, None, "a\t"), (110, 0, None, "a"), (110, 0, "\u0000", "a"), (111, 5, "user", "n" * 1_200_000)] + [(112, 7, "user", f"same number {k}") for k in range(600)]
     df = spark.createDataFrame(rows, SCHEMA).withColumns({"block": F.lit(1), "place": F.lit(2), "k": F.lit(3)})
     assert got(df) == plain(rows)
 
 
+def test_agrees_with_its_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from cartulary.llm.queries import OP2
+
+    rows = [(3, None, "user", "x"), (3, 0, "user", "y"), (4, 0, "user", "gamma"), (4, 0, "user", "delta"), (5, 0, "user", "gamma"), (6, 0, None, "b"), (6, 0, "a", None), (6, 0, "a", "")]
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"turn": "Int64"}))
+    want = {r[0]: (r[1], r[2]) for r in con.execute(OP2).fetchall()}
+    assert got(spark.createDataFrame(rows, SCHEMA)) == want
+
+
 def test_empty_table(spark):
     assert got(spark.createDataFrame([], SCHEMA)) == {}
 

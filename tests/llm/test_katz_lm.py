@@ -67,7 +67,7 @@ def test_against_the_formulas(spark):
     rows = documents(150)
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
     model = Plain([t for i, t, *_ in rows if not held(i)])
-    out = katz_lm.score(frame(spark, rows).withColumns({"training": F.lit("x"), "kind": F.lit(1), "data": F.lit(2)})).collect()
+    out = katz_lm.score(min_count=2, docs=frame(spark, rows).withColumns({"training": F.lit("x"), "kind": F.lit(1), "data": F.lit(2)})).collect()
     assert len(out) == len(rows)
     by = defaultdict(list)
     for r in out:
@@ -131,6 +131,24 @@ def test_without_training_rows_or_any(spark):
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 3, 0, 0, 0.0, 0.0)
 
 
+def test_discounts_are_good_turing():
+    """Against Katz's formula by whole fractions, from the counts themselves."""
+    from fractions import Fraction
+
+    counts = Counter({f"w{c}.{i}": c for c, n in enumerate((5000, 1800, 850, 500, 330, 240, 100), 1) for i in range(n)})
+    n = {r: sum(1 for c in counts.values() if c == r) for r in range(1, 7)}
+    d = katz_lm.discounts(np.array([n[r] for r in range(1, 7)]))
+    k = 5
+    for r in range(1, k + 1):
+        adjusted = Fraction((r + 1) * n[r + 1], n[r])
+        common = Fraction((k + 1) * n[k + 1], n[1])
+        assert d[r] == pytest.approx(float((adjusted / r - common) / (1 - common)), rel=1e-12) and 0 < d[r] < 1
+    # what is taken from counts up to k is what Good and Turing give to unseen events: n1
+    assert sum(n[r] * r * (1 - d[r]) for r in range(1, k + 1)) == pytest.approx(n[1], rel=1e-9)
+    # without counts of 1 to 6 half an occurrence goes
+    assert katz_lm.discounts(np.array([3, 0, 2, 0, 0, 0])).tolist() == [0, 0.5, 0.75, 2.5 / 3, 3.5 / 4, 4.5 / 5]
+
+
 def test_discounts():
     d = katz_lm.discounts(np.array([1000, 400, 200, 120, 80, 60]))
     assert d[0] == 0 and all(0 < x < 1 for x in d[1:])

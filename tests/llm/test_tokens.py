@@ -62,3 +62,31 @@ def test_bytes_that_are_no_text():
     t = bpe.load(tokenizer_json())
     broken = t.byte_ids[[0xE6, 0xBC]]
     assert b"".join(t.token_bytes[i] for i in broken).decode("utf-8", "replace") == "�"
+
+
+def test_long_pretokens_equal_the_library(library):
+    import random
+    import time
+
+    t, rng = bpe.load(tokenizer_json()), random.Random(4)
+    letters = "".join(rng.choice("etaoinshrdlucmfw") for _ in range(1_000_000))
+    for word in (letters, "a" * 5001, "ab" * 3000 + "a", "漢字" * 900, "-=" * 700 + "é", "x" * 1024):
+        began = time.perf_counter()
+        ids, counts = t.merge(["hi", word, " there"])
+        assert time.perf_counter() - began < 60
+        assert ids.tolist() == [i for p in ("hi", word, " there") for i in library.encode(p, add_special_tokens=False).ids]
+        assert counts.sum() == len(ids) and len(counts) == 3
+    # either way of merging gives the same
+    for word in ("".join(rng.choice("abc <>") for _ in range(3000)), letters[:4000]):
+        assert t._merge_long(word.encode()).tolist() == t._merge([word.encode()])[0].tolist()
+
+
+def test_unknown_settings_raise():
+    import json
+
+    spec = json.loads(tokenizer_json())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {**spec["model"], "ignore_merges": True}}, {"added_tokens": [{"content": "<x>", "id": 1, "lstrip": True}]}):
+        with pytest.raises(ValueError, match="not implemented"):
+            bpe.Tokenizer({**spec, **change})
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f, pytest.raises(ValueError, match="not implemented"):
+        bpe.load(f.read())
