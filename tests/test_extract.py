@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cartulary.functions import places
-from cartulary.operators import extract
+from cartulary.operators import extract, names
 from cartulary.sources import sinks
 
 SCHEMA = "document_id string, page_number int, line_index int, text string, confidence double, x double, y double, w double, h double"
@@ -53,3 +53,52 @@ def test_sinks(spark, tmp_path):
     sinks.replace(diffs, f"{tmp_path}/v1")
     assert spark.read.parquet(f"{tmp_path}/d").count() == 4 and {r[0] for r in spark.read.parquet(f"{tmp_path}/k").select("diff_kind").distinct().collect()} == {"diferente", "nuevo_bd"}
     assert spark.read.option("header", True).csv(f"{tmp_path}/s").where(F.col("id") == "1").count() == 1
+
+
+def one(spark, *lines):
+    rows = [("d", 1, i, t, 0.9, 0.1, y, 0.3, 0.02) for i, (t, y) in enumerate(lines)]
+    r = names.page_names(spark.createDataFrame(rows, SCHEMA)).first()
+    return tuple((x.value, x.source, round(x.confidence, 4)) if x else None for x in (r.surnames, r.given_names))
+
+
+def test_names_by_label_order(spark):
+    by = lambda v, c=0.95, s="order of labels": (v, s, c)
+    # values above their labels: at most two lines, none from before the number
+    assert one(spark, ("OLD WORDS", 0.05), ("NUMBER 12.345.678", 0.10), ("LONG", 0.2), ("TAIL", 0.22), ("SURNAMES", 0.25), ("ANA", 0.3), ("LUZ", 0.32), ("EVA", 0.34), ("GIVEN NAMES", 0.4)) == (by("LONG TAIL"), by("LUZ EVA"))
+    # without a number the three lines above count
+    assert one(spark, ("ONE", 0.01), ("TWO", 0.02), ("7", 0.03), ("6", 0.04), ("SURNAMES", 0.05), ("ANA", 0.06), ("GIVEN NAMES", 0.07))[0] == by("TWO")
+    # values below their labels: all lines between, two after
+    assert one(spark, ("GIVEN NAMES", 0.1), ("ANA", 0.2), ("LUZ", 0.21), ("EVA", 0.22), ("SURNAMES", 0.3), ("ROE", 0.31), ("POE", 0.32), ("END", 0.33)) == (by("ROE POE"), by("ANA LUZ EVA"))
+    # the label's own line first; what stands lower than the zone is no name
+    assert one(spark, ("SURNAMES: ROE", 0.1), ("GIVEN NAMES", 0.2), ("ANA", 0.6)) == (by("ROE", s="on the label's line"), None)
+    # no labels: the first two different clean lines, no heading, none with a digit or outside the zone
+    assert one(spark, ("HIGH", 0.1), ("CIVIL REGISTERS", 0.15), ("ROE", 0.2), ("ROE", 0.21), ("A 1", 0.22), ("ANA LUZ", 0.3)) == (by("ROE", 0.7125, "clean lines"), by("ANA LUZ", 0.7125, "clean lines"))
+    assert one(spark, ("ROE", 0.2)) == (by("ROE", 0.7125, "clean lines"), None)
+    # lines come in order of y, whatever their index; of one height by index
+    assert one(spark, ("GIVEN NAMES", 0.3), ("ANA", 0.25), ("SURNAMES", 0.2), ("ROE", 0.1)) == (by("ROE"), by("ANA"))
+    assert names.page_names(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_machine_lines_and_labels(spark):
+    lines = spark.createDataFrame([("d", 1, i, t, 0.9, 0.1, y, 0.3, 0.02) for i, (t, y) in enumerate([("SURNAMES POE", 0.1), ("GIVEN NAMES", 0.2), ("EVA", 0.25), ("ROE<<ANA<MARIA", 0.85)])], SCHEMA)
+    got = {r.field: r for r in extract.extract_fields(lines).collect()}
+    assert (got["surnames"].value, got["given_names"].value, got["surnames"].source) == ("ROE", "ANA MARIA", "machine")
+
+
+def test_zones_dates_and_sex(spark):
+    def fields(*rows):
+        lines = spark.createDataFrame([("d", 1, i, t, 0.9, x, y, 0.1, 0.02) for i, (t, x, y) in enumerate(rows)], SCHEMA)
+        return {r.field: r.value for r in extract.extract_fields(lines).collect()}
+
+    got = fields(("1.234 and 87.654.321", 0.1, 0.3), ("12345678", 0.1, 0.4), ("M", 0.5, 0.3), ("F", 0.3, 0.4), ("24-???-2001", 0.1, 0.5))
+    assert (got["id_number"], got["sex"], got["birth_date"], got["issue_date"]) == ("87654321", "M", "2001-01-24", None)
+    got = fields(("1.65 O+ F", 0.1, 0.3), ("A-1-2-M-12345678-2", 0.1, 0.9), ("03-MAY-1990", 0.1, 0.5), ("07/06/2010", 0.1, 0.6), ("01-JAN-1850", 0.1, 0.7))
+    assert (got["id_number"], got["sex"], got["birth_date"], got["issue_date"]) == ("12345678", "F", "1990-05-03", "2010-06-07")
+    # a field that no block gives is looked for by its label, on lines that serve no other
+    got = fields(("ROE", 0.1, 0.58), ("SURNAMES", 0.1, 0.6), ("ANA", 0.1, 0.66), ("GIVEN NAMES", 0.1, 0.68), ("GENDER", 0.1, 0.8), ("FEM", 0.12, 0.83))
+    assert (got["surnames"], got["given_names"], got["sex"]) == ("ROE", "ANA", "F")
+
+
+def test_extraction_is_one_plan(spark):
+    plan = extract.extract_fields(spark.createDataFrame(FRONT, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
