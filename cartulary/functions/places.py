@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.functions.phrases import longest_matches
 from cartulary.functions.similarity import best_match
 from cartulary.functions.text import PLACE_STOP_WORDS, squeeze, without_accents
 
@@ -80,7 +81,8 @@ def extract_places(lines: DataFrame, places: DataFrame, keys: Sequence[str] = ("
 
     1 "NAME (REGION)" on any line: the most similar name from 78 on, else the name as it stands. 2 near a line
     with the label (1 before to 2 after): a gazetteer name, or a word of four letters similar from 84 on. 3 a
-    gazetteer name that is no region anywhere. 4 a word of four letters similar from 85 on.
+    gazetteer name that is no region anywhere. 4 a word of four letters similar from 85 on. Names of any number of
+    words are found, the longest at each place; within a stage the first line counts, then the first place on it.
     """
     from pyspark.sql import window as W
 
@@ -94,22 +96,18 @@ def extract_places(lines: DataFrame, places: DataFrame, keys: Sequence[str] = ("
     towns = {r["name"] for r in names.where(~F.col("is_region") & F.col("name").isin(regions)).select("name").collect()} if regions else set()
     clean = raw_place(F.col("text"), [r for r in regions if r not in towns])
 
-    def runs_of(k: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("__w", i, k), " "))
-
-    runs = F.flatten(F.array(*map(runs_of, (1, 2, 3))))
-    rows = marked.select(*keys, "line_index", "__near", F.get(F.array(place_in_parentheses(F.array("text"))), 0)["name"].alias("__pair"), F.split(clean, " ").alias("__w"))
-    each = rows.select(*keys, "line_index", "__near", F.explode(F.array_distinct(runs)).alias("__text")).where(F.length("__text") >= 3)
-    key = without_accents(F.col("__text"))
-    known = each.withColumn("__k", key).join(names.where(~F.col("is_region")).select(F.col("name_norm").alias("__k"), "canonical"), "__k")
-    exact = known.select(*keys, "line_index", F.when(F.col("__near"), 2).otherwise(3).alias("stage"), F.col("canonical").alias("place"), F.length("__k").alias("n"))
+    rows = marked.select(*keys, "line_index", "__near", F.get(F.array(place_in_parentheses(F.array("text"))), 0)["name"].alias("__pair"), F.filter(F.split(clean, " "), lambda w: w != "").alias("__w"))
+    plain = rows.select(*keys, "line_index", "__near", F.transform("__w", without_accents).alias("__w"))
+    towns_only = names.where(~F.col("is_region") & (F.length("name_norm") >= 3)).select(F.split("name_norm", r"\s+").alias("words"), "canonical")
+    known = longest_matches(plain, [*keys, "line_index", "__near"], "__w", towns_only)
+    exact = known.select(*keys, "line_index", F.when(F.col("__near"), 2).otherwise(3).alias("stage"), F.col("canonical").alias("place"), F.col("at").alias("n"))
     pairs = rows.where(F.col("__pair").isNotNull()).select(*keys, "line_index", "__pair")
-    resolved = resolve_places(pairs, "__pair", places, 78.0).select(*keys, "line_index", F.lit(1).alias("stage"), F.coalesce("place", F.upper("__pair")).alias("place"), F.length("__pair").alias("n"))
-    words = each.where((F.length("__text") >= 4) & ~F.col("__text").contains(" ")).withColumn("__k", key)
+    resolved = resolve_places(pairs, "__pair", places, 78.0).select(*keys, "line_index", F.lit(1).alias("stage"), F.coalesce("place", F.upper("__pair")).alias("place"), F.lit(0).alias("n"))
+    words = plain.select(*keys, "line_index", "__near", F.posexplode("__w").alias("n", "__k")).where(F.length("__k") >= 4)
     close = best_match(words.select("__k").distinct(), "__k", names.select(F.col("name_norm").alias("word"), "canonical", F.col("is_region").alias("region")), 84.0).where(~F.col("region"))
-    fuzzy = words.join(close, "__k").where(F.col("__near") | (F.col("ratio") >= 85)).select(*keys, "line_index", F.when(F.col("__near"), 2.5).otherwise(4).alias("stage"), F.col("canonical").alias("place"), F.length("__k").alias("n"))
+    fuzzy = words.join(close, "__k").where(F.col("__near") | (F.col("ratio") >= 85)).select(*keys, "line_index", F.when(F.col("__near"), 2.5).otherwise(4).alias("stage"), F.col("canonical").alias("place"), "n")
     every = exact.withColumn("stage", F.col("stage").cast("double")).unionByName(resolved.withColumn("stage", F.lit(1.0))).unionByName(fuzzy.withColumn("stage", F.col("stage").cast("double")))
-    best = F.min_by(F.struct("place", F.floor("stage").cast("int").alias("stage")), F.struct("stage", "line_index", -F.col("n"), "place"))
+    best = F.min_by(F.struct("place", F.floor("stage").cast("int").alias("stage")), F.struct("stage", "line_index", "n", "place"))
     return every.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.place", "b.stage")
 
 

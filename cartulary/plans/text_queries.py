@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.functions import dates, ids, places, text
+from cartulary.functions import dates, ids, phrases, places, text
 from cartulary.functions.similarity import best_match
 from cartulary.operators import classify, lines, pairing, scoring, spatial
 from cartulary.plans.record_queries import key_sql
@@ -396,3 +396,25 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     base = f"{configured.rstrip('/')}/stream-{uuid.uuid4().hex}" if configured else tempfile.mkdtemp(prefix="cartulary-stream-")
     start_upserts(spark, f"{d}/event[s].parquet", events, f"{base}/store", f"{base}/state", "user_id", ["ts", "event_id"], ["event_type", "props"], "value", []).awaitTermination()
     return latest_version(spark, f"{base}/store")
+
+
+#: Words of A-Z of each text, and as phrases the first words of each benchmark passage, one to seven of them.
+PHRASES_SQL = """t AS (SELECT doc_id, regexp_extract_all(replace(upper(coalesce(text, '')), 'ẞ', 'SS'), '[A-Z]+') AS ws FROM documents),
+    ph AS (SELECT ws[1:item_id % 7 + 1] AS words, min(item_id) AS item_id FROM (SELECT item_id, regexp_extract_all(replace(upper(text), 'ẞ', 'SS'), '[A-Z]+') AS ws FROM benchmark) GROUP BY ALL HAVING len(words) > 0),
+    pos AS (SELECT doc_id, unnest(range(len(ws))) AS at_, unnest(ws) AS word, ws FROM t),
+    hit AS (SELECT doc_id, at_, item_id, len(words) AS n FROM pos JOIN ph ON words[1] = word AND ws[at_ + 1:at_ + len(words)] = words QUALIFY row_number() OVER (PARTITION BY doc_id, at_ ORDER BY len(words) DESC, item_id) = 1),
+    h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at_) AS k FROM hit),
+    walk AS (SELECT doc_id, k, at_, item_id, n, true AS taken, at_ + n AS end_ FROM h WHERE k = 1
+      UNION ALL SELECT h.doc_id, h.k, h.at_, h.item_id, h.n, h.at_ >= w.end_, CASE WHEN h.at_ >= w.end_ THEN h.at_ + h.n ELSE w.end_ END FROM walk w JOIN h ON h.doc_id = w.doc_id AND h.k = w.k + 1)"""
+
+
+def _latin_words(c):
+    return F.regexp_extract_all(F.replace(F.upper(c), F.lit("ẞ"), F.lit("SS")), F.lit("([A-Z]+)"), F.lit(1))
+
+
+@query(f"WITH RECURSIVE {PHRASES_SQL} SELECT doc_id, at_ AS at, n AS n_words, item_id FROM walk WHERE taken")
+def phrase_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Where whole texts hold the names of a gazetteer of one to seven words: the longest at each place, no overlaps."""
+    named = table(spark, d, "benchmark").select(F.slice(_latin_words("text"), F.lit(1), (F.col("item_id") % 7 + 1).cast("int")).alias("words"), "item_id")
+    texts = table(spark, d, "documents").select("doc_id", _latin_words(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return phrases.longest_matches(texts, ["doc_id"], "tokens", named)

@@ -36,11 +36,11 @@ def test_fields_and_groups(spark):
 
 
 def test_places_by_stage(spark):
-    gazetteer = spark.createDataFrame([("RIVERA", False, None), ("SAN TELMO", False, None), ("ORIENTE", True, None)], "name string, is_region boolean, alias_of string")
-    rows = [("a", 0, "x"), ("a", 1, "RIVRA (ORIENTE)"), ("b", 0, "PLACE OF ISSUE"), ("b", 1, "SAN TELMO"), ("c", 0, "in SAN TELMO here"), ("d", 0, "at RIVEERA"), ("e", 0, "ORIENTE")]
+    gazetteer = spark.createDataFrame([("RIVERA", False, None), ("SAN TELMO", False, None), ("ORIENTE", True, None), ("NORTH HILL", False, None), ("NORTH HILL UNDER LAKE", False, None)], "name string, is_region boolean, alias_of string")
+    rows = [("a", 0, "x"), ("a", 1, "RIVRA (ORIENTE)"), ("b", 0, "PLACE OF ISSUE"), ("b", 1, "SAN TELMO"), ("c", 0, "in SAN TELMO here"), ("d", 0, "at RIVEERA"), ("e", 0, "ORIENTE"), ("f", 0, "at NORTH HILL UNDER LAKE"), ("g", 0, "NORTH HILL or SAN TELMO")]
     lines = spark.createDataFrame([(k, 1, i, t) for k, i, t in rows], "document_id string, page_number int, line_index int, text string")
     got = {r.document_id: (r.place, r.stage) for r in places.extract_places(lines, gazetteer).collect()}
-    assert got == {"a": ("RIVERA", 1), "b": ("SAN TELMO", 2), "c": ("SAN TELMO", 3), "d": ("RIVERA", 4)}
+    assert got == {"a": ("RIVERA", 1), "b": ("SAN TELMO", 2), "c": ("SAN TELMO", 3), "d": ("RIVERA", 4), "f": ("NORTH HILL UNDER LAKE", 3), "g": ("NORTH HILL", 3)}
     assert places.longest_first(["A", "ABC", "AB"]) == "ABC|AB|A"
 
 

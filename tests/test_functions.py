@@ -105,3 +105,21 @@ def test_repeats_late_in_a_text(spark, tmp_path):
     assert got == {1: (True, 120), 2: (False, 120), 3: (False, 0), 4: (None, None), 5: (True, 3)}
     words = spark.createDataFrame([(["b", "á", "B", "a", "c"],)], "w array<string>").select(text.duplicate_words(F.col("w")).alias("f")).first().f
     assert words.duplicated and words.kept == ["b", "á", "c"]
+
+
+def test_longest_matches(spark):
+    import random
+    import re
+
+    from cartulary.functions import phrases
+
+    rng = random.Random(2)
+    names = [("A",), ("A", "B"), ("A", "B", "C"), ("B", "A"), ("C", "C"), ("NORTH", "HILL"), ("NORTH", "HILL", "UNDER", "LAKE"), ("UNDER", "LAKE", "SIDE"), ("A", "A", "A"), ("B", "C", "A", "B", "C", "A", "B")]
+    texts = [" ".join(rng.choice("ABCD") for _ in range(rng.randrange(40))) for _ in range(60)] + ["IN NORTH HILL UNDER LAKE SIDE", "NORTH HILL UNDER", "A " * 3000, "", "X"]
+    pattern = re.compile(r"\b(" + "|".join(sorted((" ".join(n) for n in names), key=len, reverse=True)) + r")\b")
+    want = {(k, len(t[: m.start()].split()), len(m.group(1).split()), m.group(1)) for k, t in enumerate(texts) for m in pattern.finditer(t)}
+    table = spark.createDataFrame([(list(n), " ".join(n)) for n in names] + [(["A", "B"], "Z later"), ([], "none"), ([None], "null"), (["A", None], "null")], "words array<string>, name string")
+    rows = spark.createDataFrame([(k, t.split()) for k, t in enumerate(texts)] + [(999, None), (998, [None, "A", "B"])], "k int, tokens array<string>")
+    got = {tuple(r) for r in phrases.longest_matches(rows, ["k"], "tokens", table).collect()}
+    assert got == want | {(998, 1, 2, "A B")}
+    assert phrases.longest_matches(rows, ["k"], "tokens", table.limit(0)).count() == 0
