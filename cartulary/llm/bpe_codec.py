@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm import bpe
-from cartulary.llm.common import fresh, without
+from cartulary.llm.common import free_memory, fresh, without
 from cartulary.llm.token_counts import chunks
 
 
@@ -36,6 +36,8 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text") -> DataFram
                 if len(pool.index) > pool.LIMIT:
                     pool.clear()
             yield pd.Series(out, dtype=object)
+        pool.clear()
+        free_memory()
 
     if text not in docs.columns:
         raise ValueError(f"no column {text} to encode")
@@ -76,6 +78,8 @@ def round_trip(docs: DataFrame, tokenizer_json: str, text: str = "text") -> Data
                 if len(pool.index) > pool.LIMIT:
                     pool.clear()
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        pool.clear()
+        free_memory()
 
     out = without(docs, "n_tokens", "ids_sha256", "decoded_sha256")
     kept = [F.col(f"`{c}`") for c in out.columns]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,14 @@ def small_or_shuffled(keys: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(keys) if keys.count() * row_bytes <= BROADCAST_BYTES else keys
 
 
+def free_memory() -> None:
+    """Give back what a task held: a Python worker outlives its task, and its allocators keep freed memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(n)

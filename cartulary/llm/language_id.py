@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from cartulary.llm.common import crc_mod, fresh, materialize, small_or_shuffled, without
+from cartulary.llm.common import crc_mod, free_memory, fresh, materialize, small_or_shuffled, without
 
 #: Marks a word's start in the vocabulary.
 START = "▁"
@@ -283,6 +283,8 @@ def train(
                 total += m.expected(b["word"].tolist(), counts)
             piece, lang_at = np.nonzero(total > 1e-9)
             yield pd.DataFrame({"piece": piece.astype(np.int64), "lang": lang_at.astype(np.int64), "n": total[piece, lang_at]})
+            del total
+            free_memory()
 
         found = counted.mapInPandas(uses, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros_like(model.probs)
@@ -332,6 +334,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             fit = total.max(1) >= (m.floors[top] if m.floors is not None else -np.inf) * np.maximum(letters, 1)
             some = letters > 0
             yield pd.DataFrame({"lang_pred": np.where(some, names[top], UNDETERMINED), "score": np.where(some, score, 0.0), "in_language": some & fit})
+        index, table = {}, None
+        free_memory()
 
     out = without(docs, "lang_pred", "score", "in_language")
     (both,) = fresh(out, "best")

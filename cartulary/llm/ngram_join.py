@@ -32,14 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import drop, fresh, materialize, small_or_shuffled
+from cartulary.llm.common import drop, free_memory, fresh, materialize, small_or_shuffled
 from cartulary.llm.packing import U64, Reader, mix64, pack, pack_sorted, range_of, runs
 
 WORDS = 5
 #: A pair is linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: N-grams that a batch of documents holds at most (one longer document is a batch of its own), and a fragment about.
-BATCH, FRAGMENT = 1_000_000, 2_000_000
+BATCH, FRAGMENT = 600_000, 1_200_000
 IDS = 1 << 16
 #: Rounds of further hubs; pairs that they don't settle are counted one by one.
 ROUNDS = 2
@@ -152,9 +152,9 @@ def _from_texts(fragments: int):
                     k, ids, texts, size = k + 1, [], [], 0
         if ids:
             yield _texts_batch(_batch_id(k), ids, texts, hashes, fragments)
-        # a worker outlives its task; what the task held shall not
+        ids, texts = [], []
         hashes.clear()
-        pa.default_memory_pool().release_unused()
+        free_memory()
 
     return send
 
@@ -178,6 +178,7 @@ def _from_sets(fragments: int):
                 signatures = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype="<u8").reshape(-1, 2)
                 yield _as_batch(_requests(_batch_id(k), part.column(0).to_pylist(), part.column(2).to_numpy(), signatures, *distinct_keys(grams, owner), fragments))
                 k, first = k + 1, first + part.num_rows
+        free_memory()
 
     return send
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm import bpe
-from cartulary.llm.common import fresh, without
+from cartulary.llm.common import free_memory, fresh, without
 
 #: Pre-tokens that are held at once; more of them are handled in further rounds.
 CHUNK = 200_000
@@ -55,6 +55,8 @@ def token_counts(docs: DataFrame, tokenizer_json: str, limit: int = 512, text: s
                 if len(pool.index) > pool.LIMIT:
                     pool.clear()
             yield pd.Series(np.concatenate(out) if out else np.empty(0, np.int64))
+        pool.clear()
+        free_memory()
 
     out = without(docs, "n_bytes", "n_tokens", "over_limit")
     if text not in out.columns:
