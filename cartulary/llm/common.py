@@ -18,6 +18,9 @@ GAP = r"[\x20\x09-\x0D]+"
 BROADCAST_BYTES = 8 << 20
 #: Spark's setting that deletes the shuffle files of a query when it has ended.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that Spark passes to Python at once: whole texts may be long, and each batch is held on both sides.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+WHILE_WRITING = {FREE_SHUFFLES: "true", ARROW_ROWS: "2000"}
 
 _written: dict[str, SparkSession] = {}
 
@@ -65,12 +68,14 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cartulary-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    was = spark.conf.get(FREE_SHUFFLES)
-    spark.conf.set(FREE_SHUFFLES, "true")
+    was = {k: spark.conf.get(k) for k in WHILE_WRITING}
     try:
+        for k, v in WHILE_WRITING.items():
+            spark.conf.set(k, v)
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     finally:
-        spark.conf.set(FREE_SHUFFLES, was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
     _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._cartulary_path = path
