@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cartulary.functions.ids import is_sheet_id, request_id, valid_id
 from cartulary.operators import merge, reconcile, scoring, views
 from cartulary.plans.registry import query, table
+from cartulary.session import shared_path
 from cartulary.sources.tabular import rename_headers
 
 FIELDS = ("name", "segment", "nation", "balance")
@@ -73,7 +74,7 @@ COUNTS_SQL = f"""(SELECT count(*) FROM store) AS store_rows, (SELECT count(*) FR
 
 @query(f"WITH {PAIRS_SQL} SELECT {COUNTS_SQL}")
 def reconcile_summary(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.summary(pairs(spark, d), store(spark, d), external(spark, d))
+    return reconcile.summary(pairs(spark, d))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT e.id FROM ext e WHERE NOT EXISTS (SELECT 1 FROM store s WHERE s.id = e.id)")
@@ -94,7 +95,7 @@ def reconcile_equal(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PAIRS_SQL} SELECT 0 AS store_rows, (SELECT count(*) FROM ext) AS external_rows, 0 AS equal, 0 AS different, (SELECT count(*) FROM ext) AS missing_in_store, 0 AS new_in_store")
 def reconcile_empty_store(spark: SparkSession, d: str) -> DataFrame:
     none, ext = store(spark, d).limit(0), external(spark, d)
-    return reconcile.summary(reconcile.matched(none, ext, "id", FIELDS), none, ext)
+    return reconcile.summary(reconcile.matched(none, ext, "id", FIELDS))
 
 
 @query(f"{DIFF_SQL} SELECT * FROM diffs")
@@ -134,7 +135,29 @@ def reconcile_report(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("string").alias("record_status"),
         F.lit(None).cast("string").alias("engine"),
     )
-    return reconcile.report(reconcile_detail(spark, d), facts, "id")
+    # facts twice over, the second with other values: the first by its columns counts
+    again = facts.withColumns({"confidence": F.col("confidence") + 1000, "group_id": F.concat(F.col("group_id"), F.lit("~"))})
+    _, path = _written(spark, d)
+    return reconcile.report(reconcile.written_differences(spark, path, "id", "bigint"), facts.union(again), "id")
+
+
+def _written(spark: SparkSession, d: str) -> tuple[dict[str, int], str]:
+    path = shared_path(spark, "differences")
+    return reconcile.reconcile_to(store(spark, d), external(spark, d), "id", FIELDS, path, "c1"), path
+
+
+@query(f"WITH {PAIRS_SQL} SELECT {COUNTS_SQL}")
+def reconcile_observed(spark: SparkSession, d: str) -> DataFrame:
+    """The counters that are observed while differences are written."""
+    counts, _ = _written(spark, d)
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts))
+
+
+@query(f"{DIFF_SQL} SELECT id, field, store_value, external_value, 'c1' AS comparison_id FROM diffs WHERE diff_kind = 'nuevo_bd'")
+def reconcile_kind_folder(spark: SparkSession, d: str) -> DataFrame:
+    """One kind of written differences; the other folders aren't read."""
+    _, path = _written(spark, d)
+    return reconcile.written_differences(spark, path, "id", "bigint", "nuevo_bd").drop("diff_kind")
 
 
 @query(f"WITH {PAIRS_SQL}, counts AS (SELECT {COUNTS_SQL}) UNPIVOT counts ON COLUMNS(*) INTO NAME metric VALUE value")

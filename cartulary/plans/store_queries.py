@@ -100,15 +100,16 @@ def footer_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT o_orderkey, make_date((year(o_orderdate) - o_orderkey % 90)::BIGINT, month(o_orderdate), day(o_orderdate)) AS a, o_orderdate::DATE AS b FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)),
-    f AS (SELECT *, list_sort(list_distinct([b, a, b])) AS k FROM n)
-    SELECT o_orderkey, CASE WHEN year(a) BETWEEN 1930 AND 2026 THEN a END AS kept, least(a, b) AS birth, greatest(a, b) AS issue, CASE WHEN len(k) > 1 OR year(k[1]) <= 1995 THEN k[1] END AS first_, CASE WHEN len(k) > 1 THEN k[len(k)] WHEN year(k[1]) > 1995 THEN k[1] END AS last_ FROM f"""
+    """WITH n AS (SELECT o_orderkey, try_strptime((year(o_orderdate) - o_orderkey % 90)::VARCHAR || strftime(o_orderdate, '-%m-%d'), '%Y-%m-%d')::DATE AS a, o_orderdate::DATE AS b FROM orders),
+    f AS (SELECT *, list_sort(list_distinct(list_filter([b, a, b], lambda x: x IS NOT NULL))) AS k FROM n)
+    SELECT o_orderkey, CASE WHEN year(a) BETWEEN 1930 AND 2026 THEN a END AS kept, CASE WHEN a < b THEN a ELSE b END AS birth, CASE WHEN a < b THEN b ELSE a END AS issue, CASE WHEN len(k) > 1 OR year(k[1]) <= 1995 THEN k[1] END AS first_, CASE WHEN len(k) > 1 THEN k[len(k)] WHEN year(k[1]) > 1995 THEN k[1] END AS last_ FROM f"""
 )
 def date_rules(spark: SparkSession, d: str) -> DataFrame:
     """Plausible years, dates put in order, and birth and issue from all dates of a document."""
     day = F.col("o_orderdate")
-    rows = table(spark, d, "orders").where(~((F.month(day) == 2) & (F.dayofmonth(day) == 29)))
-    a = F.make_date((F.year(day) - F.col("o_orderkey") % 90).cast("int"), F.month(day), F.dayofmonth(day))
+    rows = table(spark, d, "orders")
+    # 29 February of a year without one is no date
+    a = dates.calendar_date((F.year(day) - F.col("o_orderkey") % 90).cast("string"), F.month(day), F.dayofmonth(day).cast("string"))
     b = day.cast("date")
     out = rows.select("o_orderkey", dates.plausible(a).alias("kept"), dates.in_order(b, a).alias("o"), dates.from_all_dates(F.array(b, a, b, F.lit(None).cast("date")), 1995).alias("f"))
     return out.select("o_orderkey", "kept", F.col("o.birth_date").alias("birth"), F.col("o.issue_date").alias("issue"), F.col("f.birth_date").alias("first_"), F.col("f.issue_date").alias("last_"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,8 @@ from cartulary.functions import dates, ids, phrases, places, text
 from cartulary.functions.similarity import best_match
 from cartulary.operators import classify, lines, pairing, scoring, spatial
 from cartulary.plans.record_queries import key_sql
-from cartulary.plans.registry import ORACLE, QUERIES, query, table
+from cartulary.plans.registry import query, table
+from cartulary.session import shared_path
 from cartulary.streaming.upsert import latest_version, start_upserts
 
 WORD_STOP = ("STEEL", "BRUSHED", "SMALL")
@@ -226,12 +224,12 @@ def page_pairing(spark: SparkSession, d: str) -> DataFrame:
 
 def _typos(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Words of part names, a letter dropped by rule, and the dictionary of all words."""
-    words = table(spark, d, "part").select(F.explode(F.split(F.upper(F.translate("p_name", "0123456789#", "")), " ")).alias("word")).where("length(word) >= 4").distinct()
+    words = table(spark, d, "part").select(F.explode(F.split(F.upper(F.translate("p_name", "0123456789#", "")), " ")).alias("word")).where("word <> ''").distinct()
     broken = words.select(F.concat(F.expr("left(word, 2)"), F.expr("substr(word, 4)")).alias("typo")).distinct()
     return broken, words
 
 
-TYPOS_SQL = """words AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(upper(translate(p_name, '0123456789#', '')), ' ')) AS w FROM part) WHERE length(w) >= 4), typos AS (SELECT DISTINCT left(word, 2) || substr(word, 4) AS typo FROM words)"""
+TYPOS_SQL = """words AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(upper(translate(p_name, '0123456789#', '')), ' ')) AS w FROM part) WHERE w <> ''), typos AS (SELECT DISTINCT left(word, 2) || substr(word, 4) AS typo FROM words)"""
 
 
 @query(
@@ -243,6 +241,18 @@ def fuzzy_lookup_levenshtein(spark: SparkSession, d: str) -> DataFrame:
     return best_match(typos, "typo", words, 75.0, exact_ratio=False).select("typo", "word", F.round("ratio", 4).alias("ratio"))
 
 
+@query(
+    """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(replace(upper(text), 'ẞ', 'SS'), '[A-Z]+')) AS word FROM benchmark), t AS (SELECT DISTINCT left(word, 3) || substr(word, 5) || 'E' AS typo FROM w),
+    s AS (SELECT typo, word, 100.0 * (1 - levenshtein(typo, word) / greatest(length(typo), length(word))::DOUBLE) AS ratio FROM t JOIN w ON abs(length(typo) - length(word)) <= 0.25 * greatest(length(typo), length(word)))
+    SELECT typo, arg_min(word, (-ratio, word)) AS word, round(max(ratio), 4) AS ratio FROM s WHERE ratio >= 75 GROUP BY typo"""
+)
+def fuzzy_words(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of the benchmark with one letter gone and one too many, against all of these words."""
+    words = table(spark, d, "benchmark").select(F.explode(_latin_words("text")).alias("word")).distinct()
+    typos = words.select(F.concat(F.expr("left(word, 3)"), F.expr("substr(word, 5)"), F.lit("E")).alias("typo")).distinct()
+    return best_match(typos, "typo", words, 75.0, exact_ratio=False).select("typo", "word", F.round("ratio", 4).alias("ratio"))
+
+
 def lcs_sql(pairs: str) -> str:
     """Common table expressions for the longest common subsequences of pairs (a, b): lcs (a, b, n), a cell of the table a step."""
     return f"""cells AS (SELECT a, b, list_transform(range(0, length(b) + 1), lambda x: 0::BIGINT) AS c FROM ({pairs})
@@ -313,10 +323,6 @@ def duplicate_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", found.alias("f")).select("doc_id", "f.duplicated", "f.kept")
 
 
-#: The whole-text form under the name that it first had.
-QUERIES["duplicate_tokens_whole"], ORACLE["duplicate_tokens_whole"] = duplicate_tokens, ORACLE["duplicate_tokens"]
-
-
 BOX_SQL = "(l_quantity / 60.0) AS x, ((l_partkey % 97) / 100.0)::DOUBLE AS y, (0.05 + l_discount)::DOUBLE AS w, 0.02::DOUBLE AS h"
 REL_SQL = """CASE WHEN c.y < l.y - 0.14 THEN 'ABOVE' WHEN l.y - c.y > 0 AND l.y - c.y <= 0.14 AND abs((c.x + c.w / 2) - (l.x + l.w / 2)) <= l.w * 3.5 THEN 'DIRECTLY_ABOVE'
   WHEN c.y - l.y > 0 AND c.y - l.y <= 0.15 AND abs((c.x + c.w / 2) - (l.x + l.w / 2)) <= l.w * 3.5 THEN 'DIRECTLY_BELOW' WHEN abs(c.y - l.y) <= l.h * 1.8 AND c.x >= l.x + l.w * 0.1 THEN 'DIRECTLY_RIGHT'
@@ -390,10 +396,7 @@ def place_resolve(spark: SparkSession, d: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Events that arrive as files, merged batch by batch into one row a user."""
     events = table(spark, d, "events").schema
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not configured and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = f"{configured.rstrip('/')}/stream-{uuid.uuid4().hex}" if configured else tempfile.mkdtemp(prefix="cartulary-stream-")
+    base = shared_path(spark, "stream")
     start_upserts(spark, f"{d}/event[s].parquet", events, f"{base}/store", f"{base}/state", "user_id", ["ts", "event_id"], ["event_type", "props"], "value", []).awaitTermination()
     return latest_version(spark, f"{base}/store")
 

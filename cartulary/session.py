@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,14 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, memory:
     )
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; in a folder of our own only in local mode, where that is unset."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{configured.rstrip('/')}/{name}-{uuid.uuid4().hex}" if configured else tempfile.mkdtemp(prefix=f"cartulary-{name}-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder of spark.checkpoint.dir; one of our own only in local mode, where that is unset."""
     sc = df.sparkSession.sparkContext

@@ -6,29 +6,23 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cartulary.operators.merge import merge_into, upsert
+from cartulary.streaming import store as stored
 
 
-def start_upserts(spark: SparkSession, source: str, schema, store: str, checkpoint: str, key: str, order: Sequence[str], fields: Sequence[str], score: str, carried: Sequence[str], files_per_batch: int = 100):
-    """Read Parquet files as they come, until none is left, and merge each batch into the newest version of the store.
+def start_upserts(
+    spark: SparkSession, source: str, schema, store: str, checkpoint: str, key: str, order: Sequence[str], fields: Sequence[str], score: str, carried: Sequence[str], files_per_batch: int = 100, parts: int = 64, keep: int = 2
+):
+    """Read Parquet files as they come, until none is left, and merge each batch into the store's key ranges.
 
-    Every batch writes a version of its own, named by its number: a batch that is repeated after a failure reads
-    the same version before it and writes the same one, so nothing is merged twice.
+    A batch rewrites only the ranges of its keys and is merge number `batch`: one that is repeated after a failure
+    starts from the manifest before it and writes the same one, so nothing is merged twice. What no manifest of the
+    newest `keep` names is deleted after each batch.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        updates = batch.select(key, *order, *fields, score, *carried)
-        session = batch.sparkSession
-        latest = updates.groupBy(key).agg(F.max(F.struct(*order)).alias("o"))
-        if number == 0:
-            merged = upsert(updates, key, order, fields, score, carried)
-        else:
-            before = session.read.parquet(f"{store}/version={number - 1}")
-            merged = merge_into(before, updates, key, order, fields, score, carried)
-            latest = latest.unionByName(before.select(key, F.struct(*order).alias("o"))).groupBy(key).agg(F.max("o").alias("o"))
-        merged.join(latest.select(key, "o.*"), key).write.mode("overwrite").parquet(f"{store}/version={number}")
+        stored.merge(batch, store, number, key, order, fields, score, carried, parts)
+        stored.drop_old(batch.sparkSession, store, keep)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).queryName(f"upserts-{uuid.uuid4().hex}").start()
@@ -36,6 +30,4 @@ def start_upserts(spark: SparkSession, source: str, schema, store: str, checkpoi
 
 def latest_version(spark: SparkSession, store: str) -> DataFrame:
     """The store after the last batch."""
-    versions = spark.read.option("basePath", store).parquet(store)
-    last = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == last).drop("version")
+    return stored.read(spark, store)

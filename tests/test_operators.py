@@ -26,9 +26,9 @@ def test_reconcile(spark):
     pairs = reconcile.matched(s, e, "id", FIELDS, "n")
     got = {(r.id, r.field, r.store_value, r.external_value, r.diff_kind) for r in reconcile.differences(pairs, "id", FIELDS).collect()}
     assert got == {("2", "name", "Luz", "Lux", "diferente"), ("3", "registro_completo", "Eva|Y", None, "nuevo_bd"), ("4", "registro_completo", None, "New|Z", "faltante_bd")}
-    assert tuple(reconcile.summary(pairs, s, e).first()) == (3, 4, 1, 1, 1, 1)
+    assert tuple(reconcile.summary(pairs).first()) == (3, 4, 1, 1, 1, 1)
     none = s.limit(0)
-    assert reconcile.summary(reconcile.matched(none, e, "id", FIELDS), none, e).first()["missing_in_store"] == 4
+    assert reconcile.summary(reconcile.matched(none, e, "id", FIELDS)).first()["missing_in_store"] == 4
     missing = reconcile.differences(reconcile.matched(s, e.drop("place"), "id", FIELDS, "n"), "id", FIELDS)
     assert {r.id for r in missing.where("field = 'place'").collect()} == {"1"}
 
@@ -37,7 +37,7 @@ def test_reconcile(spark):
 @given(*[st.lists(st.tuples(st.sampled_from("abcdef"), st.sampled_from(["x", "X ", "y", None]), st.sampled_from(["p", ""]), st.just(1)), max_size=8)] * 2)
 def test_every_key_is_counted_once(spark, store, external):
     s, e = frames(spark, store, external)
-    r = reconcile.summary(reconcile.matched(s, e, "id", FIELDS), s, e).first()
+    r = reconcile.summary(reconcile.matched(s, e, "id", FIELDS)).first()
     missing = r.missing_in_store if store else len({x[0] for x in external})
     assert r.equal + r.different + missing + r.new_in_store == len({x[0] for x in store + external})
 
@@ -51,6 +51,32 @@ def test_report(spark):
     assert [r.diff_kind for r in reconcile.report(diffs.limit(0), facts, "id").collect()] == ["SIN DIFERENCIAS"]
 
 
+def test_one_pass(spark, tmp_path):
+    s, e = frames(spark, [("1", "Ana", "X", 1), ("2", "Luz", None, 1), ("3", "Eva", "Y", 1), (None, "No", "Key", 1)], [("1", "ana", "x", 1), ("2", "Lux", "", 1), ("2", "Luz", "", 2), ("4", "New", "Z", 1), (None, "a", "b", 1), (None, "c", "d", 2)])
+    got = reconcile.reconcile_to(s, e, "id", FIELDS, f"{tmp_path}/d", "c7", "n")
+    assert got == {"store_rows": 4, "external_rows": 6, "equal": 1, "different": 1, "missing_in_store": 1, "new_in_store": 1}
+    assert got == reconcile.summary(reconcile.matched(s, e, "id", FIELDS, "n")).first().asDict()
+    back = reconcile.written_differences(spark, f"{tmp_path}/d", "id")
+    assert sorted(map(tuple, back.drop("comparison_id").collect()), key=str) == sorted(map(tuple, reconcile.reconcile(s, e, "id", FIELDS, "n").collect()), key=str)
+    one = reconcile.written_differences(spark, f"{tmp_path}/d", "id", kind="nuevo_bd")
+    assert [r.id for r in one.collect()] == ["3"] and "PartitionFilters: [isnotnull(diff_kind" in one._jdf.queryExecution().executedPlan().toString()
+    # one full outer join for details, counters and sinks
+    pairs = reconcile.matched(s, e, "id", FIELDS)
+    plan = reconcile.differences(pairs, "id", FIELDS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") == 1 and plan.count("Join ") == 1
+    nothing = s.limit(0)
+    assert reconcile.reconcile_to(nothing, nothing, "id", FIELDS, f"{tmp_path}/none", "c8") == dict.fromkeys(got, 0)
+    assert reconcile.written_differences(spark, f"{tmp_path}/none", "id").count() == 0
+
+
+def test_report_of_repeated_records(spark):
+    diffs = spark.createDataFrame([("1", "name", "a", "b", "diferente")], "id string, field string, store_value string, external_value string, diff_kind string")
+    schema = "id string, group_id string, front_page int, back_page int, page_number int, engine string, confidence double, record_status string"
+    rows = [("1", f"DOC-{k:03d}", k, k, k, "e", float(k), "VALID") for k in range(40, 0, -1)]
+    for parts in (1, 7):
+        assert reconcile.report(diffs, spark.createDataFrame(rows, schema).repartition(parts), "id").first().group_id == "DOC-001"
+
+
 def test_headers(spark, tmp_path):
     (tmp_path / "s.csv").write_text("Cédula,Nombres,Ciudad,other\n 123456 , ana ,nan,1\nx12,b,c,2\n")
     assert [tuple(r) for r in tabular.read_sheet(spark, str(tmp_path / "s.csv")).collect()] == [("123456", "ANA", "", "1")]
@@ -286,3 +312,46 @@ def test_streamed_upserts_merge_once(spark, tmp_path):
         assert latest_version(spark, f"{tmp_path}/store").count() == min(k + 1, 2)
     got = {r.k: (r.a, r.score, r.engine, r.t) for r in latest_version(spark, f"{tmp_path}/store").collect()}
     assert got == {"x": ("a3", 7.0, "e2", 3), "y": ("b", 1.0, "e", 1)}
+
+
+def _parts(path):
+    return {(v.name, p.name) for v in (path / "data").iterdir() for p in v.iterdir() if p.name.startswith("part=")}
+
+
+def test_store_rewrites_only_touched_ranges(spark, tmp_path):
+    from cartulary.streaming import store
+
+    schema = "k long, t int, a string, score double, engine string"
+    args = ("k", ["t"], ["a"], "score", ["engine"])
+    path, at = tmp_path / "s", str(tmp_path / "s")
+    rows = {k: (k, 1, f"a{k}", float(k), "e") for k in range(10_000)}
+    store.merge(spark.createDataFrame(list(rows.values()), schema), at, 0, *args, parts=100)
+    assert store.read(spark, at).count() == 10_000 and 90 <= len(_parts(path)) <= 100
+    before = _parts(path)
+    # one key in a hundred, next to each other: about one range in a hundred
+    batch = [(k, 2, None if k % 2 else f"b{k}", -1.0 if k % 3 else 1e9, "new") for k in range(4000, 4100)]
+    touched = store.merge(spark.createDataFrame(batch, schema), at, 1, *args)
+    assert 1 <= len(touched) <= 3 and len(_parts(path) - before) == len(touched)
+    got = {r.k: (r.t, r.a, r.score, r.engine) for r in store.read(spark, at).collect()}
+    for k, t, a, score, engine in batch:
+        _, _, old, best, by = rows[k]
+        assert got[k] == (t, a or old, max(best, score), engine if score > best else by)
+    assert got[3999] == (1, "a3999", 3999.0, "e") and len(got) == 10_000
+    # the same merge again gives the same table; keys below, above and null find a range
+    store.merge(spark.createDataFrame(batch, schema), at, 1, *args)
+    assert {r.k: (r.t, r.a, r.score, r.engine) for r in store.read(spark, at).collect()} == got
+    store.merge(spark.createDataFrame([(-5, 1, "low", 1.0, "e"), (10**9, 1, "high", 1.0, "e"), (None, 1, "none", 1.0, "e")], schema), at, 2, *args)
+    assert {r.a for r in store.read(spark, at).where("k < 0 OR k >= 10000 OR k IS NULL").collect()} == {"low", "high", "none"}
+    store.merge(spark.createDataFrame([(None, 2, "again", 1.0, "e")], schema), at, 3, *args)
+    assert store.read(spark, at).where("k IS NULL").count() == 1
+    # a merge that ended before its manifest changes nothing
+    (path / "data" / "version=9" / "part=0").mkdir(parents=True)
+    assert store.read(spark, at).count() == 10_003
+    gone = store.drop_old(spark, at, keep=1)
+    assert gone >= len(touched) and store.read(spark, at).count() == 10_003 and len(store._manifests(spark, at)) == 1
+    assert (path / "data" / "version=9").exists()
+    # an empty table, then rows
+    store.merge(spark.createDataFrame([], schema), f"{at}e", 0, *args)
+    assert store.read(spark, f"{at}e").count() == 0
+    store.merge(spark.createDataFrame([(1, 1, "x", 1.0, "e")], schema), f"{at}e", 1, *args)
+    assert store.read(spark, f"{at}e").first().a == "x"
