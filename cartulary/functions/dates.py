@@ -40,6 +40,7 @@ def parse_date(value: Column) -> Column:
     with separators, the same run together, month-name day year, and day DE month DE year.
     """
     text = F.upper(F.trim(value))
+    # fixed values: the six layouts, in their order
     layouts = [
         (r"^([0-9]{4})[/\-.]([0-9]{1,2})[/\-.]([0-9]{1,2})$", 1, 2, 3, False),
         (r"^([0-9]{1,2})[/\-.]([0-9]{1,2})[/\-.]([0-9]{4})$", 3, 2, 1, False),

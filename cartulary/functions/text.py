@@ -82,9 +82,13 @@ def label_name(value: Column, stop_words: Sequence[str] = NAME_STOP_WORDS) -> Co
     return F.when(F.length(joined) >= 3, person_name(joined, stop_words))
 
 
+#: Characters that recognition takes for digits, and the digits; the last one, a space, has none and goes.
+TAKEN_FOR_DIGITS, DIGITS = "OoQDlIi|!BbSsZzGgqAT ", "00001111188552266947"
+
+
 def repair_digits(value: Column) -> Column:
     """Letters that recognition takes for digits, as digits; spaces go."""
-    return F.translate(value, "OoQDlIi|!BbSsZzGgqAT ", "00001111188552266947")
+    return F.translate(value, TAKEN_FOR_DIGITS, DIGITS)
 
 
 def word_key(value: Column) -> Column:

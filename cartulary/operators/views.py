@@ -102,9 +102,12 @@ def is_complete(*columns: str) -> Column:
     return all_of([F.col(c).isNotNull() & (F.col(c).cast("string") != "") for c in columns])
 
 
-def export(df: DataFrame, names: Mapping[str, str], flags: Sequence[str] = (), times: Sequence[str] = (), newest: str | None = None) -> DataFrame:
-    """Columns under their report names: flags as SÍ or NO, times as dd/MM/yyyy HH:mm; the newest first, if a column tells."""
-    df = df.orderBy(F.col(newest).desc_nulls_first()) if newest else df
+def export(df: DataFrame, names: Mapping[str, str], flags: Sequence[str] = (), times: Sequence[str] = (), newest: str | None = None, then: Sequence[str] = ()) -> DataFrame:
+    """Columns under their report names: flags as SÍ or NO, times as dd/MM/yyyy HH:mm; the newest first, if a column tells.
+
+    Rows of one time are in the order of the columns `then`.
+    """
+    df = df.orderBy(F.col(newest).desc_nulls_first(), *then) if newest else df
 
     def shown(c: str) -> Column:
         if c in flags:
@@ -115,13 +118,10 @@ def export(df: DataFrame, names: Mapping[str, str], flags: Sequence[str] = (), t
 
 
 def export_summary(df: DataFrame) -> DataFrame:
+    """One row: how many rows an export has, and when it was made."""
     return df.agg(F.count(F.lit(1)).alias("rows"), F.date_format(F.current_timestamp(), "dd/MM/yyyy HH:mm").alias("made_at"))
 
 
 def completion(records: DataFrame) -> DataFrame:
     """A document's completion row: pages, mean confidence to two places (0 without records), status."""
     return records.groupBy("document_id").agg(F.max("page_number").alias("pages"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 2).alias("mean_confidence"), F.lit("completado").alias("status"))
-
-
-def failure(comparison_id: str, message: str, spark) -> DataFrame:
-    return spark.range(1).select(F.lit(comparison_id).alias("comparison_id"), F.lit("error").alias("status"), F.substring(F.lit(message), 1, 500).alias("message"))

@@ -271,7 +271,7 @@ def owner_scope(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey AS \"Número\", strftime(o_orderdate, '%d/%m/%Y %H:%M') AS \"Fecha\", CASE WHEN o_orderstatus = 'O' THEN 'SÍ' ELSE 'NO' END AS \"Revisión\" FROM orders")
 def export_projection(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").withColumn("review", F.col("o_orderstatus") == "O")
-    return views.export(rows, {"o_orderkey": "Número", "o_orderdate": "Fecha", "review": "Revisión"}, flags=["review"], times=["o_orderdate"])
+    return views.export(rows, {"o_orderkey": "Número", "o_orderdate": "Fecha", "review": "Revisión"}, flags=["review"], times=["o_orderdate"], newest="o_orderdate", then=["o_orderkey"])
 
 
 RECORD_SQL = """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'SIN_ID_' || c_custkey::VARCHAR ELSE (c_custkey + 10000000)::VARCHAR END AS id_number,
