@@ -47,9 +47,13 @@ def ngrams(words: Column, longest: int = 4) -> Column:
     return F.flatten(F.array(*[runs(k) for k in range(1, longest + 1)]))
 
 
+def place_points(place_ok: Column, distance: Column) -> Column:
+    return F.when(place_ok, F.when(distance <= 40, 1.0).otherwise(0.8)).otherwise(0.2)
+
+
 def candidate_score(dictionary: Column, fuzzy: Column, size: Column, label_present: Column, place_ok: Column, distance: Column, confidence: Column) -> Column:
     """The weighted evidence of one candidate; a bonus for several words can lift it over 1."""
-    place = F.when(place_ok, F.when(distance <= 40, 1.0).otherwise(0.8)).otherwise(0.2)
+    place = place_points(place_ok, distance)
     near = F.when(fuzzy, 0.9).when(dictionary >= 0.8, 1.0).otherwise(0.5)
     bonus = F.when((dictionary >= 0.7) | (place >= 0.9), 0.03 * (size - 1)).otherwise(0.0)
     bounded = F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0))
@@ -58,18 +62,29 @@ def candidate_score(dictionary: Column, fuzzy: Column, size: Column, label_prese
     )
 
 
+FACTS = ["label_present", "place_ok", "distance", "confidence"]
+
+
+def with_evidence(rows: DataFrame, key: str, tokens: str, evidence: DataFrame, target: str = "given") -> DataFrame:
+    """(key, facts, ts): each row's words in order, as struct<at, word, s, other, f>; s is the target's score.
+
+    Evidence joins each word once, not each run that holds it.
+    """
+    other = "surname" if target == "given" else "given"
+    scores = evidence.select("word", F.col(f"{target}_score").alias("s"), F.col(f"{other}_score").alias("other"), "fuzzy")
+    each = rows.select(key, *FACTS, F.posexplode(tokens).alias("at", "word")).join(scores, "word", "left")
+    word = F.struct("at", "word", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("other", F.lit(0.0)).alias("other"), F.coalesce("fuzzy", F.lit(False)).alias("f"))
+    return each.groupBy(key, *FACTS).agg(F.array_sort(F.collect_list(word)).alias("ts"))
+
+
 def score_candidates(rows: DataFrame, key: str, tokens: str, evidence: DataFrame, target: str = "given", compounds: DataFrame | None = None) -> DataFrame:
     """All candidates of each row: (key, candidate, size, start, dictionary, fuzzy, score).
 
     rows: key, tokens and label_present, place_ok, distance, confidence. evidence is word_evidence() of the tokens.
     A candidate listed in compounds (`word`) counts as a full dictionary match.
     """
-    facts = ["label_present", "place_ok", "distance", "confidence"]
-    # evidence joins each word once, not each run that holds it; the runs are made where a row's words are together again
-    each = rows.select(key, *facts, F.posexplode(tokens).alias("at", "word")).join(evidence.select("word", F.col(f"{target}_score").alias("s"), "fuzzy"), "word", "left")
-    word = F.struct("at", "word", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("fuzzy", F.lit(False)).alias("f"))
-    listed_words = each.groupBy(key, *facts).agg(F.array_sort(F.collect_list(word)).alias("ts"))
-    runs = listed_words.select(key, *facts, F.explode(ngrams(F.col("ts"))).alias("g")).select(key, *facts, "g.size", "g.start", "g.words")
+    facts = FACTS
+    runs = with_evidence(rows, key, tokens, evidence, target).select(key, *facts, F.explode(ngrams(F.col("ts"))).alias("g")).select(key, *facts, "g.size", "g.start", "g.words")
     sum_of = F.aggregate("words", F.lit(0.0), lambda a, x: a + x["s"])
     grouped = runs.select(key, *facts, "size", "start", (sum_of / F.col("size")).alias("dictionary"), F.exists("words", lambda x: x["f"]).alias("fuzzy"), F.array_join(F.transform("words", lambda x: x["word"]), " ").alias("candidate"))
     if compounds is not None:
@@ -79,13 +94,53 @@ def score_candidates(rows: DataFrame, key: str, tokens: str, evidence: DataFrame
     return grouped.select(key, "candidate", "size", "start", F.round(F.round("dictionary", 8), 2).alias("dictionary"), "fuzzy", F.round(F.round(score, 8), 4).alias("score"))
 
 
+def _status(score: Column, runner_up: Column, in_both: Column, margin: float, low: float, valid: float) -> Column:
+    """missing_data below `low`; review_required below `valid`, near the runner-up, or for a word of both dictionaries at no sure place."""
+    close = F.coalesce((score - runner_up < margin) & (score < 0.85), F.lit(False))
+    return F.when(score < low, "missing_data").when(close | in_both | (score < valid), "review_required").otherwise("valid")
+
+
 def decide(scored: DataFrame, key: str, margin: float = 0.08, low: float = 0.30, valid: float = 0.75) -> DataFrame:
     """The best candidate of each row and its status; ties go to the shorter, then the earlier one."""
     w = W.Window.partitionBy(key).orderBy(F.desc("score"), "size", "start")
     top = scored.withColumns({"__n": F.row_number().over(w), "runner_up": F.lead("score").over(w)}).where("__n = 1").drop("__n")
-    close = F.coalesce((F.col("score") - F.col("runner_up") < margin) & (F.col("score") < 0.85), F.lit(False))
-    status = F.when(F.col("score") < low, "missing_data").when(close | (F.col("score") < valid), "review_required").otherwise("valid")
-    return top.withColumn("status", status)
+    return top.withColumn("status", _status(F.col("score"), F.col("runner_up"), F.lit(False), margin, low, valid))
+
+
+def best_names(rows: DataFrame, key: str, tokens: str, evidence: DataFrame, target: str = "given", longest: int = 4, margin: float = 0.08, low: float = 0.30, valid: float = 0.75) -> DataFrame:
+    """(key, candidate, size, start, score, runner_up, status): the best run of 1 to `longest` words of each row.
+
+    As score_candidates() and decide(), in one pass over a row's words that keeps the best two runs so far: no run
+    becomes a row. A candidate whose words are in both dictionaries needs review unless its place is sure. Rows
+    without words have no candidate.
+    """
+    listed = with_evidence(rows, key, tokens, evidence, target)
+    fields = "low double, size int, start int, mine double, other double"
+    nothing = F.struct(F.lit(float("inf")).alias("low"), F.lit(0).alias("size"), F.lit(0).alias("start"), F.lit(0.0).alias("mine"), F.lit(0.0).alias("other")).cast(f"struct<{fields.replace(' ', ':').replace(',:', ',')}>")
+    ts = F.col("ts")
+
+    def run(i: Column, k: int) -> Column:
+        """The run of k words from place i on; the lower the struct, the better."""
+        words = F.slice(ts, i, k)
+        mean = lambda c: F.aggregate(words, F.lit(0.0), lambda a, x: a + x[c]) / k
+        score = candidate_score(mean("s"), F.exists(words, lambda x: x["f"]), F.lit(k), F.col("label_present"), F.col("place_ok"), F.col("distance"), F.col("confidence"))
+        found = F.struct((-F.round(F.round(score, 8), 4)).alias("low"), F.lit(k).alias("size"), i.cast("int").alias("start"), mean("s").alias("mine"), mean("other").alias("other"))
+        return F.when(i + k - 1 <= F.size(ts), found).otherwise(nothing)
+
+    def keep(best: Column, i: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            first, second = a["first"], a["second"]
+            return F.struct(F.when(x < first, x).otherwise(first).alias("first"), F.when(x < first, first).when(x < second, x).otherwise(second).alias("second"))
+
+        return F.aggregate(F.array(*[run(i, k) for k in range(1, longest + 1)]), best, step)
+
+    two = F.aggregate(F.sequence(F.lit(1), F.size(ts)), F.struct(nothing.alias("first"), nothing.alias("second")), keep)
+    top = listed.where(F.size(ts) > 0).select(key, "place_ok", "distance", "ts", F.transform(F.array(two), lambda x: x)[0].alias("b"))
+    score, none = -F.col("b.first.low"), F.col("b.second.low") == float("inf")
+    runner_up = F.when(~none, -F.col("b.second.low"))
+    in_both = (F.col("b.first.mine") >= 0.8) & (F.col("b.first.other") >= 0.8) & (place_points(F.col("place_ok"), F.col("distance")) < 0.9)
+    candidate = F.array_join(F.transform(F.slice("ts", F.col("b.first.start"), F.col("b.first.size")), lambda x: x["word"]), " ")
+    return top.select(key, candidate.alias("candidate"), F.col("b.first.size").alias("size"), F.col("b.first.start").alias("start"), score.alias("score"), runner_up.alias("runner_up"), _status(score, runner_up, in_both, margin, low, valid).alias("status"))
 
 
 def extraction_confidence(fields: Mapping[str, Column] | None = None, recognition: Column | None = None) -> Column:

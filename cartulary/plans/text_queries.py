@@ -279,37 +279,42 @@ def _evidence_sql(name: str, words: str) -> str:
 
 CANDIDATES_SQL = f"""t AS (SELECT doc_id, regexp_extract_all(replace(upper(text), 'ẞ', 'SS'), '[A-Z]+') AS ws FROM documents),
     {_evidence_sql("ga", "SELECT DISTINCT unnest(regexp_extract_all(upper(p_name), '[A-Z]+')) AS word FROM part")},
-    {_evidence_sql("sa", "SELECT DISTINCT upper(r_name) AS word FROM region")},
+    {_evidence_sql("sa", "SELECT DISTINCT unnest(regexp_extract_all(upper(r_name), '[A-Z]+')) AS word FROM region UNION SELECT DISTINCT upper(p_name)[1:position(' ' IN p_name) - 1] FROM part")},
     x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS at_ FROM t),
-    y AS (SELECT doc_id, at_, word, ga.score AS s, ga.fuzzy OR sa.fuzzy AS f FROM x JOIN ga USING (word) JOIN sa USING (word)),
-    l AS (SELECT doc_id, list(word ORDER BY at_) AS ws, list(s ORDER BY at_) AS ss, list(f ORDER BY at_) AS fs FROM y GROUP BY doc_id),
-    g AS (SELECT doc_id, k AS size, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: {{'start': i, 'candidate': array_to_string(ws[i:i + k - 1], ' '), 'dict': list_sum(ss[i:i + k - 1]) / k, 'fuzzy': list_bool_or(fs[i:i + k - 1])}})) AS v FROM l, range(1, 5) r(k)),
+    y AS (SELECT doc_id, at_, word, ga.score AS s, sa.score AS o, ga.fuzzy OR sa.fuzzy AS f FROM x JOIN ga USING (word) JOIN sa USING (word)),
+    l AS (SELECT doc_id, list(word ORDER BY at_) AS ws, list(s ORDER BY at_) AS ss, list(o ORDER BY at_) AS os, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.8 END::DOUBLE AS place, list(f ORDER BY at_) AS fs FROM y GROUP BY doc_id),
+    g AS (SELECT doc_id, place, k AS size, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: {{'start': i, 'candidate': array_to_string(ws[i:i + k - 1], ' '), 'dict': list_sum(ss[i:i + k - 1]) / k, 'other': list_sum(os[i:i + k - 1]) / k, 'fuzzy': list_bool_or(fs[i:i + k - 1])}})) AS v FROM l, range(1, 5) r(k)),
     c AS (SELECT doc_id, v.candidate AS candidate, size, v.start AS start, v.fuzzy AS fuzzy, round(v.dict::DECIMAL(18, 8), 2)::DOUBLE AS dictionary,
-      round((0.4 + 0.3 + 0.15 * 0.9 + v.dict * 0.1 + CASE WHEN v.fuzzy THEN 0.9 WHEN v.dict >= 0.8 THEN 1.0 ELSE 0.5 END * 0.05 + 0.03 * (size - 1))::DECIMAL(18, 8), 4)::DOUBLE AS score FROM g)"""
+      v.dict >= 0.8 AND v.other >= 0.8 AND place < 0.9 AS in_both,
+      round((0.4 + place * 0.3 + 0.15 * 0.9 + v.dict * 0.1 + CASE WHEN v.fuzzy THEN 0.9 WHEN v.dict >= 0.8 THEN 1.0 ELSE 0.5 END * 0.05 + CASE WHEN v.dict >= 0.7 OR place >= 0.9 THEN 0.03 * (size - 1) ELSE 0 END)::DECIMAL(18, 8), 4)::DOUBLE AS score FROM g)"""
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of one to four words of each whole text, with evidence from the words of part names and region names."""
-    tokens = F.regexp_extract_all(F.replace(F.upper("text"), F.lit("ẞ"), F.lit("SS")), F.lit("([A-Z]+)"), F.lit(1))
-    rows = table(spark, d, "documents").select("doc_id", tokens.alias("tokens"), F.lit(True).alias("label_present"), F.lit(True).alias("place_ok"), F.lit(10.0).alias("distance"), F.lit(0.9).alias("confidence"))
-    given = table(spark, d, "part").select(F.explode(F.regexp_extract_all(F.upper("p_name"), F.lit("([A-Z]+)"), F.lit(1))).alias("word")).distinct()
-    surnames = table(spark, d, "region").select(F.upper("r_name").alias("word"))
-    evidence = scoring.word_evidence(rows.select(F.explode("tokens").alias("word")), "word", given, surnames, exact_ratio=False)
-    return scoring.score_candidates(rows, "doc_id", "tokens", evidence)
+def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The words of each whole text, near their label in every second one; evidence from part names, and region names and first words."""
+    tokens = _latin_words("text")
+    near = F.when(F.col("doc_id") % 2 == 0, 10.0).otherwise(60.0)
+    rows = table(spark, d, "documents").select("doc_id", tokens.alias("tokens"), F.lit(True).alias("label_present"), F.lit(True).alias("place_ok"), near.alias("distance"), F.lit(0.9).alias("confidence"))
+    part = table(spark, d, "part")
+    given = part.select(F.explode(_latin_words("p_name")).alias("word")).distinct()
+    surnames = table(spark, d, "region").select(F.explode(_latin_words("r_name")).alias("word")).union(part.select(F.upper(F.substring_index("p_name", " ", 1)))).distinct()
+    return rows, scoring.word_evidence(rows.select(F.explode("tokens").alias("word")), "word", given, surnames, exact_ratio=False)
 
 
-@query(f"WITH {CANDIDATES_SQL} SELECT * FROM c")
+@query(f"WITH {CANDIDATES_SQL} SELECT doc_id, candidate, size, start, fuzzy, dictionary, score FROM c")
 def ngram_score(spark: SparkSession, d: str) -> DataFrame:
-    return _candidates(spark, d)
+    """Runs of one to four words of each whole text, scored."""
+    rows, evidence = _evidence(spark, d)
+    return scoring.score_candidates(rows, "doc_id", "tokens", evidence)
 
 
 @query(
     f"""WITH {CANDIDATES_SQL}, r AS (SELECT *, lead(score) OVER w AS runner_up, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, size, start))
-    SELECT doc_id, candidate, score, runner_up, CASE WHEN score < 0.3 THEN 'missing_data' WHEN coalesce(score - runner_up < 0.08 AND score < 0.85, false) OR score < 0.75 THEN 'review_required' ELSE 'valid' END AS status FROM r WHERE n = 1"""
+    SELECT doc_id, candidate, score, runner_up, CASE WHEN score < 0.3 THEN 'missing_data' WHEN coalesce(score - runner_up < 0.08 AND score < 0.85, false) OR in_both OR score < 0.75 THEN 'review_required' ELSE 'valid' END AS status FROM r WHERE n = 1"""
 )
 def name_decision(spark: SparkSession, d: str) -> DataFrame:
-    """The best candidate of each document."""
-    return scoring.decide(_candidates(spark, d), "doc_id").select("doc_id", "candidate", "score", "runner_up", "status")
+    """The best candidate of each document, of which the best two are kept while its words are read."""
+    rows, evidence = _evidence(spark, d)
+    return scoring.best_names(rows, "doc_id", "tokens", evidence).select("doc_id", "candidate", "score", "runner_up", "status")
 
 
 @query(
