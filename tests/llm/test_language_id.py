@@ -70,12 +70,18 @@ def test_expected_counts_are_those_of_the_segmentations(model):
     assert np.allclose((used * length[:, None]).sum(0), len("▁haus") + len("▁walking"))
 
 
-def test_identify_equals_a_brute_force_version(spark):
-    """Training and prediction by enumerating segmentations, with true counts of all words of every labelled text."""
-    rows = [r for r in documents(60) if r[1] is None or max(map(len, language_id.words_of(r[1])), default=0) < 12]
+def short_words(rows):
+    """Rows whose segmentations can be listed one by one."""
+    return [r for r in rows if r[1] is None or max(map(len, language_id.words_of(r[1])), default=0) < 12]
+
+
+def fold(i):
+    return zlib.crc32(b"" if i is None else str(i).encode()) % 5
+
+
+def plain_identify(rows):
+    """(lang_pred, score, in_language) of each row, by enumerating segmentations, with true counts of all words of every labelled text."""
     pieces = language_pieces()
-    docs = frame(spark, rows)
-    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5
     learned = [(t, lang) for i, t, lang, *_ in rows if fold(i) and t is not None and lang is not None]
     langs = sorted({x for _, x in learned})
     counts = {x: Counter(w for t, lang in learned if lang == x for w in language_id.words_of(t)) for x in langs}
@@ -95,16 +101,24 @@ def test_identify_equals_a_brute_force_version(spark):
     logs = lambda t: sum((n * each_word(w) for w, n in Counter(language_id.words_of(t)).items()), np.zeros(len(langs)))
     letters = lambda t: sum(len(language_id.marked(w)) - 1 for w in language_id.words_of(t))
     floor = [1.5 * min(logs(t)[k] / letters(t) for t, lang in learned if lang == x and letters(t)) for k, x in enumerate(langs)]
-    found = {(r.doc_id, r.text): r for r in language_id.identify(docs, pieces).collect()}
-    for i, t, *_ in rows:
-        r = found[i, t]
-        assert r.held_out == (fold(i) == 0)
+    out = []
+    for _, t, *_ in rows:
         if not any(c.isalpha() for c in t or ""):
-            assert (r.lang_pred, r.score, r.in_language) == ("und", 0.0, False)
+            out.append(("und", 0.0, False))
             continue
         each = logs(t)
-        assert r.lang_pred == langs[int(each.argmax())] and r.score == pytest.approx(1 / np.exp(each - each.max()).sum(), rel=1e-6)
-        assert r.in_language == (each.max() >= floor[int(each.argmax())] * letters(t))
+        top = int(each.argmax())
+        out.append((langs[top], 1 / np.exp(each - each.max()).sum(), bool(each.max() >= floor[top] * letters(t))))
+    return out
+
+
+def test_identify_equals_a_brute_force_version(spark):
+    rows = short_words(documents(60))
+    found = {(r.doc_id, r.text): r for r in language_id.identify(frame(spark, rows), language_pieces()).collect()}
+    for (i, t, *_), (lang, score, fit) in zip(rows, plain_identify(rows), strict=True):
+        r = found[i, t]
+        assert r.held_out == (fold(i) == 0)
+        assert (r.lang_pred, r.in_language) == (lang, fit) and r.score == pytest.approx(score, rel=1e-6)
 
 
 def test_held_out_accuracy_and_odd_texts(spark):

@@ -94,3 +94,25 @@ def test_components(spark):
 def test_missing_text_column(spark):
     with pytest.raises(Exception, match="text"):
         ngram_join.join(spark.range(2).withColumnRenamed("id", "doc_id")).count()
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i % 70_001}x{i % 13}" for i in range(150_000)]
+    near = [f"edit{i}" if i % 400 == 7 else w for i, w in enumerate(words)]
+    rows = [(9001, " ".join(words), None, None, None), (9002, " ".join(near), None, None, None), (9003, "y" * 2_000_000, None, None, None), (9004, "y" * 2_000_000, None, None, None), (9005, "short", None, None, None)]
+    assert got(ngram_join.join(frame(spark, rows))) == brute(rows)
+
+
+def test_a_batch_that_came_in_another_order_raises():
+    import pandas as pd
+
+    def rows(texts):
+        sent = ngram_join._texts_batch(1, list(range(len(texts))), texts, ngram_join._WordHashes(), 2).to_pandas()
+        return sent[sent["kind"] == ngram_join.DOCS], sent[sent["kind"] == ngram_join.REQUEST]
+
+    texts = ["a b c d e f g", "one two three four five six", "a b c d e f g"]
+    mine, asked = rows(texts)
+    answers = pd.concat([ngram_join._count(g) for _, g in asked.groupby("fragment")])
+    assert sorted(ngram_join._collect(pd.concat([mine, answers]))["doc_id"]) == [0, 2]
+    with pytest.raises(ValueError, match="another order"):
+        ngram_join._collect(pd.concat([rows(texts[::-1][1:] + texts[:1])[0], answers]))
