@@ -123,3 +123,44 @@ def test_longest_matches(spark):
     got = {tuple(r) for r in phrases.longest_matches(rows, ["k"], "tokens", table).collect()}
     assert got == want | {(998, 1, 2, "A B")}
     assert phrases.longest_matches(rows, ["k"], "tokens", table.limit(0)).count() == 0
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
+        row = now
+    return row[-1]
+
+
+def test_fuzzy_index_loses_nothing(spark, monkeypatch):
+    """Against all pairs: short words of few letters, where much is alike, and long ones, which meet by character pairs."""
+    import random
+
+    from cartulary.functions import similarity
+
+    monkeypatch.setattr(similarity, "SMALL", 0)
+    rng = random.Random(1)
+    word = lambda low, high, letters: "".join(rng.choice(letters) for _ in range(rng.randrange(low, high)))
+    known = sorted({word(1, 12, "abcd") for _ in range(90)} | {word(18, 45, "abcdefgh") for _ in range(12)} | {"é🎉x", "é🎉"})
+
+    def edited(w):
+        for _ in range(rng.randrange(1 + len(w) // 4)):
+            i = rng.randrange(len(w) + 1)
+            w = w[:i] + rng.choice("abcde") + w[i + rng.randrange(2) :]
+        return w or "a"
+
+    asked = sorted({word(1, 12, "abcd") for _ in range(40)} | {edited(w) for w in known})
+    d, q = spark.createDataFrame([(w, len(w)) for w in [*known, ""]], "word string, size int"), spark.createDataFrame([(w,) for w in [*asked, None, ""]], "q string")
+    ratio = {True: lambda a, b: 200.0 * similarity.lcs_length(a, b) / (len(a) + len(b)), False: lambda a, b: 100.0 * (1 - _distance(a, b) / max(len(a), len(b)))}
+    for exact, cutoff in ((True, 60.0), (True, 80.0), (False, 60.0), (False, 75.0), (True, 85.0)):
+        want = {}
+        for a in asked:
+            low, b = min((-ratio[exact](a, b), b) for b in known)
+            if -low >= cutoff:
+                want[a] = (b, round(-low, 6), len(b))
+        assert {r.q: (r.word, round(r.ratio, 6), r.size) for r in similarity.best_match(q, "q", d, cutoff, exact).collect()} == want
+    # the index leaves few of all pairs
+    assert similarity.candidates(q, "q", d, 85.0).count() * 10 < len(asked) * len(known)
