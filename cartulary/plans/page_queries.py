@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from cartulary.functions import places, text
-from cartulary.operators import extract, names, spatial
+from cartulary.operators import extract, lines, names, spatial
 from cartulary.plans.registry import query, table
+from cartulary.plans.store_queries import VALID_SQL
 
 #: Orders whose lines make one page.
 ORDERS = 3
@@ -74,6 +75,15 @@ def page_names(spark: SparkSession, d: str) -> DataFrame:
     return names.page_names(_name_lines(spark, d)).select("document_id", *_spread("surnames"), *_spread("given_names"))
 
 
+@query(
+    rf"""WITH {NAME_LINES_SQL}, {VALID_SQL}, w AS (SELECT *, lag(valid) OVER o AS before_, first(valid IGNORE NULLS) OVER (o ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS after_ FROM v WINDOW o AS (PARTITION BY d ORDER BY line_index))
+    SELECT d AS document_id, list(coalesce(before_, after_) ORDER BY line_index)[1] AS value FROM w WHERE regexp_matches(upper(text), '\bSURNAMES\b') GROUP BY d"""
+)
+def label_names(spark: SparkSession, d: str) -> DataFrame:
+    """The name before a page's first label, or the first one after it."""
+    return lines.names_by_position(_name_lines(spark, d), "SURNAMES").select("document_id", "value")
+
+
 #: What stands on the lines of a derived page, by turns; NAME, ID and DAY come from the order line.
 PALETTE = (
     "SURNAMES", "GIVEN NAMES", "NUMBER ID", "DOTTED", "SLASHES", "NAMED", "M", "SEX F", "DATE OF BIRTH", "PLACE OF ISSUE", "RIVERA (ORIENTE)", "MACHINE", "ROE<<ANA<MARIA", "A-1-2-M-00ID-2",
