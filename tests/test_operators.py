@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cartulary import schemas
+from cartulary import schemas, session
 from cartulary.operators import classify, lines, merge, pairing, reconcile, scoring, spatial, views
 from cartulary.sources import layout, tabular
 from cartulary.streaming.upsert import latest_version, start_upserts
@@ -194,16 +194,16 @@ def test_pairing(spark):
 
 def in_turn(pages):
     """The greedy choice of one document, front by front, each against all pages left: [(front, other)]."""
-    left = {n: (side, number) for n, side, number in pages}
+    left = {n: (side, number, kind) for n, side, number, kind in pages}
     out = []
-    for n, side, number in sorted(pages):
+    for n, side, number, kind in sorted(pages, key=lambda p: p[0]):
         if "FRONT" not in side:
             continue
         options = []
-        for o, (s, i) in left.items():
+        for o, (s, i, t) in left.items():
             gap = o - n
             known = bool(number and i)
-            points = 0.10 if known and number != i else min(0.99, 0.5 * known + 0.25 + (0.15 if gap == 1 else max(0.05, 0.15 - gap * 0.02) if gap > 1 else 0) + 0.1 * (abs(gap) <= 2))
+            points = 0.10 if known and number != i else min(0.99, 0.5 * known + 0.25 * (t == kind) + (0.15 if gap == 1 else max(0.05, 0.15 - gap * 0.02) if gap > 1 else 0) + 0.1 * (abs(gap) <= 2))
             more = min(0.99, points + 0.25) if abs(gap) == 1 else points
             if "BACK" in s and gap == 1 and points >= 0.2:
                 options.append((1, 0, o))
@@ -217,13 +217,36 @@ def in_turn(pages):
     return out
 
 
-def test_rounds_equal_the_choice_in_turn(spark):
-    rng = random.Random(4)
-    docs = {f"d{k}": [(n, rng.choice(["FRONT", "BACK", "FRONT", "BACK", "UNKNOWN"]), rng.choice([None, None, "1", "2"])) for n in range(1, rng.randint(2, 25))] for k in range(60)}
-    rows = [(d, n, s, "A", 0.9, i) for d, pages in docs.items() for n, s, i in pages]
-    got = {(r.k, r.front): r.other for r in pairing.settle(pairing.wishes(pairing._pages(spark.createDataFrame(rows, PAGES), "document_id"))).collect()}
-    want = {(d, f): o for d, pages in docs.items() for f, o in in_turn(pages) if o is not None}
-    assert got == want
+@pytest.mark.parametrize("block", [pairing.BLOCK, 5, 2])
+def test_blocks_equal_the_choice_in_turn(spark, block):
+    rng = random.Random(block)
+    sides, numbers = ["FRONT", "BACK", "FRONT", "BACK", "UNKNOWN"], [None, None, "1", "2"]
+    docs = {f"d{k}": [(n, rng.choice(sides), rng.choice(numbers), rng.choice("AAB" if k % 2 else "A")) for n in range(1, rng.randint(2, 30))] for k in range(60)}
+    docs["one"] = [(n, rng.choice(sides[:2]), "1", rng.choice(["A", "B", None])) for n in range(-3, 40)]
+    docs["chain"] = [(n, "FRONT" if n % 4 < 2 else "BACK", None, "A") for n in range(40)]
+    rows = [(d, n, s, t, 0.9, i) for d, pages in docs.items() for n, s, i, t in pages]
+    held = pairing._pages(spark.createDataFrame(rows, PAGES), "document_id")
+    got = {(r.k, r.front): r.other for r in pairing.settle(held, block).collect()}
+    assert got == {(d, f): o for d, pages in docs.items() for f, o in in_turn(pages) if o is not None}
+
+
+@pytest.mark.parametrize("sides", ["FB", "BF", "F B"])
+def test_many_pages_of_one_number(spark, sides, monkeypatch):
+    """1,000 fronts and backs of one number in one round: fronts first, backs first, by turns."""
+    side = {"FB": lambda n: "FRONT" if n < 1000 else "BACK", "BF": lambda n: "BACK" if n < 1000 else "FRONT", "F B": lambda n: ("FRONT", "BACK")[n % 2]}[sides]
+    pages = [(n, side(n), "7", "A" if n % 3 else "B") for n in range(2000)]
+    cuts = []
+    monkeypatch.setattr(pairing, "cut", lambda df: cuts.append(1) or session.cut(df))
+    got = pairing.settle(pairing._pages(spark.createDataFrame([("d", n, s, t, 0.9, i) for n, s, i, t in pages], PAGES), "document_id"))
+    assert {(r.front, r.other) for r in got.collect()} == {x for x in in_turn(pages) if x[1] is not None} and len(cuts) == 1
+
+
+def test_points_are_the_association(spark):
+    ids, gaps = [None, "1", "2"], [g for g in range(-4, 9) if g]
+    rows = [(a, b, s, t, g) for a in ids for b in ids for s in ("A", None) for t in ("A", "B", None) for g in gaps]
+    df = spark.createDataFrame(rows, "a string, b string, s string, t string, g int")
+    for r in df.select("*", pairing.association(F.col("a"), F.col("b"), F.col("s"), F.col("t"), F.col("g")).alias("want")).collect():
+        assert pairing.points((10, "FRONT", r.a, r.s), (10 + r.g, "BACK", r.b, r.t)) == r.want
 
 
 def test_all_pages_are_grouped_once(spark):
