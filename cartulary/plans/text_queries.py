@@ -188,12 +188,12 @@ def next_turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("conv_id", F.col("turn_a").alias("turn"), score.alias("score"))
 
 
-PAGE_PAIRING_SQL = """WITH RECURSIVE p AS (SELECT conv_id AS d, turn::INT AS page, min(CASE role WHEN 'user' THEN 'FRONT' WHEN 'assistant' THEN 'BACK' ELSE 'UNKNOWN' END) AS role,
+PAGE_PAIRING_SQL = """WITH RECURSIVE p AS (SELECT conv_id AS d, turn::INT AS page, min(CASE role WHEN 'user' THEN 'FRONT' WHEN 'assistant' THEN 'BACK' ELSE CASE WHEN conv_id % 2 = 0 THEN 'BOTH' ELSE 'UNKNOWN' END END) AS role, CASE WHEN turn % 5 = 3 THEN 'TYPE_B' ELSE 'TYPE_A' END AS t,
     CASE WHEN turn % 4 < 2 THEN '10000' || (conv_id % 1000)::VARCHAR || (turn // 4)::VARCHAR END AS id FROM conversations GROUP BY conv_id, turn),
   fr AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY page) AS k FROM p WHERE role = 'FRONT'),
-  s AS (SELECT f.d, f.k, f.page AS front, o.page AS other, o.role, o.page - f.page AS gap, CASE WHEN f.id <> o.id THEN 0.10::DOUBLE ELSE least(0.99::DOUBLE, CASE WHEN f.id = o.id THEN 0.5::DOUBLE ELSE 0 END + 0.25::DOUBLE
+  s AS (SELECT f.d, f.k, f.page AS front, o.page AS other, o.role, o.page - f.page AS gap, CASE WHEN f.id <> o.id THEN 0.10::DOUBLE ELSE least(0.99::DOUBLE, CASE WHEN f.id = o.id THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN f.t = o.t THEN 0.25::DOUBLE ELSE 0 END
     + CASE WHEN o.page - f.page = 1 THEN 0.15::DOUBLE WHEN o.page > f.page THEN greatest(0.05::DOUBLE, 0.15::DOUBLE - (o.page - f.page) * 0.02::DOUBLE) ELSE 0 END + CASE WHEN abs(o.page - f.page) <= 2 THEN 0.10::DOUBLE ELSE 0 END) END AS s
-    FROM fr f JOIN p o ON f.d = o.d AND o.role <> 'FRONT'),
+    FROM fr f JOIN p o ON f.d = o.d AND o.role IN ('BACK', 'UNKNOWN')),
   e AS (SELECT *, CASE WHEN role = 'BACK' AND gap = 1 AND s >= 0.2 THEN 1 WHEN role = 'UNKNOWN' AND gap = 1 THEN 2 WHEN role = 'BACK' THEN 3 END AS tier, CASE WHEN abs(gap) = 1 THEN least(0.99::DOUBLE, s + 0.25::DOUBLE) ELSE s END AS more FROM s),
   opts AS (SELECT fr.d, fr.k, list({'other': other, 'tier': tier, 'c': CASE tier WHEN 1 THEN least(0.99::DOUBLE, greatest(0.85::DOUBLE, s + 0.3::DOUBLE)) WHEN 2 THEN 0.75 ELSE more END} ORDER BY tier, CASE WHEN tier = 3 THEN -more ELSE 0 END, other)
     FILTER (tier IS NOT NULL AND (tier < 3 OR more >= 0.35)) AS o FROM fr LEFT JOIN e ON e.d = fr.d AND e.k = fr.k GROUP BY fr.d, fr.k),
@@ -206,19 +206,21 @@ PAGE_PAIRING_SQL = """WITH RECURSIVE p AS (SELECT conv_id AS d, turn::INT AS pag
   b2 AS (SELECT * FROM b1 WHERE NOT EXISTS (SELECT 1 FROM f2 WHERE f2.d = b1.d AND f2.only_ = b1.page)),
   f3 AS (SELECT f2.*, CASE WHEN got IS NULL AND only_ IS NULL AND f2.id IS NOT NULL AND f2.page = firstp THEN (SELECT min(page) FROM b2 WHERE b2.d = f2.d AND b2.id = f2.id) END AS late FROM f2),
   b3 AS (SELECT * FROM b2 WHERE NOT EXISTS (SELECT 1 FROM f3 WHERE f3.d = b2.d AND f3.late = b2.page)),
-  g AS (SELECT d, 1 AS cls, page AS pos, page AS front_page, coalesce(got."other", only_, late) AS back_page, NULL::INT AS o, id, 'TYPE_A' AS doc_type, CASE WHEN only_ IS NOT NULL THEN 0.9 ELSE coalesce(got.c, 0.9) END AS confidence,
+  g AS (SELECT d, 0 AS cls, page AS pos, page AS front_page, page AS back_page, NULL::INT AS o, id, t AS doc_type, 0.99 AS confidence, CASE WHEN id IS NULL THEN 'REVIEW_REQUIRED' ELSE 'VALID' END AS status FROM p WHERE role = 'BOTH'
+    UNION ALL SELECT d, 1 AS cls, page AS pos, page AS front_page, coalesce(got."other", only_, late) AS back_page, NULL::INT AS o, id, t AS doc_type, CASE WHEN only_ IS NOT NULL THEN 0.9 ELSE coalesce(got.c, 0.9) END AS confidence,
       CASE WHEN id IS NOT NULL AND page > firstp THEN 'DUPLICATE_REVIEW_REQUIRED' WHEN got IS NOT NULL OR id IS NOT NULL THEN 'VALID' ELSE 'REVIEW_REQUIRED' END AS status FROM f3
-    UNION ALL SELECT d, 2, page, NULL, page, NULL, id, 'TYPE_A', 0.7, 'REVIEW_REQUIRED' FROM b3
+    UNION ALL SELECT d, 2, page, NULL, page, NULL, id, t, 0.7, 'REVIEW_REQUIRED' FROM b3
     UNION ALL SELECT d, 3, page, NULL, NULL, page, NULL, 'UNKNOWN', 0.3, 'REVIEW_REQUIRED' FROM p ANTI JOIN taken USING (d, page) WHERE role = 'UNKNOWN')
 SELECT d AS document_id, 'DOC-' || lpad((row_number() OVER (PARTITION BY d ORDER BY cls, pos))::VARCHAR, 3, '0') AS group_id, array_to_string(list_sort(list_filter([front_page, back_page, o], lambda x: x IS NOT NULL)), ',') AS pages, front_page, back_page, id AS id_number, doc_type, round(confidence, 2)::DOUBLE AS confidence, status FROM g"""
 
 
 @query(PAGE_PAIRING_SQL)
 def page_pairing(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as documents, turns as pages, roles as sides."""
-    side = F.when(F.col("role") == "user", "FRONT").when(F.col("role") == "assistant", "BACK").otherwise("UNKNOWN")
+    """Conversations as documents, turns as pages of two types, roles as sides; pages of other roles bear both sides in every other document."""
+    side = F.when(F.col("role") == "user", "FRONT").when(F.col("role") == "assistant", "BACK").when(F.col("conv_id") % 2 == 0, "BOTH").otherwise("UNKNOWN")
+    kind = F.when(F.col("turn") % 5 == 3, "TYPE_B").otherwise("TYPE_A")
     number = F.when(F.col("turn") % 4 < 2, F.concat(F.lit("10000"), (F.col("conv_id") % 1000).cast("string"), (F.col("turn") / 4).cast("int").cast("string")))
-    pages = table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").cast("int").alias("page_number"), side.alias("side"), F.lit("TYPE_A").alias("doc_type"), F.lit(0.9).alias("confidence"), number.alias("id_number"))
+    pages = table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").cast("int").alias("page_number"), side.alias("side"), kind.alias("doc_type"), F.lit(0.9).alias("confidence"), number.alias("id_number"))
     return pairing.pair_pages(pages).withColumn("pages", F.array_join("pages", ",")).drop("reasons")
 
 
