@@ -23,11 +23,16 @@ def equal_if_truthy(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return equal_if_given(df, {c: v or None for c, v in values.items()})
 
 
+def escaped_pattern(query: str) -> str:
+    """A pattern that finds the query as it stands."""
+    return query.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+
+
 def search(df: DataFrame, query: str | None, columns: Sequence[str], escaped: bool = False) -> DataFrame:
     """Rows with the query, in any case, in one of the columns; % and _ are wildcards unless escaped."""
     if not query:
         return df
-    text = query.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") if escaped else query
+    text = escaped_pattern(query) if escaped else query
     return df.where(reduce(lambda a, b: a | b, [F.col(c).cast("string").ilike(f"%{text}%") for c in columns]))
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from cartulary.functions import codes, dates, ids, text
-from cartulary.operators import lines, spatial, views
+from cartulary.operators import lines, spatial, trigrams, views
 from cartulary.plans.registry import query, table
+from cartulary.session import shared_path
+from cartulary.sources import workbook
 
 STOP_SQL = ", ".join(f"'{w}'" for w in text.NAME_STOP_WORDS)
 LINES_SQL = """l AS (SELECT doc_id, i - 1 AS line_index, ls[i] AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i) WHERE trim(ls[i], ' ') <> '')"""
@@ -149,3 +151,23 @@ def record_updates(spark: SparkSession, d: str) -> DataFrame:
 def active_user(spark: SparkSession, d: str) -> DataFrame:
     users = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.col("c_name").alias("email"), (F.col("c_acctbal") > 0).alias("active"))
     return views.active_user(users, "CUSTOMER#000000007").select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT c_mktsegment AS sheet, c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
+def workbook_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as workbooks of a sheet a segment, read again from their cells."""
+    path = shared_path(spark, "workbooks") + "/customers"
+    workbook.write_workbooks(table(spark, d, "customer").select("c_mktsegment", "c_custkey", "c_name", "c_nationkey", "c_acctbal"), path, kind="c_mktsegment", workbooks=8)
+    types = ("bigint", "string", "int", "double")
+    cells = [F.get("cells", F.lit(i)).cast(t).alias(c) for i, (c, t) in enumerate(zip(("c_custkey", "c_name", "c_nationkey", "c_acctbal"), types, strict=True))]
+    return workbook.workbook_rows(spark, path).where("row > 1").select("sheet", *cells)
+
+
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_name ILIKE '%d wid_et%' OR p_type ILIKE '%d wid_et%' UNION ALL SELECT p_partkey, p_name, p_type FROM part WHERE p_name ILIKE '%ALL%GIZ_O%' OR p_type ILIKE '%ALL%GIZ_O%'")
+def search_trigrams(spark: SparkSession, d: str) -> DataFrame:
+    """Parts by two patterns, through an index of the trigrams of their names and types."""
+    parts, columns = table(spark, d, "part"), ["p_name", "p_type"]
+    path = shared_path(spark, "trigrams") + "/parts"
+    trigrams.write_index(parts, "p_partkey", columns, path)
+    found = [trigrams.search(parts, "p_partkey", columns, path, q).select("p_partkey", "p_name", "p_type") for q in ("d wid_et", "ALL%GIZ_O")]
+    return found[0].unionByName(found[1])
