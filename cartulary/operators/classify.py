@@ -15,12 +15,19 @@ NUMBER = r"(NUMBER|DOCUMENT)\s*[.:]*\s*[1-9][0-9.\s]{5,12}"
 FRONT = ("NATIONAL REGISTER", "SURNAMES", "GIVEN NAMES")
 BACK = ("DATE OF BIRTH", "PLACE OF BIRTH")
 STRONG_BACK = ("REGISTRAR", "PLACE OF ISSUE", "I<XXX")
+#: Fixed value: Unicode's space separators.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def _hits(text: Column, patterns: Sequence[str], weight: int = 1) -> Column:
     return reduce(lambda a, b: a + b, [F.when(text.rlike(p), weight).otherwise(0) for p in patterns], F.lit(0))
 
 
+def _size(text: Column) -> Column:
+    """Characters of a text as it is written, but for outer spaces of any width: in upper case ß would count as two."""
+    return F.length(F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES)))
+
+
 def _result(kind: str, name: str, confidence: Column, review: Column | None = None) -> Column:
     parts = [F.lit(kind).alias(name), F.round(confidence, 2).alias("confidence")]
     return F.struct(*parts, *([review.alias("review")] if review is not None else []))
@@ -34,7 +41,7 @@ def document_type(text: Column, type_a: Sequence[str] = TYPE_A, type_b: Sequence
     b = _hits(body, type_b, 3)
     one = lambda kind, c, review: _result(kind, "doc_type", c, F.lit(review))
     return (
-        F.when(F.length(F.trim(body)) < 15, one("NO_DOCUMENT", F.lit(0.0), True))
+        F.when(_size(text) < 15, one("NO_DOCUMENT", F.lit(0.0), True))
         .when(b >= 3, one("TYPE_B", F.least(F.lit(0.98), 0.70 + b * 0.08), False))
         .when(a >= 4, one("TYPE_A", F.least(F.lit(0.99), 0.65 + a * 0.06), False))
         .when((a >= 2) | (found >= 2), one("UNKNOWN", F.lit(0.50), True))
@@ -52,7 +59,7 @@ def page_side(text: Column, front: Sequence[str] = FRONT, back: Sequence[str] =
     top = F.greatest(f, r, fb, rb)
     one = lambda side, c: _result(side, "side", c)
     return (
-        F.when(F.length(F.trim(body)) < 10, one("UNKNOWN", F.lit(0.0)))
+        F.when(_size(text) < 10, one("UNKNOWN", F.lit(0.0)))
         .when((f >= 2) & (r >= 2), one("BOTH", F.lit(0.99)))
         .when(top < 2, one("UNKNOWN", F.lit(0.30)))
         .when((top == r) & (r > f), one("BACK", F.least(F.lit(0.99), 0.70 + r * 0.05)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cartulary import schemas, session
 from cartulary.operators import classify, lines, merge, pairing, reconcile, scoring, spatial, views
+from cartulary.plans import text_queries
 from cartulary.sources import layout, tabular
 from cartulary.streaming.upsert import latest_version, start_upserts
 
@@ -165,6 +166,18 @@ def test_classify(spark):
     assert one(classify.page_layout, "SURNAMES GIVEN NAMES")[0] == "FRONT" and one(classify.page_layout, "YOUTH CARD")[1] == "VALUE_BELOW_LABEL"
 
 
+def test_letters_count_as_written(spark):
+    """Upper case has two letters for ß; wide spaces around a text are spaces."""
+    rows = [("ß" * 14,), ("ß" * 15,), ("\u00a0" * 9 + "x" * 14 + "\u3000",), (" FRONT " + "ß" * 2,), (" FRONT " + "ß" * 5,)]
+    of = spark.createDataFrame(rows, "t string").select(classify.document_type(F.col("t")).alias("d"), classify.page_side(F.col("t"), front=["FRONT"]).alias("s")).collect()
+    assert [r.d.confidence for r in of[:3]] == [0.0, 0.1, 0.0] and [r.s.side for r in of[3:]] == ["UNKNOWN", "FRONT"]
+
+
+def test_doc_classify_of_null_texts(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: (r.doc_type, r.confidence) for r in text_queries.doc_classify(spark, str(tmp_path)).collect()} == {1: ("NO_DOCUMENT", 0.1), 2: ("NO_DOCUMENT", 0.0)}
+
+
 PAGES = "document_id string, page_number int, side string, doc_type string, confidence double, id_number string"
 
 
