@@ -110,8 +110,11 @@ def full_name(given: Column, surnames: Column) -> Column:
 
 
 def is_text_line(line: Column, stop_words: Sequence[str] = NAME_STOP_WORDS) -> Column:
-    """A line that can be a name: no digit, one to five words of two letters or more that are no label."""
-    words = F.filter(F.split(squeeze(F.upper(line)), " "), lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words))
+    """A line that can be a name: no digit, one to five words of two letters or more that are no label.
+
+    Letters count as written: a lone ß is one letter, though two in upper case.
+    """
+    words = F.filter(F.split(squeeze(line), " "), lambda w: (F.length(w) >= 2) & ~F.upper(w).isin(*stop_words))
     return ~line.rlike("[0-9]") & F.size(words).between(1, 5) & (F.length(F.trim(line)) >= 3)
 
 

@@ -173,6 +173,12 @@ def test_letters_count_as_written(spark):
     assert [r.d.confidence for r in of[:3]] == [0.0, 0.1, 0.0] and [r.s.side for r in of[3:]] == ["UNKNOWN", "FRONT"]
 
 
+def test_lone_sharp_s_is_no_word(spark):
+    rows = [("d", 1, i, t) for i, t in enumerate(["ß ß ß", "Ab ß cd ef gh ij", "ab ßa cd ef gh ij"])]
+    got = lines.previous_valid(spark.createDataFrame([*rows, ("d", 1, 3, "x")], "document_id string, page_number int, line_index int, text string"))
+    assert [r.previous_valid for r in got.orderBy("line_index").collect()] == [None, None, "Ab ß cd ef gh ij", None]
+
+
 def test_doc_classify_of_null_texts(spark, tmp_path):
     spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: (r.doc_type, r.confidence) for r in text_queries.doc_classify(spark, str(tmp_path)).collect()} == {1: ("NO_DOCUMENT", 0.1), 2: ("NO_DOCUMENT", 0.0)}
