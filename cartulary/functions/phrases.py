@@ -9,6 +9,7 @@ word doesn't bring all phrases that begin with it, and neither texts nor phrases
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+#: Words of a phrase that are compared while a text is read; longer phrases meet their texts again.
+AHEAD = 8
+
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
 def _greedy(starts: pd.Series, sizes: pd.Series) -> pd.Series:
@@ -39,15 +43,25 @@ def longest_matches(texts: DataFrame, keys: Sequence[str], tokens: str, phrases:
     are found: `texts` must be unique by keys.
     """
     rest = [c for c in phrases.columns if c != words]
-    known = phrases.where((F.size(words) > 0) & ~F.exists(words, lambda w: w.isNull())).select(F.col(words).alias("__words"), F.size(words).alias("n_words"), F.struct(*rest, F.lit(1).alias("__one")).alias("__of"))
-    longest = known.agg(F.max("n_words")).first()[0] or 0
-    ahead = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.struct((i - 1).alias("at"), F.slice(tokens, i, longest).alias("__ahead")))
-    places = texts.where(F.size(tokens) > 0).select(*keys, F.inline(ahead))
-    start = lambda c: F.concat_ws(" ", F.slice(c, 1, 2))
-    single = places.join(known.where("n_words = 1").withColumn("__word", F.get("__words", 0)), F.get("__ahead", 0) == F.col("__word"))
-    several = places.withColumn("__start", start("__ahead")).join(known.where("n_words > 1").withColumn("__start", start("__words")), "__start")
-    several = several.where(F.slice("__ahead", 1, F.col("n_words")) == F.col("__words"))
-    found = single.select(*keys, "at", "n_words", "__of").unionByName(several.select(*keys, "at", "n_words", "__of"))
+    known = phrases.where((F.size(words) > 0) & ~F.exists(words, lambda w: w.isNull())).select(F.col(words).alias("__words"), F.size(words).alias("__size"), F.struct(*rest, F.lit(1).alias("__one")).alias("__of"))
+    longest = known.agg(F.max("__size")).first()[0] or 0
+    ahead = [f"__t{i}" for i in range(max(2, min(longest, AHEAD)))]
+    # the words from each place on, side by side: a pass over the words that makes no array a place
+    shown = texts.select(*keys, *[F.slice(tokens, i, F.greatest(F.size(tokens), F.lit(0))).alias(t) for i, t in enumerate(ahead, 1)])
+    places = shown.select(*keys, F.posexplode(F.arrays_zip(*ahead)).alias("at", "__w")).select(*keys, "at", "__w.*")
+    single = known.where("__size = 1").groupBy(F.get("__words", 0).alias("__word")).agg(F.min("__of").alias("__single"))
+    several = known.where("__size > 1").select(F.get("__words", 0).alias("__first"), F.get("__words", 1).alias("__second"), "__words", "__size", "__of")
+    met = places.join(single, F.col("__t0") == F.col("__word"), "left").join(several, (F.col("__t0") == F.col("__first")) & (F.col("__t1") == F.col("__second")), "left")
+    met = met.where("__word IS NOT NULL OR __first IS NOT NULL")
+    same = F.coalesce(F.slice(F.array(*ahead), 1, F.least("__size", F.lit(len(ahead)))) == F.slice("__words", 1, len(ahead)), F.lit(False))
+    met = met.select(*keys, "at", "__single", "__size", "__of", "__words", same.alias("__same")).where("__same OR __single IS NOT NULL")
+    if longest > len(ahead):
+        # phrases that go on are held against the text itself
+        on = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
+        whole = texts.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col(tokens).alias("__tokens"))
+        rest_of = F.slice("__tokens", F.col("at") + 1, F.coalesce("__size", F.lit(1))) == F.col("__words")
+        met = met.join(whole, reduce(lambda x, y: x & y, on)).withColumn("__same", F.col("__same") & F.coalesce(rest_of, F.lit(False))).where("__same OR __single IS NOT NULL")
+    found = met.select(*keys, "at", F.when(F.col("__same"), F.col("__size")).otherwise(1).alias("n_words"), F.when(F.col("__same"), F.col("__of")).otherwise(F.col("__single")).alias("__of"))
     # dealt once; all that follows looks at one text in order
     found = found.repartition(*keys)
     best = F.row_number().over(W.Window.partitionBy(*keys, "at").orderBy(F.desc("n_words"), "__of"))
