@@ -107,7 +107,7 @@ _AT = r"list_position(list_transform(ls, lambda q: regexp_matches(upper(q), '{p}
 )
 def keyword_lines(spark: SparkSession, d: str) -> DataFrame:
     """Dates, sexes, places and names that stand near a keyword on a page's lines."""
-    rows = _indexed(spark, d).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = _indexed(spark, d)
     kind, day = (F.col("l_partkey") * 13 + F.col("l_suppkey") * 5) % KINDS, F.col("l_shipdate")
     mon, dd, yy = F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.month(day)), F.date_format(day, "dd"), F.date_format(day, "yyyy")
     made = {"DATED": F.concat(F.concat_ws("-", dd, mon, yy), F.lit(" RIVERA")), "SLASHES": F.date_format(day, "dd/MM/yyyy"), "COMPACT": F.concat_ws(" ", dd, mon, yy)}

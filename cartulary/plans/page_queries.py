@@ -22,10 +22,15 @@ NAME_LINES_SQL = f"""raw AS (SELECT l_orderkey // {ORDERS} AS d, (row_number() O
 
 
 def _indexed(spark: SparkSession, d: str) -> DataFrame:
-    """Order lines with the page that they are on and their place in it."""
-    page = F.floor(F.col("l_orderkey") / ORDERS)
-    order = W.Window.partitionBy(page).orderBy(*ORDER_SQL.split(", "))
-    return table(spark, d, "lineitem").withColumns({"document_id": page, "line_index": F.row_number().over(order) - 1})
+    """Order lines with their part, the page that they are on and their place in it.
+
+    Parts are joined before lines are numbered, and the page is a column before the window: rows are dealt by page
+    once, and what follows on pages needs no other shuffle. Lines without a part keep their numbers until they go.
+    """
+    part = table(spark, d, "part").select("p_partkey", "p_name")
+    rows = table(spark, d, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey"), "left").withColumn("document_id", F.floor(F.col("l_orderkey") / ORDERS))
+    order = W.Window.partitionBy("document_id").orderBy(*ORDER_SQL.split(", "))
+    return rows.withColumn("line_index", F.row_number().over(order) - 1).where("p_partkey IS NOT NULL")
 
 
 def _name_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +41,7 @@ def _name_lines(spark: SparkSession, d: str) -> DataFrame:
         .when(kind == 5, F.concat(F.lit("12."), (F.col("l_partkey") % 900 + 100).cast("string"), F.lit(".678"))).when(kind == 6, "NATIONAL REGISTER").when(kind == 7, F.concat(F.lit("de la "), name))
         .when(kind == 8, F.concat(name, F.lit(" 7"))).when(kind == 9, None).otherwise(name)
     )
-    rows = _indexed(spark, d).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = _indexed(spark, d)
     return rows.select("document_id", F.lit(1).alias("page_number"), "line_index", said.alias("text"), (((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 62) / 100.0).alias("y"))
 
 
@@ -119,7 +124,7 @@ def _kind(kind: Column) -> Column:
 def _record_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of records with labels and values of all kinds, anywhere on the page."""
     kind = (F.col("l_partkey") * 31 + F.col("l_suppkey") * 7 + F.col("line_index")) % KINDS
-    rows = _indexed(spark, d).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = _indexed(spark, d)
     x, y = (F.col("l_suppkey") % 7) / 10.0, ((F.col("l_suppkey") * 7 + F.col("l_partkey")) % 97) / 100.0
     return rows.select("document_id", F.lit(1).alias("page_number"), "line_index", _kind(kind).alias("text"), F.lit(0.9).alias("confidence"), x.alias("x"), y.alias("y"), F.lit(0.2).alias("w"), F.lit(0.02).alias("h"))
 

@@ -102,3 +102,19 @@ def test_zones_dates_and_sex(spark):
 def test_extraction_is_one_plan(spark):
     plan = extract.extract_fields(spark.createDataFrame(FRONT, SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_pages_are_dealt_once(spark, tmp_path):
+    """Names are read with one shuffle of lines by page, after the one that joins their parts."""
+    from cartulary.plans import page_queries
+
+    spark.range(60).selectExpr("id l_orderkey", "1 l_linenumber", "id % 7 l_partkey", "1L l_suppkey", "1D l_quantity", "1D l_extendedprice", "0D l_discount", "0D l_tax", "current_date() l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(6).selectExpr("id p_partkey", "concat('part ', id) p_name").write.parquet(f"{tmp_path}/part.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = page_queries.page_names(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        numbered = page_queries._indexed(spark, str(tmp_path)).select("l_orderkey", "line_index").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert sorted(map(tuple, numbered)) == [(k, k % 3) for k in range(60) if k % 7 < 6]
