@@ -125,6 +125,18 @@ def test_longest_matches(spark):
     assert phrases.longest_matches(rows, ["k"], "tokens", table.limit(0)).count() == 0
 
 
+def test_phrases_longer_than_what_is_read_ahead(spark):
+    """Phrases that differ in a late word only; no array of words is made for each place."""
+    from cartulary.functions import phrases
+
+    long = [list("ABCDEFGHIJ"), [*"ABCDEFGHI", "X"], list("ABCDEFGH"), ["A"]]
+    table = spark.createDataFrame([(w, i) for i, w in enumerate(long)], "words array<string>, i int")
+    texts = spark.createDataFrame([(1, list("ABCDEFGHIJ")), (2, list("ABCDEFGHIXA")), (3, list("ABCDEFGHI")), (None, list("ZABCDEFGHIJ")), (4, list("AA"))], "k int, tokens array<string>")
+    found = phrases.longest_matches(texts, ["k"], "tokens", table)
+    assert {tuple(r) for r in found.collect()} == {(1, 0, 10, 0), (2, 0, 10, 1), (2, 10, 1, 3), (3, 0, 8, 2), (None, 1, 10, 0), (4, 0, 1, 3), (4, 1, 1, 3)}
+    assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
