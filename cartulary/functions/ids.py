@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cartulary.functions.text import repair_digits
+from cartulary.functions.text import once, repair_digits
 
 
 def check_id(value: Column) -> Column:
@@ -25,7 +25,8 @@ def check_id(value: Column) -> Column:
 
 def valid_id(value: Column) -> Column:
     """The clean document number, or null."""
-    return check_id(value)["value"]
+    clean = F.regexp_replace(F.trim(value), "[ .,-]", "")
+    return once(clean, lambda c: F.when(c.rlike("^[0-9]+$") & ~c.startswith("0") & F.length(c).between(7, 10), c))
 
 
 def request_id(value: Column) -> Column:
@@ -75,11 +76,15 @@ def mrz_fields(text: Column, country: str = "XXX", pivot: int = 25, keep_sex: bo
     Years up to the pivot are of this century. Page text uses pivot 25 and drops the sex; lines with a layout use
     pivot 30 and keep it: two rules that disagree, both kept.
     """
+    return once(text, lambda t: _machine(t, country, pivot, keep_sex))
+
+
+def _machine(text: Column, country: str, pivot: int, keep_sex: bool) -> Column:
     dates = r"([0-9]{2})([0-9]{2})([0-9]{2})[0-9]([MF])[0-9]{6}"
     part = lambda i: F.regexp_extract(text, dates, i)
     century = F.when(part(1).try_cast("int") <= pivot, "20").otherwise("19")
     born = F.try_to_date(F.nullif(F.concat(century, part(1), F.lit("-"), part(2), F.lit("-"), part(3)), F.lit("19--")), "yyyy-MM-dd")
     names = r"([A-Z]+(?:<[A-Z]+)*)<<([A-Z]+(?:<[A-Z]+)*)"
-    name = lambda i: F.nullif(F.translate(F.regexp_extract(text, names, i), "<", " "), F.lit(""))
+    name = lambda i: F.when(text.contains("<<"), F.nullif(F.translate(F.regexp_extract(text, names, i), "<", " "), F.lit("")))
     sex = F.nullif(part(4), F.lit("")) if keep_sex else F.lit(None).cast("string")
     return F.struct(born.alias("birth_date"), valid_id(F.regexp_extract(text, rf"{country}([0-9]{{7,10}})", 1)).alias("id"), name(1).alias("surnames"), name(2).alias("given"), sex.alias("sex"))

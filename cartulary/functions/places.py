@@ -114,5 +114,5 @@ def extract_places(lines: DataFrame, places: DataFrame, keys: Sequence[str] = ("
 def place_in_parentheses(lines: Column) -> Column:
     """The first "NAME (REGION)" of any line, as struct<name, region>."""
     pattern = rf"([{LETTERS} ]{{3,30}}?)\s*\(\s*([{LETTERS} ]{{3,30}}?)\s*\)"
-    found = F.filter(F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, pattern, 1)).alias("name"), F.trim(F.regexp_extract(x, pattern, 2)).alias("region"))), lambda s: s["name"] != "")
+    found = F.filter(F.transform(F.filter(lines, lambda x: x.contains("(")), lambda x: F.struct(F.trim(F.regexp_extract(x, pattern, 1)).alias("name"), F.trim(F.regexp_extract(x, pattern, 2)).alias("region"))), lambda s: s["name"] != "")
     return F.get(found, 0)

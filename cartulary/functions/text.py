@@ -53,7 +53,7 @@ def without_accents(value: Column) -> Column:
     return F.translate(F.upper(value), ACCENTED, PLAIN)
 
 
-def _once(value: Column, rule: Callable[[Column], Column]) -> Column:
+def once(value: Column, rule: Callable[[Column], Column]) -> Column:
     """rule(value), where value is worked out once however often the rule names it: in an array of one."""
     return F.transform(F.array(value), rule)[0]
 
@@ -75,14 +75,14 @@ def person_name(value: Column, stop_words: Sequence[str] = NAME_STOP_WORDS) -> C
     letters = F.upper(F.regexp_replace(repair_name(value), rf"[^{LETTERS}\s\-]", ""))
     stop = rf"^({'|'.join(stop_words)})(?![{LETTERS}0-9_])"
     words = F.filter(F.split(squeeze(letters), " "), lambda w: (F.length(w) > 1) & ~w.rlike(stop))
-    return _once(F.array_join(F.slice(words, 1, 5), " "), lambda name: F.when((F.length(name) >= 3) & ~name.isin(*PARTICLES), name))
+    return once(F.array_join(F.slice(words, 1, 5), " "), lambda name: F.when((F.length(name) >= 3) & ~name.isin(*PARTICLES), name))
 
 
 def label_name(value: Column, stop_words: Sequence[str] = NAME_STOP_WORDS) -> Column:
     """A name read next to a label: ! and 1 as I, words of two letters or more that are no header, then person_name."""
     letters = F.regexp_replace(F.upper(F.translate(value, "!1", "II")), rf"[^{LETTERS}\s]", "")
     words = F.filter(F.split(squeeze(letters), " "), lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words, *PARTICLES))
-    return _once(F.array_join(words, " "), lambda joined: F.when(F.length(joined) >= 3, person_name(joined, stop_words)))
+    return once(F.array_join(words, " "), lambda joined: F.when(F.length(joined) >= 3, person_name(joined, stop_words)))
 
 
 #: Characters that recognition takes for digits, and the digits; the last one, a space, has none and goes.

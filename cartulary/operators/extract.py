@@ -18,7 +18,7 @@ from pyspark.sql import window as W
 from cartulary.functions import dates, ids
 from cartulary.functions.codes import sex_code
 from cartulary.functions.places import place_in_parentheses, place_name
-from cartulary.functions.text import PLACE_STOP_WORDS, label_name
+from cartulary.functions.text import PLACE_STOP_WORDS, label_name, once
 from cartulary.operators import merge, names, spatial
 from cartulary.operators.lines import sex_near
 
@@ -32,7 +32,7 @@ TOP, BODY, SEX_Y, SEX_X = 0.35, 0.28, 0.20, 0.45
 
 def typed(field: Column, text: Column, region_words: Sequence[str] = PLACE_STOP_WORDS) -> Column:
     """A candidate's text as its field's value; null if it can't be one."""
-    date = F.date_format(dates.plausible(dates.parse_date(text)), "yyyy-MM-dd")
+    date = F.date_format(once(dates.parse_date(text), lambda d: dates.plausible(d)), "yyyy-MM-dd")
     return (
         F.when(field == "id_number", ids.valid_id(text))
         .when(field.isin("birth_date", "issue_date"), date)
@@ -50,20 +50,22 @@ def ranked_fields(lines: DataFrame, labels: Mapping[str, Sequence[str]] = spatia
     whose best candidate is VALID have a row.
     """
     found = spatial.find_labels(lines, labels).withColumn("label_lines", F.collect_set("label_index").over(W.Window.partitionBy(*PAGE)))
+    found = spatial.with_regions(found)
     if wanted is not None:
         # two labels of names shape the regions of all, so fields leave after the regions are known
-        wanted = wanted.select(*PAGE, "field")
-    pairs = spatial.candidates(lines, found).where(~F.array_contains("label_lines", F.col("line_index")))
+        found = found.join(wanted.select(*PAGE, "field"), [*PAGE, "field"], "left_semi")
     patterns = F.create_map(*[F.lit(x) for f, p in labels.items() for x in (f, "|".join(sorted(p, key=len, reverse=True)))])
     rest = F.trim(F.regexp_replace(F.col("label_text"), F.concat(F.lit("^.*?("), patterns[F.col("field")], F.lit(")[ :.]*")), F.lit("")))
-    own = found.join(lines.select(*PAGE, F.col("line_index").alias("label_index"), "confidence"), [*PAGE, "label_index"])
     shifted = F.struct((F.col("label.x") + F.col("label.w") * 0.3).alias("x"), F.col("label.y").alias("y"), F.col("label.w").alias("w"), F.col("label.h").alias("h"))
-    same = own.withColumns({"line_index": F.col("label_index"), "text": rest, "candidate": shifted}).where("text <> ''")
-    same = same.withColumn("r", spatial.relation(F.col("label"), F.col("candidate"))).select("*", "r.relation", F.col("r.score").alias("spatial")).drop("r")
-    all_pairs = pairs.drop("region").unionByName(same).drop("label_lines")
-    if wanted is not None:
-        all_pairs = all_pairs.join(wanted, [*PAGE, "field"], "left_semi")
-    fit = all_pairs.withColumn("value", typed(F.col("field"), F.col("text"))).where(F.col("value").isNotNull())
+    # each label meets each line of its page once: its own as what follows it, in no region, others but lines of labels
+    own = F.col("line_index") == F.col("label_index")
+    others = lines.select(*PAGE, "line_index", "text", "confidence", spatial.box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("candidate"))
+    met = found.join(others, PAGE).where(own | ~F.array_contains("label_lines", F.col("line_index")))
+    met = met.withColumns({"region": F.when(~own, F.col("region")), "candidate": F.when(own, shifted).otherwise(F.col("candidate"))})
+    met = met.withColumn("r", spatial.relation(F.col("label"), F.col("candidate"), F.col("region"))).where(F.col("r.relation").isin(*spatial.COMPATIBLE))
+    said = met.select(*PAGE, "field", "line_index", "confidence", "r.relation", F.col("r.score").alias("spatial"), F.when(own, rest).otherwise(F.col("text")).alias("text"), own.alias("own")).where("NOT own OR text <> ''")
+    # values are made of lines that stand in their place, once each: Spark moves no filter below a generator
+    fit = said.select("*", F.explode_outer(F.array(typed(F.col("field"), F.col("text")))).alias("value")).where(F.col("value").isNotNull()).drop("text", "own")
     best = spatial.exclusive(fit, [f for f in RANKED if f in labels], valid_only=True)
     return best.select(*PAGE, "field", "value", F.col("score").alias("confidence"), "status", F.lit("spatial").alias("source"))
 
@@ -80,7 +82,8 @@ def _top_id(ls: Column) -> Column:
 
 def _page_dates(ls: Column) -> Column:
     """The distinct plausible dates of all lines, in order; of a line whose month can't be read, a day in January."""
-    each = F.flatten(F.transform(ls, lambda x: F.array_append(dates.dates_of(x["text"]), dates.rescued_month(F.trim(x["text"])))))
+    # a date has a year of four digits
+    each = F.flatten(F.transform(F.filter(ls, lambda x: x["text"].rlike("[0-9]{4}")), lambda x: F.array_append(dates.dates_of(x["text"]), dates.rescued_month(F.trim(x["text"])))))
     return F.array_sort(F.array_distinct(F.filter(F.transform(each, lambda d: dates.plausible(d)), lambda d: d.isNotNull())))
 
 
@@ -89,7 +92,7 @@ def _placed_sex(ls: Column) -> Column:
     after = lambda t: F.nullif(F.regexp_extract(t, r"\b(?:1\.\d{2}|[ABO][+-])\s+([MF])\b", 1), F.lit(""))
     of = lambda x, t: F.coalesce(F.when(t.isin("M", "F") & (x["y"] > SEX_Y) & (x["x"] > SEX_X), t), after(t))
     hits = F.filter(F.transform(ls, lambda x: of(x, F.upper(F.trim(x["text"])))), lambda v: v.isNotNull())
-    return F.get(hits, F.size(hits) - 1)
+    return once(hits, lambda h: F.get(h, F.size(h) - 1))
 
 
 def page_blocks(lines: DataFrame, country: str = "XXX", confidence: float = 0.95, **labels) -> DataFrame:
@@ -99,8 +102,8 @@ def page_blocks(lines: DataFrame, country: str = "XXX", confidence: float = 0.95
     """
     line = F.struct("line_index", F.coalesce("text", F.lit("")).alias("text"), "y", "x")
     pages = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(line)).alias("ls"))
-    texts = F.transform("ls", lambda x: x["text"])
-    joined = F.array_join(texts, "\n")
+    pages = pages.withColumn("texts", F.transform("ls", lambda x: x["text"])).withColumn("joined", F.array_join("texts", "\n"))
+    texts, joined = F.col("texts"), F.col("joined")
     machine = ids.mrz_fields(F.upper(F.translate(joined, " ", "")), country, pivot=30, keep_sex=True)
     below = F.transform(F.filter("ls", lambda x: x["y"] > BODY), lambda x: x["text"])
     parts = F.struct(
@@ -108,7 +111,7 @@ def page_blocks(lines: DataFrame, country: str = "XXX", confidence: float = 0.95
         _top_id(F.col("ls")).alias("top"),
         ids.footer_id(joined).alias("footer"),
         _page_dates(F.col("ls")).alias("d"),
-        place_name(place_in_parentheses(below)["name"]).alias("place"),
+        once(place_in_parentheses(below), lambda s: place_name(s["name"])).alias("place"),
         _placed_sex(F.col("ls")).alias("placed_sex"),
         sex_near(texts).alias("sex"),
     )
@@ -136,7 +139,7 @@ def page_blocks(lines: DataFrame, country: str = "XXX", confidence: float = 0.95
 
     # parts and names are made once for each page, in an array of one
     both = F.array(F.struct(F.col("p"), chosen.alias("n")))
-    rows = named.select(*PAGE, F.inline(F.transform(both, lambda x: blocks(x["p"], x["n"]))[0]))
+    rows = named.select(*PAGE, F.inline_outer(F.transform(both, lambda x: blocks(x["p"], x["n"]))[0]))
     return rows.select(*PAGE, "e.*", "block").where(F.col("value").isNotNull())
 
 

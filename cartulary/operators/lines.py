@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from cartulary.functions.codes import sex_code
 from cartulary.functions.dates import compact_date, parse_date
 from cartulary.functions.places import place_name
-from cartulary.functions.text import is_text_line, person_name
+from cartulary.functions.text import is_text_line, once, person_name
 
 PAGE = ("document_id", "page_number")
 
@@ -65,11 +65,16 @@ def names_by_position(lines: DataFrame, label: str, keys=PAGE) -> DataFrame:
 
 def sex_near(lines: Column, keyword: str = "SEX") -> Column:
     """The sex on the keyword's line, alone on the line before, or on one of the next three."""
+
+    def found(s: Column) -> Column:
+        upper, at = s["upper"], s["at"]
+        inline = F.regexp_extract(F.get(upper, at), rf"{keyword}[ :]*(M|F|MASC|FEM)\b", 1)
+        alone = F.transform(F.concat(F.slice(upper, F.greatest(at, F.lit(1)), F.when(at > 0, 1).otherwise(0)), F.slice(upper, at + 2, 3)), sex_code)
+        return F.when(at.isNotNull(), F.coalesce(once(inline, lambda x: sex_code(F.nullif(x, F.lit("")))), F.get(F.filter(alone, lambda x: x.isNotNull()), 0)))
+
+    at = lambda upper: F.get(F.filter(F.transform(upper, lambda x, i: F.when(x.rlike(rf"\b{keyword}\b"), i)), lambda i: i.isNotNull()), 0)
     upper = F.transform(lines, lambda x: F.upper(F.trim(x)))
-    at = F.get(F.filter(F.transform(upper, lambda x, i: F.when(x.rlike(rf"\b{keyword}\b"), i)), lambda i: i.isNotNull()), 0)
-    inline = F.regexp_extract(F.get(upper, at), rf"{keyword}[ :]*(M|F|MASC|FEM)\b", 1)
-    alone = F.transform(F.concat(F.slice(upper, F.greatest(at, F.lit(1)), F.when(at > 0, 1).otherwise(0)), F.slice(upper, at + 2, 3)), sex_code)
-    return F.when(at.isNotNull(), F.coalesce(sex_code(F.nullif(inline, F.lit(""))), F.get(F.filter(alone, lambda x: x.isNotNull()), 0)))
+    return once(once(upper, lambda u: F.struct(u.alias("upper"), at(u).alias("at"))), found)
 
 
 def _first_index(lines: Column, pattern: str) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from cartulary.functions.text import once
+
 #: Scores of the relations of a candidate to its label.
 SCORES = {"DIRECTLY_ABOVE": 1.00, "DIRECTLY_RIGHT": 1.00, "DIRECTLY_BELOW": 0.90, "SAME_ROW": 0.85, "NEAR": 0.70, "FAR": 0.20, "ABOVE": 0.00, "WRONG_REGION": 0.00}
 COMPATIBLE = ("DIRECTLY_BELOW", "DIRECTLY_ABOVE", "DIRECTLY_RIGHT", "SAME_ROW", "NEAR")
@@ -99,20 +101,27 @@ def find_labels(lines: DataFrame, labels: Mapping[str, Sequence[str]] = LABELS)
     """(document_id, page_number, field, label_index, label_text, label): each field's first line that bears a label."""
     text = F.upper(F.trim("text"))
     letters = F.translate(text, "01", "OI")
+    some = "|".join(x for p in labels.values() for x in p)
     hits = F.filter(
         F.array(*[F.when(text.rlike("|".join(p)) | letters.rlike("|".join(p)), F.lit(f)) for f, p in labels.items()]), lambda x: x.isNotNull()
     )
-    found = lines.select("document_id", "page_number", "line_index", text.alias("t"), box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("b"), F.explode(hits).alias("field"))
+    # most lines bear no label; an outer explode, since Spark's filter for empty arrays would work hits out twice
+    found = lines.where(text.rlike(some) | letters.rlike(some)).select("document_id", "page_number", "line_index", text.alias("t"), box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("b"), F.explode_outer(hits).alias("field")).where("field IS NOT NULL")
     first = F.min_by(F.struct("line_index", "t", "b"), "line_index").alias("l")
     return found.groupBy("document_id", "page_number", "field").agg(first).select("document_id", "page_number", "field", F.col("l.line_index").alias("label_index"), F.col("l.t").alias("label_text"), F.col("l.b").alias("label"))
 
 
+def with_regions(labels: DataFrame) -> DataFrame:
+    """Labels with region: where their fields' values may lie on the page, by all labels of it."""
+    y = lambda f: F.max(F.when(F.col("field") == f, F.col("label.y"))).over(W.Window.partitionBy("document_id", "page_number"))
+    placed = labels.withColumns({"__names_y": y("given_names"), "__surnames_y": y("surnames")})
+    return placed.withColumn("region", region(F.col("field"), F.col("label"), F.col("__names_y"), F.col("__surnames_y"))).drop("__names_y", "__surnames_y")
+
+
 def candidates(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """Each label with each other line of its page and their relation within the field's region."""
     page = ["document_id", "page_number"]
-    y = lambda f: F.max(F.when(F.col("field") == f, F.col("label.y"))).over(W.Window.partitionBy(*page))
-    placed = labels.withColumns({"__names_y": y("given_names"), "__surnames_y": y("surnames")})
-    placed = placed.withColumn("region", region(F.col("field"), F.col("label"), F.col("__names_y"), F.col("__surnames_y"))).drop("__names_y", "__surnames_y")
+    placed = with_regions(labels)
     others = lines.select(*page, "line_index", "text", "confidence", box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("candidate"))
     pairs = placed.join(others, page).where(F.col("line_index") != F.col("label_index"))
     return pairs.withColumn("r", relation(F.col("label"), F.col("candidate"), F.col("region"))).select("*", "r.relation", F.col("r.score").alias("spatial")).drop("r")
@@ -137,19 +146,23 @@ def exclusive(pairs: DataFrame, order: Sequence[str], valid_only: bool = False)
     places = F.create_map(*[F.lit(x) for i, f in enumerate(order) for x in (f, i)])
     fit = field_score(F.col("spatial"), F.col("confidence"))
     ok = pairs.where(F.col("relation").isin(*COMPATIBLE)).withColumn("__place", F.try_element_at(places, F.col("field"))).where("__place IS NOT NULL")
-    slim = F.struct(F.col("__place").alias("p"), (-F.col("spatial")).alias("s"), F.col("line_index").alias("line"), (fit["status"] == "VALID").alias("valid"))
-    start = F.struct(F.array().cast("array<int>").alias("served"), F.array().cast("array<int>").alias("lines"), F.array().cast("array<struct<p:int,line:int>>").alias("taken"))
+    # the rows themselves are kept beside what orders them, so that they are made once
+    slim = F.struct(F.col("__place").alias("p"), (-F.col("spatial")).alias("s"), F.col("line_index").alias("line"), (fit["status"] == "VALID").alias("valid"), F.struct(*[F.col(c) for c in pairs.columns if c not in keys]).alias("row"))
+    start = F.struct(F.array().cast("array<int>").alias("served"), F.array().cast("array<int>").alias("lines"), F.array().cast("array<int>").alias("taken"))
 
-    def step(a: Column, x: Column) -> Column:
+    def step(a: Column, x: Column, at: Column) -> Column:
         free = ~F.array_contains(a["served"], x["p"]) & ~F.array_contains(a["lines"], x["line"].cast("int"))
         take = free & (x["valid"] if valid_only else F.lit(True))
         add = lambda old, on, new: F.when(on, F.array_append(old, new)).otherwise(old)
         line = x["line"].cast("int")
-        return F.struct(add(a["served"], free, x["p"]).alias("served"), add(a["lines"], take, line).alias("lines"), add(a["taken"], take, F.struct(x["p"].alias("p"), line.alias("line"))).alias("taken"))
+        return F.struct(add(a["served"], free, x["p"]).alias("served"), add(a["lines"], take, line).alias("lines"), add(a["taken"], take, at).alias("taken"))
+
+    def taken(each: Column) -> Column:
+        places = F.transform(each, lambda x, i: F.struct(x["p"].alias("p"), x["line"].alias("line"), x["valid"].alias("valid"), i.alias("i")))
+        return F.transform(F.aggregate(places, start, lambda a, x: step(a, x, x["i"]), lambda a: a["taken"]), lambda i: F.get(each, i)["row"])
 
-    folded = ok.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(slim)), start, step, lambda a: a["taken"]).alias("t"))
-    chosen = folded.select(*keys, F.inline("t")).select(*keys, F.col("p").alias("__place"), F.col("line").alias("line_index"))
-    best = ok.join(chosen, [*keys, "__place", "line_index"]).select(*pairs.columns)
+    folded = ok.groupBy(*keys).agg(F.array_sort(F.collect_list(slim)).alias("each")).select(*keys, F.explode_outer(once(F.col("each"), taken)).alias("row")).where("row IS NOT NULL")
+    best = folded.select(*keys, "row.*").select(*pairs.columns)
     return best.withColumn("f", fit).select("*", F.col("f.score").alias("score"), F.col("f.status").alias("status")).drop("f")
 
 

@@ -117,16 +117,18 @@ def _kind(kind: Column) -> Column:
     }
     out = F.when(kind == len(PALETTE), None)
     for i, k in enumerate(PALETTE):
-        out = out.when(kind == i, made[k] if k in made else F.lit(k))
-    return out.otherwise(F.upper("p_name"))
+        if k in made:
+            out = out.when(kind == i, made[k])
+    return out.otherwise(F.coalesce(F.get(F.array(*[F.lit(k) for k in PALETTE]), kind.cast("int")), F.upper("p_name")))
 
 
 def _record_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of records with labels and values of all kinds, anywhere on the page."""
     kind = (F.col("l_partkey") * 31 + F.col("l_suppkey") * 7 + F.col("line_index")) % KINDS
-    rows = _indexed(spark, d)
+    # by a generator, below which Spark moves no filter on a text: each text is made once
+    rows = _indexed(spark, d).select("*", F.explode_outer(F.array(_kind(kind))).alias("text"))
     x, y = (F.col("l_suppkey") % 7) / 10.0, ((F.col("l_suppkey") * 7 + F.col("l_partkey")) % 97) / 100.0
-    return rows.select("document_id", F.lit(1).alias("page_number"), "line_index", _kind(kind).alias("text"), F.lit(0.9).alias("confidence"), x.alias("x"), y.alias("y"), F.lit(0.2).alias("w"), F.lit(0.02).alias("h"))
+    return rows.select("document_id", F.lit(1).alias("page_number"), "line_index", "text", F.lit(0.9).alias("confidence"), x.alias("x"), y.alias("y"), F.lit(0.2).alias("w"), F.lit(0.02).alias("h"))
 
 
 def _day_sql(x: str) -> str:

@@ -118,3 +118,13 @@ def test_pages_are_dealt_once(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 3
     assert sorted(map(tuple, numbered)) == [(k, k % 3) for k in range(60) if k % 7 < 6]
+
+
+def test_placed_values_read_the_page_twice(spark):
+    """Once for its labels and once for the lines that meet them; the chosen rows aren't made again to be found."""
+    rows = [("d", 1, i, t, 0.9, x, y, 0.2, 0.02) for i, (t, x, y) in enumerate([("SEX: F", 0.1, 0.2), ("NUMBER", 0.1, 0.4), ("12345678", 0.1, 0.45), ("SURNAMES", 0.5, 0.7), (None, 0.5, 0.72), ("ROE", 0.5, 0.68)])]
+    lines = spark.createDataFrame(rows, "document_id string, page_number int, line_index int, text string, confidence double, x double, y double, w double, h double")
+    got = extract.ranked_fields(lines)
+    assert {r.field: r.value for r in got.collect()} == {"sex": "F", "id_number": "12345678", "surnames": "ROE"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2 and plan.count("Join ") == 1
